@@ -300,7 +300,7 @@ SELECT event_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60,
 SELECT vec_id, round(64 * (label + 20) / 16000.0::DOUBLE, 6) AS seconds, 64 * (label + 20) < 1600 AS too_short FROM embeddings""",
     "samples_to_float": f"""
 WITH f AS (SELECT vec_id, embedding, ['int32', 'int16', 'int8', 'uint8', 'float32', 'int24'][label % 6 + 1] AS fmt,
-  [2147483647.0, 32767.0, 127.0, 255.0, 1.0, 1.0]::DOUBLE[][label % 6 + 1] AS peak FROM embeddings),
+  ([2147483647.0, 32767.0, 127.0, 255.0, 1.0, 1.0]::DOUBLE[])[label % 6 + 1] AS peak FROM embeddings),
 r AS (SELECT vec_id, fmt, peak, CASE fmt WHEN 'float32' THEN embedding::DOUBLE[]
   WHEN 'uint8' THEN list_transform(embedding, lambda x: round((x::DOUBLE + 1) * 127))
   ELSE list_transform(embedding, lambda x: round(x::DOUBLE * peak)) END AS raw FROM f WHERE fmt <> 'int24')

@@ -71,10 +71,10 @@ def _leave(ts: pd.Series, exits: pd.Series, entries: pd.Series) -> pd.Series:
     return pd.Series([one(*row) for row in zip(ts, exits, entries)])
 
 
-def accept(rows: Ordered, until: str) -> DataFrame:
-    """Accepted rows; ``rows.order[0]`` and ``until`` are microseconds or numbers.
+def accept(rows: Ordered, until: str) -> Ordered:
+    """Accepted rows, still in their runs.
 
-    ``until`` null means the row keeps its key busy for good.
+    ``rows.order[0]`` and ``until`` are microseconds or numbers; ``until`` null means the row keeps its key busy for good.
     """
     ts = rows.order[0]
     kept = [c for c in rows.df.columns if c not in (*rows.key, RUN)]
@@ -92,10 +92,10 @@ def accept(rows: Ordered, until: str) -> DataFrame:
         runs = runs.withColumn("_entry", F.lit(int(np.iinfo(np.int64).min)))
     taken = _walk(F.col("_rows._o0"), F.col("_rows._until"), F.col("_entry"))
     picked = runs.withColumn("_taken", taken).select(
-        *rows.key,
+        *rows.key, RUN,
         F.explode(F.transform("_taken", lambda i: F.get(F.col("_rows"), i)["_row"])).alias("_row"),
     )
-    return picked.select(*rows.key, "_row.*").select(*[c for c in rows.df.columns if c != RUN])
+    return rows.with_df(picked.select(*rows.key, RUN, "_row.*").select(*rows.df.columns))
 
 
 def _entries(runs: DataFrame, key: list) -> DataFrame:
@@ -192,4 +192,4 @@ def gate(df: DataFrame, key, seconds, tie, run_rows: int) -> DataFrame:
     busy = df.withColumn("_until", F.col("_at") + F.round(length * 1_000_000).cast("bigint"))
     tie = [tie] if isinstance(tie, str) else list(tie)
     rows = arrange(busy, key, ["_at", *tie], run_rows)
-    return accept(rows, "_until").drop("_at", "_until")
+    return accept(rows, "_until").result().drop("_at", "_until")

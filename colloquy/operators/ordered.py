@@ -124,10 +124,19 @@ class Ordered:
         return self.with_df(boxed.df.withColumn(out, F.col(out)["v"]))
 
 
-def arrange(df: DataFrame, key, order, run_rows: int = RUN_ROWS) -> Ordered:
-    """Prepare ``df`` for ordered operators; ``key`` may be empty."""
+def longest_key(df: DataFrame, key) -> int:
+    """Rows of the longest key; a partial count over the key columns only."""
+    return df.groupBy(*_names(key)).count().agg(F.max("count")).first()[0] or 0
+
+
+def arrange(df: DataFrame, key, order, run_rows: int = RUN_ROWS, bound: int | None = None) -> Ordered:
+    """Prepare ``df`` for ordered operators; ``key`` may be empty.
+
+    ``bound`` is a known upper limit for the rows of a key, which saves the count
+    if it is small.
+    """
     key, order = _names(key), _names(order)
-    longest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    longest = bound if bound is not None and bound <= run_rows else longest_key(df, key)
     if longest <= run_rows:
         return Ordered(df.withColumn(RUN, F.lit(0).cast("bigint")), key, order, False, run_rows, longest)
     row = F.monotonically_increasing_id()

@@ -21,78 +21,103 @@ def wake_phrases(names=("Robot", "Computer")) -> list[str]:
     return [f"{greeting} {name}" for greeting in GREETINGS for name in names]
 
 
-def _shift(masks, offsets, lengths_at, j):
-    """Masks of the characters ``j`` places on, zero past the end of a text."""
-    moved = np.zeros_like(masks)
-    if j < len(masks):
-        moved[: len(masks) - j] = masks[j:]
-    return np.where(offsets + j < lengths_at, moved, 0)
+_BLOCK = 1 << 15  # characters whose windows advance together; stays in cache
 
 
-def _lcs_step(v, hit, full):
+def _lcs_step(v, hit, full, u, t):
     """One character of the bit-parallel common-subsequence length (Hyyrö 2004)."""
-    u = v & hit
-    return ((v + u) | (v - u)) & full
+    np.bitwise_and(v, hit, out=u)
+    np.add(v, u, out=t)
+    np.subtract(v, u, out=v)
+    np.bitwise_or(v, t, out=v)
+    np.bitwise_and(v, full, out=v)
+
+
+class _Keyword:
+    def __init__(self, word: str):
+        self.m = len(word)
+        if not 0 < self.m <= 62:
+            raise ValueError("keyword length must be 1 to 62")
+        self.kind = np.uint32 if self.m <= 31 else np.uint64
+        letters = sorted(set(word))
+        self.codes = np.array([ord(c) for c in letters], dtype=np.uint32)
+        bits = [sum(1 << i for i, c in enumerate(word) if c == k) for k in letters]
+        self.bits = np.array(bits, dtype=self.kind)
+        self.full = self.kind((1 << self.m) - 1)
+
+    def masks(self, points: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.codes, points), len(self.codes) - 1)
+        return np.where(self.codes[at] == points, self.bits[at], self.kind(0))
+
+    def common(self, v: np.ndarray, width=None):
+        return (self.m if width is None else width) - np.bitwise_count(v).astype(np.int64)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _in_long_texts(word: _Keyword, points: list):
+    """Texts at least as long as the keyword: every window of every text at once."""
+    m = word.m
+    size = np.array([len(p) for p in points])
+    room = size + m  # a text is followed by ``m`` places that match nothing
+    begin = np.concatenate([[0], np.cumsum(room)[:-1]])
+    masks = np.zeros(int(room.sum()) + m, dtype=word.kind)
+    for p, b in zip(points, begin):
+        masks[b: b + len(p)] = word.masks(p)
+    total = len(masks) - m
+    v = np.full(total, word.full)
+    u, t = np.empty_like(v), np.empty_like(v)
+    fronts = []
+    for j in range(m):
+        _lcs_step(v, masks[j: j + total], word.full, u, t)
+        if j + 1 < m:  # windows cut off at the front of the text
+            fronts.append(200.0 * word.common(v[begin]) / (m + j + 1))
+    start = np.arange(total) - np.repeat(begin, room)
+    limit = np.repeat(size, room)
+    width = np.clip(limit - start, 0, m)
+    score = np.where(width > 0, 200.0 * word.common(v) / (m + width), -1.0)
+    best = np.maximum(np.maximum.reduceat(score, begin), np.max(fronts, axis=0) if fronts else -1.0)
+    stop = np.where(score == np.repeat(best, room), start + width, np.iinfo(np.int64).max)
+    end = np.minimum.reduceat(stop, begin)
+    for j, front in enumerate(fronts):
+        end = np.where(front == best, np.minimum(end, j + 1), end)
+    return best, end
+
+
+def _in_short_text(word: _Keyword, points: np.ndarray) -> float:
+    """A text shorter than the keyword slides over it."""
+    n, m = len(points), word.m
+    low, high = np.maximum(np.arange(-n + 1, m), 0), np.minimum(np.arange(1, m + n), m)
+    inside = np.array([(1 << int(b)) - (1 << int(a)) for a, b in zip(low, high)], dtype=word.kind)
+    v, u, t = inside.copy(), np.empty_like(inside), np.empty_like(inside)
+    for hit in word.masks(points):
+        _lcs_step(v, hit & inside, inside, u, t)
+    return float((200.0 * word.common(v, high - low) / (n + high - low)).max())
 
 
-def partial_ratio_batch(texts: list, keyword: str):
-    """Best partial ratio of ``keyword`` in each text and where its window ends.
+def partial_ratio_batch(texts: list, keywords: list):
+    """Best partial ratio of each keyword in each text and where its window ends.
 
-    All windows of all texts advance together: one vector step per keyword
-    character. Of equal windows the one that ends, then starts, first wins.
+    Gives two arrays of shape (keywords, texts). Windows advance one keyword
+    character per vector step. Of equal windows the one that ends, then starts,
+    first wins. An empty text scores 0.
     """
-    m = len(keyword)
-    if not 0 < m <= 62:
-        raise ValueError("keyword length must be 1 to 62")
-    n_text = len(texts)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    best, end = np.zeros(n_text), lengths.copy()
-    chars = np.array(sorted(set(keyword)))
-    bits = np.array([sum(1 << i for i, c in enumerate(keyword) if c == k) for k in chars], dtype=np.uint64)
-    codes = np.array([ord(c) for c in chars], dtype=np.uint32)
-
-    def masks_of(joined):
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        at = np.minimum(np.searchsorted(codes, points), len(codes) - 1)
-        return np.where(codes[at] == points, bits[at], np.uint64(0))
-
-    full = np.uint64((1 << m) - 1)
-    long = np.flatnonzero(lengths >= m)
-    if len(long):
-        size = lengths[long]
-        masks = masks_of("".join(texts[i] for i in long))
-        owner = np.repeat(np.arange(len(long)), size)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        start = np.arange(len(masks)) - begin[owner]
-        limit = size[owner]
-        v = np.full(len(masks), full)
-        score_key = []
-        for j in range(m):
-            v = _lcs_step(v, _shift(masks, start, limit, j), full)
-            if j + 1 < m:  # windows cut off at the front of the text
-                lcs = m - np.bitwise_count(v[begin]).astype(np.int64)
-                score_key.append((200.0 * lcs / (m + j + 1), np.full(len(long), j + 1)))
-        width = np.minimum(m, limit - start)
-        score = 200.0 * (m - np.bitwise_count(v).astype(np.int64)) / (m + width)
-        top = np.maximum.reduceat(score, begin)
-        for s, _ in score_key:
-            top = np.maximum(top, s)
-        stop = np.where(score == top[owner], start + width, np.iinfo(np.int64).max)
-        first = np.minimum.reduceat(stop, begin)
-        for s, e in score_key:
-            first = np.where(s == top, np.minimum(first, e), first)
-        best[long], end[long] = top, first
-    for i in np.flatnonzero((lengths < m) & (lengths > 0)):
-        # the text is the shorter one and slides over the keyword
-        n = int(lengths[i])
-        from_, to = np.arange(-n + 1, m), np.arange(1, m + n)
-        from_, to = np.maximum(from_, 0), np.minimum(to, m)
-        inside = np.array([(1 << int(b)) - (1 << int(a)) for a, b in zip(from_, to)], dtype=np.uint64)
-        v = inside.copy()
-        for hit in masks_of(texts[i]):
-            v = _lcs_step(v, hit & inside, inside)
-        lcs = (to - from_) - np.bitwise_count(v).astype(np.int64)
-        best[i] = (200.0 * lcs / (n + to - from_)).max()
+    words = [_Keyword(k) for k in keywords]
+    points = [_points(t) for t in texts]
+    lengths = np.array([len(p) for p in points], dtype=np.int64)
+    best = np.zeros((len(words), len(texts)))
+    end = np.tile(lengths, (len(words), 1))
+    block = np.cumsum(lengths) // _BLOCK
+    for _, chosen in pd.Series(np.arange(len(texts))).groupby(block):
+        rows = chosen.to_numpy()
+        for w, word in enumerate(words):
+            long = rows[lengths[rows] >= word.m]
+            if len(long):
+                best[w, long], end[w, long] = _in_long_texts(word, [points[i] for i in long])
+            for i in rows[(lengths[rows] < word.m) & (lengths[rows] > 0)]:
+                best[w, i] = _in_short_text(word, points[i])
     return best, end
 
 
@@ -106,12 +131,9 @@ def _matcher(keywords: list, cutoff: float):
     @F.pandas_udf(_MATCH)
     def match(texts: pd.Series) -> pd.DataFrame:
         known = texts.fillna("").tolist()
-        score, end = np.full(len(known), -1.0), np.zeros(len(known), dtype=int)
-        no = np.zeros(len(known), dtype=int)
-        for i, word in enumerate(keywords):
-            s, e = partial_ratio_batch(known, word)
-            better = s > score
-            score, end, no = np.where(better, s, score), np.where(better, e, end), np.where(better, i, no)
+        scores, ends = partial_ratio_batch(known, keywords)
+        no = scores.argmax(axis=0)  # the first of equal keywords
+        score, end = scores[no, np.arange(len(known))], ends[no, np.arange(len(known))]
         out = pd.DataFrame({"score": score, "end": end, "no": no}).astype({"end": "Int32", "no": "Int32"})
         out.loc[(score < cutoff) | texts.isna().to_numpy()] = None
         return out

@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.numbers import AUDIO_CHUNK, SAMPLE_RATE, micros, pad_short
 from colloquy.operators.gating import accept
-from colloquy.operators.ordered import RUN_ROWS, arrange
+from colloquy.operators.ordered import RUN_ROWS, arrange, longest_key
 
 # Fixed value: longest recording after a trigger, in seconds.
 CAPTURE_TIMEOUT = 6.0
 
 
-def _next_after(probes: DataFrame, marks: DataFrame, key: list, probe: str, out: str, run_rows: int) -> DataFrame:
+def _next_after(probes: DataFrame, marks: DataFrame, key: list, probe: str, out: str, run_rows: int, bound: int) -> DataFrame:
     """Add to each probe the first mark at or after its ``probe`` moment."""
     asked = probes.select(*key, F.col(probe).alias("_v"), F.lit(0).alias("_kind"), F.struct(*probes.columns).alias("_row"))
     given = marks.select(*key, F.col("_mark").alias("_v"), F.lit(1).alias("_kind"), "_mark")
     both = asked.unionByName(given, allowMissingColumns=True)
-    found = arrange(both, key, ["_v", "_kind"], run_rows).next_value("_mark", out).result()
+    found = arrange(both, key, ["_v", "_kind"], run_rows, bound).next_value("_mark", out).result()
     return found.where("_kind = 0").select("_row.*", out)
 
 
@@ -32,10 +32,10 @@ def trigger_captures(
     audio: DataFrame, triggers: DataFrame, speech_ends: DataFrame, key, ts: str = "ts",
     timeout: float = CAPTURE_TIMEOUT, run_rows: int = RUN_ROWS,
 ) -> DataFrame:
-    """Captures of accepted triggers: (key, start_us, end_us, ended_by).
+    """Captures of accepted triggers: (key, utt_no, start_us, end_us, ended_by).
 
     The end is the first chunk at which speech ends or ``timeout`` seconds have
-    passed. A trigger during a capture, its last chunk included, is ignored. A
+    passed; ``speech_ends`` holds the moments of the chunks in which speech ended. A trigger during a capture, its last chunk included, is ignored. A
     capture whose end has not come yet is not returned.
     """
     key = [key] if isinstance(key, str) else list(key)
@@ -43,9 +43,10 @@ def trigger_captures(
     probes = probes.withColumn("_due", F.col("start_us") + int(timeout * 1_000_000))
     ends = speech_ends.select(*key, micros(speech_ends, ts).alias("_mark"))
     chunks = audio.select(*key, micros(audio, ts).alias("_mark"))
-    timed = _next_after(probes, ends, key, "start_us", "_end", run_rows)
+    bound = longest_key(probes.select(*key).unionByName(ends.select(*key)).unionByName(chunks.select(*key)), key)
+    timed = _next_after(probes, ends, key, "start_us", "_end", run_rows, bound)
     if timeout > 0:
-        timed = _next_after(timed, chunks, key, "_due", "_late", run_rows)
+        timed = _next_after(timed, chunks, key, "_due", "_late", run_rows, bound)
     else:
         timed = timed.withColumn("_late", F.lit(None).cast("bigint"))
     by_speech = F.col("_end").isNotNull() & (F.col("_late").isNull() | (F.col("_end") <= F.col("_late")))
@@ -53,18 +54,20 @@ def trigger_captures(
         *key, "start_us", F.least("_end", "_late").alias("end_us"),
         F.when(by_speech, "speech_end").otherwise("timeout").alias("ended_by"),
     ).withColumn("_until", F.col("end_us") + 1)
-    taken = accept(arrange(bounded, key, "start_us", run_rows), "_until").drop("_until")
-    return taken.where("end_us IS NOT NULL")
+    taken = accept(arrange(bounded, key, "start_us", run_rows, bound), "_until")
+    closed = taken.with_df(taken.df.drop("_until").where("end_us IS NOT NULL"))
+    return closed.running_sum(F.lit(1), "utt_no").result().select(*key, "utt_no", "start_us", "end_us", "ended_by")
 
 
-def speech_captures(segments: DataFrame, key, start: str, end: str) -> DataFrame:
+def speech_captures(segments: DataFrame, key, start: str, end: str, run_rows: int = RUN_ROWS) -> DataFrame:
     """Captures from speech start to speech end, for use without triggers."""
     key = [key] if isinstance(key, str) else list(key)
     closed = segments.where(F.col(end).isNotNull())
-    return closed.select(
+    timed = closed.select(
         *key, micros(segments, start).alias("start_us"), micros(segments, end).alias("end_us"),
         F.lit("speech_end").alias("ended_by"),
     )
+    return arrange(timed, key, "start_us", run_rows).running_sum(F.lit(1), "utt_no").result()
 
 
 def capture_chunks(audio: DataFrame, captures: DataFrame, key, ts: str = "ts", run_rows: int = RUN_ROWS) -> DataFrame:
@@ -73,13 +76,14 @@ def capture_chunks(audio: DataFrame, captures: DataFrame, key, ts: str = "ts", r
     A chunk that ends one capture can also be the one in front of the next.
     """
     key = [key] if isinstance(key, str) else list(key)
-    numbered = arrange(captures, key, "start_us", run_rows).running_sum(F.lit(1), "utt_no").result()
-    heads = numbered.select(
+    heads = captures.select(
         *key, F.col("start_us").alias("_at"), F.lit(0).alias("_kind"),
         F.struct("utt_no", "start_us", "end_us", "ended_by").alias("_head"),
     )
     chunks = audio.select(*key, micros(audio, ts).alias("_at"), F.lit(1).alias("_kind"), F.struct(*audio.columns).alias("_row"))
-    rows = arrange(heads.unionByName(chunks, allowMissingColumns=True), key, ["_at", "_kind"], run_rows)
+    # every capture holds a chunk of its own, so chunks bound the captures
+    bound = 2 * longest_key(audio, key)
+    rows = arrange(heads.unionByName(chunks, allowMissingColumns=True), key, ["_at", "_kind"], run_rows, bound)
     rows = rows.last_value("_head", "_inside").lead("_head", "_front")
     running = F.when(F.col("_at") <= F.col("_inside.end_us"), F.col("_inside"))
     member = F.filter(F.array(running, F.col("_front")), lambda c: c.isNotNull())

@@ -21,7 +21,7 @@ from colloquy.operators import (
     utterances,
 )
 from colloquy.plans.answering import rag_prompts
-from colloquy.runtime import shared_dir
+from colloquy.runtime import materialize, shared_dir, spread
 from colloquy.sources.files import drop_comments
 from colloquy.sources.store import dump_chunks, insert_new, open_chunks, write_chunks
 from colloquy.streaming import signals as streams
@@ -55,11 +55,11 @@ def flat(col, scale: int = 1_000_000) -> Column:
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def questions(spark, sf):
-    said = table(spark, sf, "conversations").where("role = 'user'")
+    said = spread(table(spark, sf, "conversations")).where("role = 'user'")
     return said.select((F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
 
 
@@ -163,7 +163,7 @@ def hash_embed(spark, sf):
 
 @query
 def embed(spark, sf):
-    dense = embedding.embed(docs(spark, sf).select("doc_id", "text"), "text", id="doc_id", dim=64)
+    dense = embedding.embed(docs(spark, sf).select("doc_id", "text"), "text", dim=64)
     return dense.select("doc_id", flat("embedding").alias("embedding"))
 
 
@@ -277,7 +277,9 @@ def direct_prompts(spark, sf):
 
 @query
 def grounded_prompts(spark, sf):
-    return rag_prompts(packed(spark, sf), questions(spark, sf)).select("query_id", "context", "prompt")
+    # the collection is stored once and then read for search and for contexts
+    stored = materialize(embedding.embed(packed(spark, sf).select("chunk_id", "text"), "text"))
+    return rag_prompts(stored, questions(spark, sf)).select("query_id", "context", "prompt")
 
 
 @query
@@ -292,7 +294,7 @@ def request_stats(spark, sf):
 # ---- transcripts
 
 def _said(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return spread(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "text")
 
 
 @query

@@ -42,9 +42,8 @@ def build_chunks(
     )
     if seen is not None:
         named = new_chunks(named, seen)
-    vectors = embed(named, "text", embedder, "chunk_id", dim)
     meta = docs.select("doc_id", "metadata")
-    return vectors.join(meta, "doc_id").select(
+    return embed(named.join(meta, "doc_id"), "text", embedder, dim).select(
         "chunk_id", "doc_id", F.col("chunk_no").alias("pos"), "text", "n_tokens", "content_hash", "embedding", "metadata"
     )
 

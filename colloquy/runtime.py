@@ -51,3 +51,13 @@ def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the size check passes, else leave the join to AQE."""
     return F.broadcast(df) if within(df, rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for row-wise work on an input with few splits.
+
+    A table of one or two row groups would keep one or two cores busy. An input
+    with at least as many splits as cores is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

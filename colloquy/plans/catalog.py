@@ -156,7 +156,7 @@ def buffer_sentences(spark, sf):
 
 @query
 def hash_embed(spark, sf):
-    return embedding.hash_embed(docs(spark, sf), "doc_id", "text").select(
+    return embedding.hash_embed(table(spark, sf, "documents"), "doc_id", "text").select(
         "doc_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight")
     )
 
@@ -168,7 +168,7 @@ def embed(spark, sf):
 
 
 def _distances(spark, sf):
-    placed = docs(spark, sf).select("doc_id", "text").repartition("doc_id")
+    placed = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
     return chunking.adjacent_distance(chunking.buffered_counts(placed))
 
 
@@ -184,7 +184,7 @@ def breakpoint_threshold(spark, sf):
 
 @query
 def semantic_chunks(spark, sf):
-    return chunking.semantic_chunks(docs(spark, sf))
+    return chunking.semantic_chunks(table(spark, sf, "documents"))
 
 
 @query
@@ -199,7 +199,7 @@ def token_windows(spark, sf):
 
 @query
 def chunk_documents(spark, sf):
-    return chunking.chunk_documents(docs(spark, sf), **SETTINGS)
+    return chunking.chunk_documents(table(spark, sf, "documents"), **SETTINGS)
 
 
 @query

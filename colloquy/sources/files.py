@@ -17,12 +17,7 @@ def _pattern(exts) -> str:
 
 def scan_documents(spark: SparkSession, path: str, exts=EXTENSIONS) -> DataFrame:
     """Every file below ``path`` with one of the extensions, one row per file."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", _pattern(exts))
-        .text(path)
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=_pattern(exts))
     return files.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("file_name"),

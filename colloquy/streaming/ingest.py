@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from colloquy.plans.ingestion import build_chunks, prepare_documents
 from colloquy.sources.files import EXTENSIONS, _pattern
-from colloquy.sources.store import open_chunks
+from colloquy.sources.store import CHUNKS, open_chunks
 
 
 def ingest_stream(
@@ -22,11 +22,8 @@ def ingest_stream(
     after a failure does not store anything twice.
     """
     files = (
-        spark.readStream.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", _pattern(exts))
-        .option("maxFilesPerTrigger", files_per_batch)
-        .text(in_dir)
+        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+        .text(in_dir, wholetext=True, recursiveFileLookup=True, pathGlobFilter=_pattern(exts))
         .select(
             F.xxhash64("_metadata.file_path").alias("doc_id"),
             F.col("value").alias("text"),
@@ -39,8 +36,8 @@ def ingest_stream(
     )
 
     def store(batch: DataFrame, number: int) -> None:
-        target = f"{out_dir.rstrip('/')}/batch={number:08d}"
-        known = open_chunks(spark, out_dir).where(~F.col("_metadata.file_path").contains(f"/batch={number:08d}/"))
+        target = f"{out_dir.rstrip('/')}/batch={number}"
+        known = open_chunks(spark, out_dir, f"{CHUNKS}, batch bigint").where(F.col("batch") != number)
         build_chunks(prepare_documents(batch), known, **settings).write.mode("overwrite").parquet(target)
 
     return (

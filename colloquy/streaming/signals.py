@@ -11,7 +11,7 @@ from colloquy.functions.numbers import AUDIO_CHUNK, SAMPLE_RATE
 from colloquy.operators.dialogue import EVENTS, next_state
 from colloquy.operators.signals import FRAME, MARGIN, MIN_SILENCE, SPEECH, SPEECH_PAD
 from colloquy.operators.utterances import CAPTURE_TIMEOUT
-from colloquy.streaming.stateful import in_order
+from colloquy.streaming.stateful import event_time, in_order
 
 
 def _columns(df: DataFrame, key: str) -> list:
@@ -21,12 +21,18 @@ def _columns(df: DataFrame, key: str) -> list:
 def debounce_stream(
     df: DataFrame, key: str, ts: str, score: str, threshold: float, gap: float, delay: str = "10 seconds", tie=()
 ) -> DataFrame:
-    """Stream form of ``debounce``."""
-    return gate_stream(df.where(F.col(score) >= threshold), key, ts, gap, delay, tie)
+    """Stream form of ``debounce``.
+
+    Scores below the threshold are dropped before the state but still move the
+    watermark: the comparison names the event time, which keeps it above it.
+    """
+    timed = event_time(df, ts, delay)
+    over = timed.where(F.when(F.col(ts).isNotNull(), F.col(score)) >= threshold)
+    return gate_stream(over, key, ts, gap, None, tie)
 
 
-def gate_stream(df: DataFrame, key: str, ts: str, busy_for, delay: str = "10 seconds", tie=()) -> DataFrame:
-    """Stream form of ``gate_triggers``."""
+def gate_stream(df: DataFrame, key: str, ts: str, busy_for, delay: str | None = "10 seconds", tie=()) -> DataFrame:
+    """Stream form of ``gate_triggers``; ``delay=None`` if ``df`` has a watermark."""
     def step(state, rows):
         until, out = (state[0] if state else None), []
         for row in rows:
@@ -109,19 +115,19 @@ def while_enabled_stream(
     delay: str = "10 seconds",
 ) -> DataFrame:
     """Stream form of ``while_enabled``: two streams merged into one keyed state."""
-    merged = rows.withColumn("_kind", F.lit(1)).unionByName(
-        switches.select(key, ts, F.col(enabled).alias("_on"), F.lit(0).alias("_kind")), allowMissingColumns=True
+    merged = rows.withColumn("row_kind", F.lit(1)).unionByName(
+        switches.select(key, ts, F.col(enabled).alias("switched_on"), F.lit(0).alias("row_kind")), allowMissingColumns=True
     )
     def step(state, items):
         on, out = (state[0] if state else initial), []
         for row in items:
-            if row["_kind"] == 0:
-                on = row["_on"] if row["_on"] is not None else on
+            if row["row_kind"] == 0:
+                on = row["switched_on"] if row["switched_on"] is not None else on
             elif on:
                 out.append(row)
         return (on,), out
 
-    return in_order(merged, key, ts, "on boolean", _timed(rows, key, ts), step, delay, ["_kind"])
+    return in_order(merged, key, ts, "on boolean", _timed(rows, key, ts), step, delay, ["row_kind"])
 
 
 def utterance_stream(
@@ -134,10 +140,10 @@ def utterance_stream(
     runs out on a chunk, so no timer is needed for it.
     """
     def side(df, kind):
-        return df.select(key, ts, F.lit(kind).alias("_kind"))
+        return df.select(key, ts, F.lit(kind).alias("row_kind"))
 
     merged = (
-        audio.select(key, ts, col, F.lit(2).alias("_kind"))
+        audio.select(key, ts, col, F.lit(2).alias("row_kind"))
         .unionByName(side(triggers, 0), allowMissingColumns=True)
         .unionByName(side(speech_ends, 1), allowMissingColumns=True)
     )
@@ -147,10 +153,10 @@ def utterance_stream(
         begun, ended, held, front, no = state if state else (None, False, [], [], 0)
         held, front, out = list(held), list(front), []
         for row in rows:
-            if row["_kind"] == 0:
+            if row["row_kind"] == 0:
                 if begun is None:
                     begun, ended, held = row[ts], False, list(front)
-            elif row["_kind"] == 1:
+            elif row["row_kind"] == 1:
                 ended = ended or begun is not None
             else:
                 front = list(row[col])
@@ -168,4 +174,4 @@ def utterance_stream(
     kind = audio.schema[col].dataType.simpleString()
     state = f"begun timestamp, ended boolean, held {kind}, front {kind}, no bigint"
     columns = [("utt_no", "bigint"), (col, kind), ("ended_by", "string")]
-    return in_order(merged, key, ts, state, columns, step, delay, ["_kind"])
+    return in_order(merged, key, ts, state, columns, step, delay, ["row_kind"])

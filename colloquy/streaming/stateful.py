@@ -40,12 +40,16 @@ class OrderedSteps(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         fresh = [tuple(r) for pdf in rows for r in pdf[self.rows.names].itertuples(index=False, name=None)]
-        fresh = [tuple(_plain(v) for v in r) for r in fresh]
+        fresh = [self._typed(r) for r in fresh]
         if not fresh:
             return iter([])
         self.waiting.appendList(fresh)
         return self._drain(key, timerValues.getCurrentWatermarkInMs())
 
+    def _typed(self, row) -> tuple:
+        """Python values for the state; pandas turns whole numbers with gaps into floats."""
+        return tuple(_plain(v, f.dataType) for v, f in zip(row, self.rows))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         return self._drain(key, timerValues.getCurrentWatermarkInMs())
 
@@ -59,7 +63,7 @@ class OrderedSteps(StatefulProcessor):
         if not ready:
             return iter([])
         if early:
-            self.waiting.put([tuple(_plain(v) for v in r) for r in early])
+            self.waiting.put([self._typed(r) for r in early])
         else:
             self.waiting.clear()
         order = [at] + [self.rows.names.index(t) for t in self.tie]
@@ -78,39 +82,48 @@ class OrderedSteps(StatefulProcessor):
         return iter([pd.DataFrame(table, columns=self.out.names)])
 
 
-def _plain(v):
+def _plain(v, kind: T.DataType):
+    if hasattr(v, "tolist") and not isinstance(v, pd.Timestamp):
+        v = v.tolist()
+    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        return None
     if isinstance(v, pd.Timestamp):
         return v.to_pydatetime()
-    if hasattr(v, "tolist"):
-        return v.tolist()
-    if v is None or (isinstance(v, float) and v != v):
-        return None
-    return v
+    if isinstance(kind, T.IntegralType):
+        return int(v)
+    return bool(v) if isinstance(kind, T.BooleanType) else v
 
 
 def _millis(v) -> int:
     return int(pd.Timestamp(v).value // 1_000_000)
 
 
+def event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermark on ``ts``; zone-less timestamps are taken in the session's zone."""
+    if not isinstance(stream.schema[ts].dataType, T.TimestampType):
+        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return stream.withWatermark(ts, delay)
+
+
 def in_order(
-    stream: DataFrame, key, ts: str, state: str, out: list, step: Callable, delay: str = "10 seconds", tie=(),
+    stream: DataFrame, key, ts: str, state: str, out: list, step: Callable, delay: str | None = "10 seconds", tie=(),
 ) -> DataFrame:
     """Run ``step`` over each key's rows in event-time order.
 
-    ``state`` is the DDL of the state; ``out`` the output columns as
+    Column names must not start with an underscore, which the state's Python side
+    drops. ``state`` is the DDL of the state; ``out`` the output columns as
     ``(name, DDL type)``, in front of which the key is put.
     """
     key = [key] if isinstance(key, str) else list(key)
     spark = stream.sparkSession
     use_rocksdb(spark)
-    if not isinstance(stream.schema[ts].dataType, T.TimestampType):
-        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    if delay is not None:
+        stream = event_time(stream, ts, delay)
     rows = T.StructType([f for f in stream.schema if f.name not in key])
     fields = [stream.schema[k] for k in key] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in out]
     shape = T.StructType(fields)
     processor = OrderedSteps(rows, key, T._parse_datatype_string(state), shape, step, ts, list(tie))
     return (
-        stream.withWatermark(ts, delay)
-        .groupBy(*key)
+        stream.groupBy(*key)
         .transformWithStateInPandas(processor, shape, "Append", "EventTime")
     )

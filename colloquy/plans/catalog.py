@@ -20,11 +20,13 @@ from colloquy.operators import (
     chunking, dialogue, documents, embedding, gating, labelled, prompts, quantiles, retrieval, signals, transcripts,
     utterances,
 )
+from colloquy.plans import ingestion
 from colloquy.plans.answering import rag_prompts
 from colloquy.runtime import materialize, shared_dir, spread
-from colloquy.sources.files import drop_comments
+from colloquy.sources.files import drop_comments, scan_documents
 from colloquy.sources.store import dump_chunks, insert_new, open_chunks, write_chunks
 from colloquy.streaming import signals as streams
+from colloquy.streaming.stateful import event_time
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -75,6 +77,19 @@ def timed_events(spark, sf):
 
 # ---- sources, sinks, bookkeeping
 
+@query
+def scan_texts(spark, sf):
+    path = f"{shared_dir(spark).rstrip('/')}/colloquy/{uuid.uuid4().hex}"
+    table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").option(
+        "maxRecordsPerFile", 10_000
+    ).text(path)
+    files = scan_documents(spark, path)
+    lines = files.select(
+        F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"), F.explode(F.split("text", "\n")).alias("line")
+    )
+    return lines.where("line <> ''")
+
+
 @query
 def drop_comment_lines(spark, sf):
     lines = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -202,6 +217,13 @@ def chunk_documents(spark, sf):
     return chunking.chunk_documents(table(spark, sf, "documents"), **SETTINGS)
 
 
+@query
+def build_chunks(spark, sf):
+    every = table(spark, sf, "documents").select("doc_id", "text")
+    made = ingestion.build_chunks(ingestion.prepare_documents(every), **SETTINGS)
+    return made.select("chunk_id", "doc_id", "pos", "n_tokens", "content_hash")
+
+
 @query
 def new_chunks(spark, sf):
     marked = chunking.chunk_fingerprint(
@@ -507,6 +529,52 @@ def replay_stream(spark, sf):
     return _run(spark, out).select("user_id", "event_id", "event", "state")
 
 
+@query
+def gate_stream(spark, sf):
+    clicks = _event_stream(spark, sf).withColumn("busy", F.col("value") * 3600)
+    timed = event_time(clicks, "ts", "0 seconds")
+    clicks = timed.where(F.when(F.col("ts").isNotNull(), F.col("event_type")) == "click")
+    kept = _run(spark, streams.gate_stream(clicks, "user_id", "ts", "busy", None, ["event_id"]))
+    return kept.select("user_id", "event_id", micros(kept, "ts").alias("ts_us"))
+
+
+@query
+def hysteresis_stream(spark, sf):
+    frames = _event_stream(spark, sf).withColumn("prob", F.least(F.lit(1.0), F.col("value") / 100))
+    out = streams.hysteresis_stream(frames, "user_id", "ts", "prob", delay="0 seconds", tie=["event_id"], **SPEECH)
+    return _run(spark, out)
+
+
+@query
+def reframe_stream(spark, sf):
+    shape = table(spark, sf, "embeddings").schema
+    vectors = spark.readStream.schema(shape).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    timed = vectors.select("label", F.timestamp_seconds(F.col("vec_id") + 1).alias("ts"), "embedding")
+    frames = _run(spark, streams.reframe_stream(timed, "label", "ts", "embedding", 24, "0 seconds"))
+    return frames.select("label", "frame_no", flat("embedding").alias("samples"))
+
+
+@query
+def while_enabled_stream(spark, sf):
+    ev = _event_stream(spark, sf)
+    turns = ev.where("event_type IN ('signup', 'error')").select(
+        "user_id", "ts", (F.col("event_type") == "signup").alias("enabled")
+    )
+    rows = ev.where("event_type NOT IN ('signup', 'error')").select("user_id", "event_id", "ts")
+    return _run(spark, streams.while_enabled_stream(rows, turns, "user_id", "ts", delay="0 seconds")).select(
+        "user_id", "event_id"
+    )
+
+
+@query
+def utterance_stream(spark, sf):
+    audio, triggers, ends = _capture_inputs(_event_stream(spark, sf))
+    out = streams.utterance_stream(
+        audio, triggers, ends, "user_id", timeout=2 * DAY, rate=4, chunk=2, delay="0 seconds"
+    )
+    return _run(spark, out).select("user_id", "utt_no", "ended_by", flat("samples", 100).alias("samples"))
+
+
 # ---- labelled rows
 
 @query

@@ -165,7 +165,81 @@ PASSED = "epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events)"
 
 _SP = catalog.SPEECH
 
+
+def gated(where: str = "") -> str:
+    return f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, round(value * 3600 * 1000000)::BIGINT AS busy
+  FROM events WHERE event_type = 'click' {where}),
+r AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id
+    UNION ALL
+    SELECT user_id, t2 FROM (SELECT r.user_id, min(n.t) AS t2 FROM r JOIN e USING (user_id, t)
+      JOIN e n ON n.user_id = r.user_id AND n.t >= r.t + e.busy GROUP BY r.user_id) WHERE t2 IS NOT NULL)
+SELECT user_id, event_id, t AS ts_us FROM r JOIN e USING (user_id, t)"""
+
+
+def segments(where: str = "", closed: str = "") -> str:
+    return f"""
+WITH RECURSIVE f AS (SELECT user_id, least(1.0, value / 100) AS p,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events {where}),
+r AS (
+    SELECT user_id, no, seg, start, pend,
+      NULL::BIGINT AS done FROM (SELECT user_id, no,
+        CASE WHEN p >= {_SP['t']} THEN 1 ELSE 0 END AS seg,
+        CASE WHEN p >= {_SP['t']} THEN {_SP['frame']}::BIGINT - {_SP['pad']} - {_SP['frame']} END AS start,
+        NULL::BIGINT AS pend FROM f WHERE no = 1)
+    UNION ALL
+    SELECT user_id, no, CASE WHEN opens THEN seg + 1 ELSE seg END,
+      CASE WHEN opens THEN place - {_SP['pad']} - {_SP['frame']} WHEN closes THEN NULL ELSE start END,
+      CASE WHEN p >= {_SP['t']} OR closes THEN NULL ELSE pend2 END,
+      CASE WHEN closes THEN pend2 + {_SP['pad']} - {_SP['frame']} END
+    FROM (SELECT *, low AND place - pend2 >= {_SP['min_silence']} AS closes FROM (
+      SELECT f.user_id, f.no, f.p, r.seg, r.start, f.no * {_SP['frame']} AS place, f.p >= {_SP['t']} AND r.start IS NULL AS opens,
+        f.p < {_SP['t']} - {_SP['margin']} AND r.start IS NOT NULL AS low,
+        CASE WHEN f.p < {_SP['t']} - {_SP['margin']} AND r.start IS NOT NULL THEN coalesce(r.pend, f.no * {_SP['frame']}) ELSE r.pend END AS pend2
+      FROM r JOIN f ON f.user_id = r.user_id AND f.no = r.no + 1)))
+SELECT user_id, seg::BIGINT AS segment, max(start)::BIGINT AS start_pos, max(done)::BIGINT AS end_pos FROM r WHERE seg > 0 GROUP BY user_id, seg {closed}"""
+
+
+def captured(where: str = "") -> str:
+    return f"""
+WITH RECURSIVE trg AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click' {where}),
+aud AS (SELECT user_id, epoch_us(ts) AS t, round(value::FLOAT::DOUBLE * 100)::BIGINT AS x, event_type = 'purchase' AS stops
+  FROM events WHERE event_type IN ('view', 'purchase') {where}),
+bnd AS (SELECT user_id, t, (SELECT min(a.t) FROM aud a WHERE a.user_id = trg.user_id AND a.t >= trg.t AND a.stops) AS se,
+  (SELECT min(a.t) FROM aud a WHERE a.user_id = trg.user_id AND a.t >= trg.t + {2 * DAY_US}) AS late FROM trg),
+cap AS (SELECT user_id, t, CASE WHEN se IS NULL THEN late WHEN late IS NULL THEN se ELSE least(se, late) END AS stop,
+  CASE WHEN se IS NOT NULL AND (late IS NULL OR se <= late) THEN 'speech_end' ELSE 'timeout' END AS ended_by FROM bnd),
+r AS (SELECT user_id, min(t) AS t, 1 AS no FROM cap GROUP BY user_id
+    UNION ALL
+    SELECT user_id, t2, no + 1 FROM (SELECT r.user_id, r.no, min(n.t) AS t2 FROM r JOIN cap USING (user_id, t)
+      JOIN cap n ON n.user_id = r.user_id AND n.t > cap.stop GROUP BY r.user_id, r.no) WHERE t2 IS NOT NULL),
+acc AS (SELECT user_id, no, t, stop, ended_by, (SELECT max(a.t) FROM aud a WHERE a.user_id = r.user_id AND a.t < r.t) AS front
+  FROM r JOIN cap USING (user_id, t) WHERE stop IS NOT NULL),
+utt AS (SELECT user_id, acc.no, ended_by, count(*) AS n, string_agg(x::VARCHAR, ',' ORDER BY aud.t) AS s
+  FROM acc JOIN aud USING (user_id) WHERE aud.t BETWEEN acc.t AND acc.stop OR aud.t = acc.front GROUP BY ALL)
+SELECT user_id, no::BIGINT AS utt_no, ended_by, CASE WHEN n < 4 THEN s || repeat(',0', (6 - n)::INTEGER) ELSE s END AS samples FROM utt"""
+
+
+def reframed(where: str = "") -> str:
+    return f"""
+WITH s AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings {where}),
+n AS (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS place FROM s)
+SELECT label, place // 24 AS frame_no, string_agg(round(x::DOUBLE * 1000000)::BIGINT::VARCHAR, ',' ORDER BY place) AS samples
+FROM n GROUP BY label, place // 24 HAVING count(*) = 24"""
+
+
+def switched(where: str = "") -> str:
+    return f"""
+WITH sw AS (SELECT user_id, ts, event_type = 'signup' AS enabled FROM events WHERE event_type IN ('signup', 'error'))
+SELECT e.user_id, e.event_id FROM (SELECT * FROM events WHERE event_type NOT IN ('signup', 'error') {where}) e
+ASOF JOIN sw ON sw.user_id = e.user_id AND sw.ts <= e.ts WHERE sw.enabled"""
+
+
+BUILT = {"buffer_size": 1, "chunk_size": SIZE, "dim": 256, "embedder": "hashed", "overlap": SHARED, "pct": 90}
+BUILT_MARK = "|".join(f"{k}={v}" for k, v in BUILT.items())
+
 ORACLE: dict[str, str] = {
+    "scan_texts": "SELECT lang, line FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''",
     "drop_comment_lines": r"""
 SELECT doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM
   (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS line_no, unnest(l) AS line
@@ -223,6 +297,10 @@ SELECT doc_id, (i // 80)::INTEGER AS pos, array_to_string(ws[i + 1 : i + 100], '
   len(ws[i + 1 : i + 100])::INTEGER AS n_tokens FROM c""",
     "chunk_documents": "WITH RECURSIVE " + DISTANCES + packing("numbered", "doc_id, chunk_no")
     + " SELECT doc_id, chunk_no, part, text, n_tokens FROM spans",
+    "build_chunks": "WITH RECURSIVE " + DISTANCES + packing("numbered", "doc_id, chunk_no") + f""",
+h AS (SELECT *, sha256('{BUILT_MARK}|' || text) AS content_hash FROM spans)
+SELECT concat_ws('-', doc_id, chunk_no, part, substr(content_hash, 1, 12)) AS chunk_id, doc_id, chunk_no AS pos, n_tokens,
+  content_hash FROM h""",
     "new_chunks": f"""
 WITH h AS (SELECT doc_id, lang, sha256('{MARK}|' || text) AS content_hash FROM documents)
 SELECT doc_id, content_hash FROM h WHERE content_hash NOT IN (SELECT content_hash FROM h WHERE lang = 'en')""",
@@ -308,11 +386,8 @@ SELECT vec_id, fmt, {flat('list_transform(raw, lambda v: (v / peak)::FLOAT)', 10
     "samples_to_pcm16": """
 SELECT vec_id, array_to_string(list_transform(embedding, lambda x:
   trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (x * 4::FLOAT)::DOUBLE)) * 32767)::BIGINT::VARCHAR), ',') AS samples FROM embeddings""",
-    "reframe": """
-WITH s AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings),
-n AS (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS place FROM s)
-SELECT label, place // 24 AS frame_no, string_agg(round(x::DOUBLE * 1000000)::BIGINT::VARCHAR, ',' ORDER BY place) AS samples
-FROM n GROUP BY label, place // 24 HAVING count(*) = 24""",
+    "reframe": reframed(),
+    "reframe_stream": reframed("WHERE vec_id < (SELECT max(vec_id) FROM embeddings)"),
     "with_preroll": f"""
 SELECT vec_id, {flat('list_concat(coalesce(before, []), embedding)')} AS samples FROM
   (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings)""",
@@ -321,55 +396,14 @@ SELECT vec_id, CASE WHEN 64 < 61 + label THEN {flat('embedding')} || repeat(',0'
   ELSE {flat('embedding')} END AS samples FROM embeddings""",
     "debounce": debounced(),
     "debounce_stream": debounced(f"AND {PASSED}"),
-    "gate_triggers": """
-WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, round(value * 3600 * 1000000)::BIGINT AS busy
-  FROM events WHERE event_type = 'click'),
-r AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id
-    UNION ALL
-    SELECT user_id, t2 FROM (SELECT r.user_id, min(n.t) AS t2 FROM r JOIN e USING (user_id, t)
-      JOIN e n ON n.user_id = r.user_id AND n.t >= r.t + e.busy GROUP BY r.user_id) WHERE t2 IS NOT NULL)
-SELECT user_id, event_id, t AS ts_us FROM r JOIN e USING (user_id, t)""",
-    "hysteresis_segments": f"""
-WITH RECURSIVE f AS (SELECT user_id, least(1.0, value / 100) AS p,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events),
-r AS (
-    SELECT user_id, no, seg, start, pend,
-      NULL::BIGINT AS done FROM (SELECT user_id, no,
-        CASE WHEN p >= {_SP['t']} THEN 1 ELSE 0 END AS seg,
-        CASE WHEN p >= {_SP['t']} THEN {_SP['frame']}::BIGINT - {_SP['pad']} - {_SP['frame']} END AS start,
-        NULL::BIGINT AS pend FROM f WHERE no = 1)
-    UNION ALL
-    SELECT user_id, no, CASE WHEN opens THEN seg + 1 ELSE seg END,
-      CASE WHEN opens THEN place - {_SP['pad']} - {_SP['frame']} WHEN closes THEN NULL ELSE start END,
-      CASE WHEN p >= {_SP['t']} OR closes THEN NULL ELSE pend2 END,
-      CASE WHEN closes THEN pend2 + {_SP['pad']} - {_SP['frame']} END
-    FROM (SELECT *, low AND place - pend2 >= {_SP['min_silence']} AS closes FROM (
-      SELECT f.user_id, f.no, f.p, r.seg, r.start, f.no * {_SP['frame']} AS place, f.p >= {_SP['t']} AND r.start IS NULL AS opens,
-        f.p < {_SP['t']} - {_SP['margin']} AND r.start IS NOT NULL AS low,
-        CASE WHEN f.p < {_SP['t']} - {_SP['margin']} AND r.start IS NOT NULL THEN coalesce(r.pend, f.no * {_SP['frame']}) ELSE r.pend END AS pend2
-      FROM r JOIN f ON f.user_id = r.user_id AND f.no = r.no + 1)))
-SELECT user_id, seg::BIGINT AS segment, max(start)::BIGINT AS start_pos, max(done)::BIGINT AS end_pos FROM r WHERE seg > 0 GROUP BY user_id, seg""",
-    "assemble_utterances": f"""
-WITH RECURSIVE trg AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click'),
-aud AS (SELECT user_id, epoch_us(ts) AS t, round(value::FLOAT::DOUBLE * 100)::BIGINT AS x, event_type = 'purchase' AS stops
-  FROM events WHERE event_type IN ('view', 'purchase')),
-bnd AS (SELECT user_id, t, (SELECT min(a.t) FROM aud a WHERE a.user_id = trg.user_id AND a.t >= trg.t AND a.stops) AS se,
-  (SELECT min(a.t) FROM aud a WHERE a.user_id = trg.user_id AND a.t >= trg.t + {2 * DAY_US}) AS late FROM trg),
-cap AS (SELECT user_id, t, CASE WHEN se IS NULL THEN late WHEN late IS NULL THEN se ELSE least(se, late) END AS stop,
-  CASE WHEN se IS NOT NULL AND (late IS NULL OR se <= late) THEN 'speech_end' ELSE 'timeout' END AS ended_by FROM bnd),
-r AS (SELECT user_id, min(t) AS t, 1 AS no FROM cap GROUP BY user_id
-    UNION ALL
-    SELECT user_id, t2, no + 1 FROM (SELECT r.user_id, r.no, min(n.t) AS t2 FROM r JOIN cap USING (user_id, t)
-      JOIN cap n ON n.user_id = r.user_id AND n.t > cap.stop GROUP BY r.user_id, r.no) WHERE t2 IS NOT NULL),
-acc AS (SELECT user_id, no, t, stop, ended_by, (SELECT max(a.t) FROM aud a WHERE a.user_id = r.user_id AND a.t < r.t) AS front
-  FROM r JOIN cap USING (user_id, t) WHERE stop IS NOT NULL),
-utt AS (SELECT user_id, acc.no, ended_by, count(*) AS n, string_agg(x::VARCHAR, ',' ORDER BY aud.t) AS s
-  FROM acc JOIN aud USING (user_id) WHERE aud.t BETWEEN acc.t AND acc.stop OR aud.t = acc.front GROUP BY ALL)
-SELECT user_id, no::BIGINT AS utt_no, ended_by, CASE WHEN n < 4 THEN s || repeat(',0', (6 - n)::INTEGER) ELSE s END AS samples FROM utt""",
-    "while_enabled": """
-WITH sw AS (SELECT user_id, ts, event_type = 'signup' AS enabled FROM events WHERE event_type IN ('signup', 'error'))
-SELECT e.user_id, e.event_id FROM (SELECT * FROM events WHERE event_type NOT IN ('signup', 'error')) e
-ASOF JOIN sw ON sw.user_id = e.user_id AND sw.ts <= e.ts WHERE sw.enabled""",
+    "gate_triggers": gated(),
+    "gate_stream": gated(f"AND {PASSED}"),
+    "hysteresis_segments": segments(),
+    "hysteresis_stream": segments(f"WHERE {PASSED}", "HAVING max(done) IS NOT NULL"),
+    "assemble_utterances": captured(),
+    "utterance_stream": captured(f"AND {PASSED}"),
+    "while_enabled": switched(),
+    "while_enabled_stream": switched(f"AND {PASSED}"),
     "latest_score": """
 SELECT user_id, event_type, max(epoch_us(ts)) AS ts_us, arg_max(value, ts) AS value FROM events GROUP BY user_id, event_type""",
     "replay_states": replay(""),

@@ -109,20 +109,21 @@ def replay_states(
     rows = arrange(coded, key, ["_at", *tie], run_rows)
     item = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(rows.order)], "_code",
                     F.struct(*kept, F.col("_event").alias("event")).alias("_row"))
-    runs = rows.df.groupBy(key, RUN).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    # the key as a struct: joins on it keep null keys
+    runs = rows.df.groupBy(F.struct(key).alias("_key"), RUN).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
     first = F.lit(STATES.index(initial))
     if rows.split:
-        effects = runs.select(key, RUN, _effect(F.col("_rows._code")).alias("_e"))
-        chained = effects.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(RUN, "_e"))).alias("_runs"))
+        effects = runs.select("_key", RUN, _effect(F.col("_rows._code")).alias("_e"))
+        chained = effects.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(RUN, "_e"))).alias("_runs"))
         chained = chained.withColumn("_start", _starts(F.col("_runs._e"), first))
-        entry = chained.select(key, F.inline(F.arrays_zip(F.col(f"_runs.{RUN}").alias(RUN), F.col("_start").alias("_start"))))
-        runs = runs.join(entry, [key, RUN])
+        entry = chained.select("_key", F.inline(F.arrays_zip(F.col(f"_runs.{RUN}").alias(RUN), F.col("_start").alias("_start"))))
+        runs = runs.join(entry, ["_key", RUN])
     else:
         runs = runs.withColumn("_start", first)
     followed = runs.withColumn("_states", _follow(F.col("_rows._code"), F.col("_start")))
-    flat = followed.select(key, F.inline(F.arrays_zip(F.col("_rows._row").alias("row"), F.col("_states").alias("no"))))
+    flat = followed.select("_key", F.inline(F.arrays_zip(F.col("_rows._row").alias("row"), F.col("_states").alias("no"))))
     names = F.array(*[F.lit(s) for s in STATES])
-    return flat.select(key, "row.*", F.get(names, F.col("no")).alias("state"))
+    return flat.select("_key.*", "row.*", F.get(names, F.col("no")).alias("state"))
 
 
 def stage_durations(

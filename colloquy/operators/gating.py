@@ -83,41 +83,44 @@ def accept(rows: Ordered, until: str) -> Ordered:
         F.coalesce(F.col(until), F.lit(int(_NEVER))).alias("_until"),
         F.struct(*kept).alias("_row"),
     )
-    runs = rows.df.groupBy(*rows.key, RUN).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    # the key as one struct: joins on it keep null keys
+    runs = rows.df.groupBy(F.struct(*rows.key).alias("_key"), RUN).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
     if rows.split:
         runs = materialize(runs)
-        entry = _entries(runs, rows.key)
-        runs = runs.join(entry, [*rows.key, RUN])
+        runs = runs.join(_entries(runs, ["_key"]), ["_key", RUN])
     else:
         runs = runs.withColumn("_entry", F.lit(int(np.iinfo(np.int64).min)))
     taken = _walk(F.col("_rows._o0"), F.col("_rows._until"), F.col("_entry"))
     picked = runs.withColumn("_taken", taken).select(
-        *rows.key, RUN,
-        F.explode(F.transform("_taken", lambda i: F.get(F.col("_rows"), i)["_row"])).alias("_row"),
+        "_key", RUN, F.explode(F.transform("_taken", lambda i: F.get(F.col("_rows"), i)["_row"])).alias("_row")
     )
-    return rows.with_df(picked.select(*rows.key, RUN, "_row.*").select(*rows.df.columns))
+    return rows.with_df(picked.select("_key.*", RUN, "_row.*").select(*rows.df.columns))
 
 
 def _entries(runs: DataFrame, key: list) -> DataFrame:
     """The moment from which each visited run is entered."""
+    by_run = Window.partitionBy(*key).orderBy(RUN)
+    spans = runs.select(*key, RUN, F.element_at("_rows._o0", -1).alias("_end")).select(
+        "*", F.lead(RUN).over(by_run).alias("_next"), F.row_number().over(by_run).alias("_no"),
+        F.count("*").over(Window.partitionBy(*key)).alias("_of"),
+    )
+    spans = materialize(spans)
+    opening = spans.where("_no = 1").select(*key, RUN, F.lit(int(np.iinfo(np.int64).min)).alias("_entry"))
+    longest = spans.agg(F.max("_of")).first()[0] or 1
+    if longest == 1:
+        return opening
+    spans = spans.where("_of > 1")  # keys of one run are done
     runs = materialize(
-        runs.select(
-            *key,
-            RUN,
+        runs.join(spans.select(*key, RUN, "_next", "_no"), [*key, RUN]).select(
+            *key, RUN, "_next", "_no",
             F.col("_rows._o0").alias("_ts"),
             _exits(F.col("_rows._o0"), F.col("_rows._until")).alias("_out"),
         )
     )
-    by_run = Window.partitionBy(*key).orderBy(RUN)
-    spans = runs.select(*key, RUN, F.element_at("_ts", -1).alias("_end")).select(
-        "*", F.lead(RUN).over(by_run).alias("_next"), F.row_number().over(by_run).alias("_no")
-    )
-    first = spans.where("_no = 1").select(*key, RUN)
 
     # a node is (key, run left, moment); it enters the first later run that ends
     # at or after the moment
-    nodes = runs.select(*key, RUN, F.explode(F.array_distinct("_out")).alias("_at"))
-    nodes = nodes.join(spans.select(*key, RUN, "_next"), [*key, RUN]).where("_next IS NOT NULL")
+    nodes = runs.where("_next IS NOT NULL").select(*key, RUN, "_next", F.explode(F.array_distinct("_out")).alias("_at"))
     marks = nodes.select(*key, F.col("_at").alias("_v"), F.lit(0).alias("_kind"), RUN, "_next", F.lit(None).cast("bigint").alias("_hit"))
     ends = spans.select(*key, F.col("_end").alias("_v"), F.lit(1).alias("_kind"), RUN, F.lit(None).cast("bigint").alias("_next"), F.col(RUN).alias("_hit"))
     merged = arrange(
@@ -138,13 +141,12 @@ def _entries(runs: DataFrame, key: list) -> DataFrame:
             F.col(RUN).alias("_to"), F.col("_left").alias("_left"),
         )
     )
-    start = runs.join(first, [*key, RUN], "left_semi").select(
+    start = runs.where("_no = 1").select(
         *key, F.col(RUN).alias("_from"), F.element_at("_out", 1).alias("_at")
     )
     reached = materialize(start)
     jump = edges.select(*key, "_from", "_at", F.col("_to").alias("_from2"), F.col("_left").alias("_at2"))
     jump = materialize(jump)
-    longest = spans.groupBy(*key).count().agg(F.max("count")).first()[0] or 1
     steps = 1
     while steps < longest:
         moved = reached.join(jump, [*key, "_from", "_at"]).select(
@@ -163,7 +165,6 @@ def _entries(runs: DataFrame, key: list) -> DataFrame:
     later = edges.join(reached, [*key, "_from", "_at"]).select(
         *key, F.col("_to").alias(RUN), F.col("_at").alias("_entry")
     )
-    opening = first.withColumn("_entry", F.lit(int(np.iinfo(np.int64).min)))
     return opening.unionByName(later)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from colloquy.runtime import materialize
 
 RUN = "_run"
-RUN_ROWS = 200_000
+RUN_ROWS = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number below bit 33
 
 

@@ -163,14 +163,14 @@ def test_utterances_from_speech(spark):
 @pytest.mark.parametrize("run_rows", RUNS)
 def test_replay(spark, run_rows):
     rnd = random.Random(4)
-    rows = [(k, i, rnd.choice([*dialogue.EVENTS, "noise"])) for k, n in ((1, 300), (2, 30)) for i in range(n)]
+    rows = [(k, i, rnd.choice([*dialogue.EVENTS, "noise"])) for k, n in ((1, 300), (2, 30), (None, 40)) for i in range(n)]
     df = spark.createDataFrame(rows, "key int, ts bigint, event string").repartition(3)
     got = dialogue.replay_states(df, "key", "ts", "event", run_rows=run_rows)
     want, state = [], {}
     for k, i, e in rows:
         state[k] = dialogue.next_state(state.get(k, "WAITING"), e)
         want.append((k, i, e, state[k]))
-    assert sorted((r.key, r.ts, r.event, r.state) for r in got.collect()) == sorted(want)
+    assert sorted(((r.key, r.ts, r.event, r.state) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
 def test_transitions():

@@ -48,48 +48,63 @@ def buffer_sentences(
     return df.withColumn("buffered", F.array_join(F.collect_list(sentence).over(near), ""))
 
 
-def buffered_counts(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", buffer_size: int = BUFFER_SIZE, dim: int = DIM
-) -> DataFrame:
-    """Word counts per buffered sentence and bucket: (id, pos, bucket, n).
+def sentence_counts(docs: DataFrame, id: str = "doc_id", text: str = "text", dim: int = DIM) -> DataFrame:
+    """Word counts per sentence and bucket: (id, pos, bucket, n).
 
-    Sentences end in their own terminator, so joining neighbours never merges two
-    words and the counts of a buffer are the sums of its sentences' counts. Every
-    sentence also has a row in bucket -1, which keeps those without words.
+    Every sentence also has a row in bucket -1, which keeps those without words.
     """
-    cut = docs.select(id, sentences_of(text).alias("_all"))
-    sents = cut.select(id, F.size("_all").alias("_n"), F.posexplode("_all").alias("pos", "_s"))
-    found = sents.select(id, "pos", "_n", F.explode(F.concat(F.array(F.lit("")), letters(F.col("_s")))).alias("_w"))
+    sents = docs.select(id, F.posexplode(sentences_of(text)).alias("pos", "_s"))
+    found = sents.select(id, "pos", F.explode(F.concat(F.array(F.lit("")), letters(F.col("_s")))).alias("_w"))
     place = F.when(F.col("_w") == "", -1).otherwise(bucket(F.col("_w"), dim))
-    own = found.groupBy(id, "pos", "_n", place.alias("bucket")).agg(F.count("*").alias("n"))
-    around = F.sequence(
-        F.greatest(F.col("pos") - buffer_size, F.lit(0)), F.least(F.col("pos") + buffer_size, F.col("_n") - 1)
-    )
-    spread = own.select(id, F.explode(around).alias("pos"), "bucket", "n")
-    return spread.groupBy(id, "pos", "bucket").agg(F.sum("n").alias("n"))
+    return found.groupBy(id, "pos", place.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def adjacent_distance(counts: DataFrame, id: str = "doc_id") -> DataFrame:
-    """``1 - cosine`` between each sentence and the one before it: (id, pos, distance).
+def adjacent_distance(counts: DataFrame, id: str = "doc_id", buffer_size: int = BUFFER_SIZE) -> DataFrame:
+    """``1 - cosine`` between each buffered sentence and the one before it: (id, pos, distance).
 
-    1 if they share no bucket or one of them has no words. Rounded to nine places
-    so that equal texts give equal distances.
+    Sentences end in their own terminator, so joining neighbours never merges two
+    words and a buffer's counts are the sums of its sentences' counts. All products
+    of buffers are therefore sums of products of single sentences at most
+    ``2 * buffer_size + 1`` apart. Those come from one pass along each bucket, and no
+    buffer is ever built. 1 if two buffers share no bucket or one has no words.
+    Rounded to nine places so that equal texts give equal distances.
     """
+    reach = 2 * buffer_size + 1
     along = Window.partitionBy(id, "bucket").orderBy("pos")
     n = F.col("n").cast("double")
-    paired = counts.select(
-        id, "pos", "bucket", n.alias("n"),
-        F.when(F.lag("pos").over(along) == F.col("pos") - 1, n * F.lag(n).over(along)).alias("_product"),
-    )
+    before = [
+        c for k in range(1, reach + 1) for c in
+        (F.lag("pos", k).over(along).alias(f"_p{k}"), F.lag(n, k).over(along).alias(f"_n{k}"))
+    ]
+    paired = counts.select(id, "pos", "bucket", n.alias("n"), *before)
     real = F.col("bucket") >= 0
-    per_pos = paired.groupBy(id, "pos").agg(
-        F.sum(F.when(real, F.col("_product"))).alias("_dot"), F.sum(F.when(real, n * n)).alias("_sq")
-    )
+
+    def products(apart: int) -> Column:
+        """Product of the sentence with the one ``apart`` before it."""
+        if apart == 0:
+            return F.sum(F.when(real, n * n))
+        hits = [
+            F.when(real & (F.col(f"_p{k}") == F.col("pos") - apart), n * F.col(f"_n{k}")).otherwise(0.0)
+            for k in range(1, apart + 1)
+        ]
+        return F.sum(sum(hits[1:], hits[0]))
+
+    per_pos = paired.groupBy(id, "pos").agg(*[products(d).alias(f"_g{d}") for d in range(reach + 1)])
     by_pos = Window.partitionBy(id).orderBy("pos")
-    cosine = F.col("_dot") / (F.sqrt("_sq") * F.sqrt(F.lag("_sq").over(by_pos)))
-    return per_pos.select(
-        id, "pos", F.row_number().over(by_pos).alias("_i"), F.round(1 - F.coalesce(cosine, F.lit(0.0)), 9).alias("distance")
-    ).where("_i > 1").drop("_i")
+
+    def shifted(apart: int, offset: int) -> Column:
+        moved = F.lead(f"_g{apart}", offset) if offset >= 0 else F.lag(f"_g{apart}", -offset)
+        return F.coalesce(moved.over(by_pos), F.lit(0.0))
+
+    def product(left: range, right: range) -> Column:
+        terms = [shifted(abs(i - j), max(i, j)) for i in left for j in right]
+        return sum(terms[1:], terms[0])
+
+    here = range(-buffer_size, buffer_size + 1)
+    prior = range(-buffer_size - 1, buffer_size)
+    length = F.sqrt(product(here, here)) * F.sqrt(product(prior, prior))
+    cosine = F.try_divide(product(prior, here), length)
+    return per_pos.select(id, "pos", F.round(1 - F.coalesce(cosine, F.lit(0.0)), 9).alias("distance")).where("pos > 0")
 
 
 def breakpoint_threshold(distances: DataFrame, id: str = "doc_id", pct: float = BREAK_PERCENTILE) -> DataFrame:
@@ -116,8 +131,8 @@ def _with_breaks(
 ) -> DataFrame:
     # both uses of the placed texts filter alike, so that they share one shuffle
     placed = docs.where(F.col(id).isNotNull() & F.col(text).rlike("[^.!?]")).select(id, text).repartition(id)
-    counts = buffered_counts(placed, id, text, buffer_size, dim)
-    breaks = semantic_breaks(adjacent_distance(counts, id), id, pct)
+    counts = sentence_counts(placed, id, text, dim)
+    breaks = semantic_breaks(adjacent_distance(counts, id, buffer_size), id, pct)
     pieces = placed.join(breaks, id, "left").withColumn("_sents", sentences_of(text))
     starts = F.concat(F.array(F.lit(0)), F.coalesce("_breaks", F.array().cast("array<int>")))
     ends = F.concat(F.coalesce("_breaks", F.array().cast("array<int>")), F.array(F.size("_sents")))

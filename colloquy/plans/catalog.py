@@ -184,7 +184,7 @@ def embed(spark, sf):
 
 def _distances(spark, sf):
     placed = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
-    return chunking.adjacent_distance(chunking.buffered_counts(placed))
+    return chunking.adjacent_distance(chunking.sentence_counts(placed))
 
 
 @query

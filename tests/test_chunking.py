@@ -122,3 +122,31 @@ def test_own_embedder(spark):
 
     df = spark.createDataFrame([(1, "abc")], "id int, text string")
     assert embed(df, "text", lengths).first().embedding == [3.0, 1.0]
+
+
+@pytest.mark.parametrize("buffer_size", [0, 1, 2])
+def test_distances_of_joined_sentences(spark, buffer_size):
+    import hashlib
+    import math
+    import re
+    from collections import Counter
+
+    rows = texts(15, seed=9) + [(90, "123. 456. abc."), (91, "one.")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {
+        (r.doc_id, r.pos): r.distance
+        for r in chunking.adjacent_distance(chunking.sentence_counts(df, dim=16), buffer_size=buffer_size).collect()
+    }
+    want = {}
+    for i, text in rows:
+        sents = re.findall(r"[^.!?]+[.!?]*", text)
+        vectors = []
+        for p in range(len(sents)):
+            joined = "".join(sents[max(0, p - buffer_size): p + buffer_size + 1]).lower()
+            found = re.findall(r"[^\W\d_]+", joined)
+            vectors.append(Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in found))
+        for p in range(1, len(sents)):
+            a, b = vectors[p - 1], vectors[p]
+            norm = math.sqrt(sum(x * x for x in a.values())) * math.sqrt(sum(x * x for x in b.values()))
+            want[(i, p)] = round(1 - (sum(a[k] * b[k] for k in a) / norm if norm else 0.0), 9)
+    assert got == pytest.approx(want, abs=1e-9)

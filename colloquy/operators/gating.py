@@ -62,15 +62,6 @@ def _exits(ts: pd.Series, until: pd.Series) -> pd.Series:
     return pd.Series([one(t, u) for t, u in zip(ts, until)])
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _leave(ts: pd.Series, exits: pd.Series, entries: pd.Series) -> pd.Series:
-    """Exit moment of a run for each of the given entry moments."""
-    def one(t, x, e):
-        return np.asarray(x)[np.searchsorted(np.asarray(t), np.asarray(e), side="left")]
-
-    return pd.Series([one(*row) for row in zip(ts, exits, entries)])
-
-
 def accept(rows: Ordered, until: str) -> Ordered:
     """Accepted rows, still in their runs.
 
@@ -118,27 +109,26 @@ def _entries(runs: DataFrame, key: list) -> DataFrame:
         )
     )
 
-    # a node is (key, run left, moment); it enters the first later run that ends
-    # at or after the moment
-    nodes = runs.where("_next IS NOT NULL").select(*key, RUN, "_next", F.explode(F.array_distinct("_out")).alias("_at"))
-    marks = nodes.select(*key, F.col("_at").alias("_v"), F.lit(0).alias("_kind"), RUN, "_next", F.lit(None).cast("bigint").alias("_hit"))
-    ends = spans.select(*key, F.col("_end").alias("_v"), F.lit(1).alias("_kind"), RUN, F.lit(None).cast("bigint").alias("_next"), F.col(RUN).alias("_hit"))
-    merged = arrange(
-        marks.unionByName(ends).withColumnRenamed(RUN, "_from"), key, ["_v", "_kind", "_from"]
-    ).next_value("_hit", "_to")
-    landed = merged.result().where("_kind = 0 AND _to IS NOT NULL").select(
-        *key, F.col("_from"), F.col("_v").alias("_at"), F.greatest("_to", "_next").alias("_to")
-    )
-    asked = landed.groupBy(*key, F.col("_to").alias(RUN)).agg(
-        F.collect_list(F.struct("_from", "_at")).alias("_ask")
-    )
-    answered = asked.join(runs, [*key, RUN]).withColumn(
-        "_left", _leave(F.col("_ts"), F.col("_out"), F.col("_ask._at"))
+    # a node is (key, run left, moment); it enters the first later row at or after
+    # the moment, found by filling backwards over moments and rows in one order
+    after = runs.select(
+        *key, RUN, "_next", F.lead(F.element_at("_out", 1)).over(by_run).alias("_past")
+    ).where("_next IS NOT NULL")
+    nodes = runs.select(*key, RUN, F.explode(F.array_distinct("_out")).alias("_v")).join(after, [*key, RUN])
+    marks = nodes.withColumn("_kind", F.lit(0)).withColumn("_i", F.lit(0))
+    rows = runs.select(*key, RUN, F.posexplode(F.arrays_zip("_ts", "_out")).alias("_i", "_r")).select(
+        *key, RUN, F.col("_r._ts").alias("_v"), F.lit(1).alias("_kind"), "_i",
+        F.struct(F.col(RUN).alias("run"), F.col("_r._out").alias("exit")).alias("_hit"),
     )
+    merged = arrange(
+        marks.unionByName(rows, allowMissingColumns=True).withColumnRenamed(RUN, "_from"), key, ["_v", "_kind", "_from", "_i"]
+    ).next_value("_hit", "_got")
+    further = F.col("_got.run") >= F.col("_next")  # false for a row that is busy no longer than its own moment
     edges = materialize(
-        answered.select(*key, RUN, F.inline(F.arrays_zip("_ask", "_left"))).select(
-            *key, F.col("_ask._from").alias("_from"), F.col("_ask._at").alias("_at"),
-            F.col(RUN).alias("_to"), F.col("_left").alias("_left"),
+        merged.result().where("_kind = 0 AND _got IS NOT NULL").select(
+            *key, "_from", F.col("_v").alias("_at"),
+            F.when(further, F.col("_got.run")).otherwise(F.col("_next")).alias("_to"),
+            F.when(further, F.col("_got.exit")).otherwise(F.col("_past")).alias("_left"),
         )
     )
     start = runs.where("_no = 1").select(
@@ -146,7 +136,6 @@ def _entries(runs: DataFrame, key: list) -> DataFrame:
     )
     reached = materialize(start)
     jump = edges.select(*key, "_from", "_at", F.col("_to").alias("_from2"), F.col("_left").alias("_at2"))
-    jump = materialize(jump)
     steps = 1
     while steps < longest:
         moved = reached.join(jump, [*key, "_from", "_at"]).select(

@@ -500,10 +500,14 @@ def stage_durations(spark, sf):
 
 def _run(spark, stream: DataFrame) -> DataFrame:
     base = f"{shared_dir(spark).rstrip('/')}/colloquy/{uuid.uuid4().hex}"
+    # the first start fixes the number of state partitions: at most one per core
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(parts), spark.sparkContext.defaultParallelism))
     running = (
         stream.writeStream.format("parquet").option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     )
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 

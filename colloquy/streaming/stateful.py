@@ -43,8 +43,11 @@ class OrderedSteps(StatefulProcessor):
         fresh = [self._typed(r) for r in fresh]
         if not fresh:
             return iter([])
+        # Spark has dropped what is behind the watermark, so none of these is due yet
         self.waiting.appendList(fresh)
-        return self._drain(key, timerValues.getCurrentWatermarkInMs())
+        at = self.rows.names.index(self.ts)
+        self.handle.registerTimer(min(_millis(r[at]) for r in fresh) + 1)
+        return iter([])
 
     def _typed(self, row) -> tuple:
         """Python values for the state; pandas turns whole numbers with gaps into floats."""
@@ -68,7 +71,7 @@ class OrderedSteps(StatefulProcessor):
             self.waiting.clear()
         order = [at] + [self.rows.names.index(t) for t in self.tie]
         ready.sort(key=lambda r: tuple(r[i] for i in order))
-        before = self.state.get() if self.state.exists() else None
+        before = self.state.get()
         state, emitted = self.step(
             tuple(before) if before is not None else None, [dict(zip(self.rows.names, r)) for r in ready]
         )

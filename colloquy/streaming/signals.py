@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from colloquy.functions.numbers import AUDIO_CHUNK, SAMPLE_RATE
 from colloquy.operators.dialogue import EVENTS, next_state
 from colloquy.operators.signals import FRAME, MARGIN, MIN_SILENCE, SPEECH, SPEECH_PAD
 from colloquy.operators.utterances import CAPTURE_TIMEOUT
-from colloquy.streaming.stateful import event_time, in_order
+from colloquy.streaming.stateful import AT, event_time, in_order
 
 
 def _columns(df: DataFrame, key: str) -> list:
@@ -36,13 +34,13 @@ def gate_stream(df: DataFrame, key: str, ts: str, busy_for, delay: str | None =
     def step(state, rows):
         until, out = (state[0] if state else None), []
         for row in rows:
-            if until is None or row[ts] >= until:
+            if until is None or row[AT] >= until:
                 length = row[busy_for] if isinstance(busy_for, str) else busy_for
-                until = row[ts] + timedelta(microseconds=round(length * 1_000_000))
+                until = row[AT] + round(length * 1_000_000)
                 out.append(row)
         return (until,), out
 
-    return in_order(df, key, ts, "until timestamp", _timed(df, key, ts), step, delay, tie)
+    return in_order(df, key, ts, "until bigint", _timed(df, key, ts), step, delay, tie)
 
 
 def _timed(df: DataFrame, key: str, ts: str) -> list:
@@ -147,7 +145,7 @@ def utterance_stream(
         .unionByName(side(triggers, 0), allowMissingColumns=True)
         .unionByName(side(speech_ends, 1), allowMissingColumns=True)
     )
-    limit = timedelta(seconds=timeout)
+    limit = round(timeout * 1_000_000)
 
     def step(state, rows):
         begun, ended, held, front, no = state if state else (None, False, [], [], 0)
@@ -155,7 +153,7 @@ def utterance_stream(
         for row in rows:
             if row["row_kind"] == 0:
                 if begun is None:
-                    begun, ended, held = row[ts], False, list(front)
+                    begun, ended, held = row[AT], False, list(front)
             elif row["row_kind"] == 1:
                 ended = ended or begun is not None
             else:
@@ -163,7 +161,7 @@ def utterance_stream(
                 if begun is None:
                     continue
                 held.extend(front)
-                if ended or (timeout > 0 and row[ts] - begun >= limit):
+                if ended or (timeout > 0 and row[AT] - begun >= limit):
                     no += 1
                     if rate > 0 and len(held) < rate:
                         held.extend([0.0] * max(0, chunk + rate - len(held)))
@@ -172,6 +170,6 @@ def utterance_stream(
         return (begun, ended, held, front, no), out
 
     kind = audio.schema[col].dataType.simpleString()
-    state = f"begun timestamp, ended boolean, held {kind}, front {kind}, no bigint"
+    state = f"begun bigint, ended boolean, held {kind}, front {kind}, no bigint"
     columns = [("utt_no", "bigint"), (col, kind), ("ended_by", "string")]
     return in_order(merged, key, ts, state, columns, step, delay, ["row_kind"])

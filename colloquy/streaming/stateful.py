@@ -7,7 +7,8 @@ and counted by Spark (``numRowsDroppedByWatermark``).
 
 An operator is a ``step(state, rows)`` function: a tuple of state values (or None at
 first) and the ordered rows of one key as dictionaries; it returns the new state
-and the rows to emit.
+and the rows to emit. In rows, event time is a whole number of microseconds under
+``AT``, so neither the session's zone nor a clock change can move it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from colloquy.functions.numbers import micros
+
+AT = "event_us"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,9 +33,9 @@ def use_rocksdb(spark) -> None:
 
 
 class OrderedSteps(StatefulProcessor):
-    def __init__(self, rows: T.StructType, key: list, state: T.StructType, out: T.StructType, step: Callable, ts: str, tie: list):
+    def __init__(self, rows: T.StructType, key: list, state: T.StructType, out: T.StructType, step: Callable, tie: list):
         self.rows, self.key, self.state_type, self.out = rows, key, state, out
-        self.step, self.ts, self.tie = step, ts, tie
+        self.step, self.tie = step, tie
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -45,8 +49,8 @@ class OrderedSteps(StatefulProcessor):
             return iter([])
         # Spark has dropped what is behind the watermark, so none of these is due yet
         self.waiting.appendList(fresh)
-        at = self.rows.names.index(self.ts)
-        self.handle.registerTimer(min(_millis(r[at]) for r in fresh) + 1)
+        at = self.rows.names.index(AT)
+        self.handle.registerTimer(min(r[at] // 1000 for r in fresh) + 1)
         return iter([])
 
     def _typed(self, row) -> tuple:
@@ -57,12 +61,12 @@ class OrderedSteps(StatefulProcessor):
         return self._drain(key, timerValues.getCurrentWatermarkInMs())
 
     def _drain(self, key, watermark):
-        at = self.rows.names.index(self.ts)
+        at = self.rows.names.index(AT)
         held = list(self.waiting.get())
-        ready = [r for r in held if _millis(r[at]) < watermark]
-        early = [r for r in held if _millis(r[at]) >= watermark]
+        ready = [r for r in held if r[at] // 1000 < watermark]
+        early = [r for r in held if r[at] // 1000 >= watermark]
         if early:  # wake up as soon as the watermark has passed the first of them
-            self.handle.registerTimer(min(_millis(r[at]) for r in early) + 1)
+            self.handle.registerTimer(min(r[at] // 1000 for r in early) + 1)
         if not ready:
             return iter([])
         if early:
@@ -97,15 +101,9 @@ def _plain(v, kind: T.DataType):
     return bool(v) if isinstance(kind, T.BooleanType) else v
 
 
-def _millis(v) -> int:
-    return int(pd.Timestamp(v).value // 1_000_000)
-
-
 def event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
-    """Watermark on ``ts``; zone-less timestamps are taken in the session's zone."""
-    if not isinstance(stream.schema[ts].dataType, T.TimestampType):
-        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    return stream.withWatermark(ts, delay)
+    """Watermark on ``ts``; zone-less timestamps are read as UTC."""
+    return stream.withColumn(ts, F.timestamp_micros(micros(stream, ts))).withWatermark(ts, delay)
 
 
 def in_order(
@@ -115,18 +113,20 @@ def in_order(
 
     Column names must not start with an underscore, which the state's Python side
     drops. ``state`` is the DDL of the state; ``out`` the output columns as
-    ``(name, DDL type)``, in front of which the key is put.
+    ``(name, DDL type)``, in front of which the key is put. ``ts`` among them is
+    made from ``AT`` of the emitted row.
     """
     key = [key] if isinstance(key, str) else list(key)
     spark = stream.sparkSession
     use_rocksdb(spark)
     if delay is not None:
         stream = event_time(stream, ts, delay)
-    rows = T.StructType([f for f in stream.schema if f.name not in key])
-    fields = [stream.schema[k] for k in key] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in out]
+    stream = stream.where(F.col(ts).isNotNull()).withColumn(AT, F.unix_micros(ts))
+    rows = T.StructType([f for f in stream.schema if f.name not in (*key, ts)])
+    fields = [stream.schema[k] for k in key]
+    for name, kind in out:
+        fields.append(T.StructField(AT, T.LongType()) if name == ts else T.StructField(name, T._parse_datatype_string(kind)))
     shape = T.StructType(fields)
-    processor = OrderedSteps(rows, key, T._parse_datatype_string(state), shape, step, ts, list(tie))
-    return (
-        stream.groupBy(*key)
-        .transformWithStateInPandas(processor, shape, "Append", "EventTime")
-    )
+    processor = OrderedSteps(rows, key, T._parse_datatype_string(state), shape, step, list(tie))
+    done = stream.groupBy(*key).transformWithStateInPandas(processor, shape, "Append", "EventTime")
+    return done.select(*[F.timestamp_micros(AT).alias(ts) if f.name == AT else F.col(f.name) for f in fields])

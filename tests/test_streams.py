@@ -66,6 +66,17 @@ def test_debounce_and_gate(spark, source, tmp_path):
     assert rows(got, "key", "id") == rows(want, "key", "id")
 
 
+def test_zone_of_the_session_does_not_matter(spark, source, tmp_path):
+    want = rows(gating.debounce(batch(spark, source), "key", "ts", "p", 0.5, 9.0, "id"), "key", "id")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = finish(streams.debounce_stream(stream(spark, source), "key", "ts", "p", 0.5, 9.0, tie=["id"]), tmp_path)
+        late = got.join(batch(spark, source), ["key", "id", "ts"], "left_anti").count()
+        assert rows(got, "key", "id") == want and late == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_reframe(spark, source, tmp_path):
     want = signals.reframe(batch(spark, source), "key", ["ts", "id"], "samples", 5)
     got = finish(streams.reframe_stream(stream(spark, source), "key", "ts", "samples", 5, tie=["id"]), tmp_path)

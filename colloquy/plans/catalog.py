@@ -434,13 +434,16 @@ def pad_short_captures(spark, sf):
 
 @query
 def debounce(spark, sf):
-    kept = gating.debounce(table(spark, sf, "events"), "user_id", "ts", "value", 20.0, DAY, "event_id")
+    scores = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    kept = gating.debounce(scores, "user_id", "ts", "value", 20.0, DAY, "event_id")
     return kept.select("user_id", "event_id", micros(kept, "ts").alias("ts_us"))
 
 
 @query
 def gate_triggers(spark, sf):
-    clicks = table(spark, sf, "events").where("event_type = 'click'").withColumn("busy", F.col("value") * 3600)
+    clicks = table(spark, sf, "events").where("event_type = 'click'").select(
+        "user_id", "event_id", "ts", (F.col("value") * 3600).alias("busy")
+    )
     kept = gating.gate_triggers(clicks, "user_id", "ts", "busy", "event_id")
     return kept.select("user_id", "event_id", micros(kept, "ts").alias("ts_us"))
 
@@ -484,7 +487,8 @@ def latest_score(spark, sf):
 
 @query
 def replay_states(spark, sf):
-    log = dialogue.replay_states(timed_events(spark, sf), "user_id", "ts_us", "event_type", EVENT_ROLES, tie="event_id")
+    events = timed_events(spark, sf).select("user_id", "event_id", "ts_us", "event_type")
+    log = dialogue.replay_states(events, "user_id", "ts_us", "event_type", EVENT_ROLES, tie="event_id")
     return log.select("user_id", "event_id", "event", "state")
 
 
@@ -519,7 +523,8 @@ def _event_stream(spark, sf):
 
 @query
 def debounce_stream(spark, sf):
-    out = streams.debounce_stream(_event_stream(spark, sf), "user_id", "ts", "value", 20.0, DAY, "0 seconds", ["event_id"])
+    scores = _event_stream(spark, sf).select("user_id", "event_id", "ts", "value")
+    out = streams.debounce_stream(scores, "user_id", "ts", "value", 20.0, DAY, "0 seconds", ["event_id"])
     kept = _run(spark, out)
     return kept.select("user_id", "event_id", micros(kept, "ts").alias("ts_us"))
 
@@ -537,14 +542,18 @@ def replay_stream(spark, sf):
 def gate_stream(spark, sf):
     clicks = _event_stream(spark, sf).withColumn("busy", F.col("value") * 3600)
     timed = event_time(clicks, "ts", "0 seconds")
-    clicks = timed.where(F.when(F.col("ts").isNotNull(), F.col("event_type")) == "click")
+    clicks = timed.where(F.when(F.col("ts").isNotNull(), F.col("event_type")) == "click").select(
+        "user_id", "event_id", "ts", "busy"
+    )
     kept = _run(spark, streams.gate_stream(clicks, "user_id", "ts", "busy", None, ["event_id"]))
     return kept.select("user_id", "event_id", micros(kept, "ts").alias("ts_us"))
 
 
 @query
 def hysteresis_stream(spark, sf):
-    frames = _event_stream(spark, sf).withColumn("prob", F.least(F.lit(1.0), F.col("value") / 100))
+    frames = _event_stream(spark, sf).select(
+        "user_id", "event_id", "ts", F.least(F.lit(1.0), F.col("value") / 100).alias("prob")
+    )
     out = streams.hysteresis_stream(frames, "user_id", "ts", "prob", delay="0 seconds", tie=["event_id"], **SPEECH)
     return _run(spark, out)
 

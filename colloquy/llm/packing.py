@@ -9,7 +9,7 @@ to round; it ends when the whole meets the bound of the whole, or when a round s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -109,6 +109,28 @@ def _needed(lengths: np.ndarray, capacity: int) -> int:
     return bins_needed(*np.unique(lengths, return_counts=True), capacity)
 
 
+def _fitter(capacity: int, r: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Packs one partition of round ``r`` and says which of its bins stay."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["length", "key"], ascending=[False, True], ignore_index=True)
+        sizes = rows["length"].to_numpy()
+        bins = best_fit_decreasing(sizes, capacity)
+        fill = np.bincount(bins, weights=sizes).astype(np.int64)
+        certified = len(fill) == _needed(sizes, capacity)
+        order = np.argsort(bins, kind="stable")
+        before = np.cumsum(sizes[order]) - sizes[order]
+        first = np.concatenate([[0], np.cumsum(np.bincount(bins))[:-1]])
+        offset = np.empty(len(rows), np.int64)
+        offset[order] = before - before[first[bins[order]]]
+        return pd.DataFrame({
+            "key": rows["key"], "length": sizes, "bin": bins, "round": np.int32(r), "part": rows["part"], "offset": offset,
+            "closed": ((fill == capacity) | (certified & (np.arange(len(fill)) != fill.argmin())))[bins],
+        })
+
+    return fit
+
+
 def pack(
     pieces: DataFrame, key: str, length: str = "length", capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES,
     rounds: int = ROUNDS,
@@ -131,24 +153,8 @@ def pack(
             break
         parts = -(-total // partition_pieces)
 
-        def fit(rows: pd.DataFrame, r: int = r) -> pd.DataFrame:
-            rows = rows.sort_values(["length", "key"], ascending=[False, True], ignore_index=True)
-            sizes = rows["length"].to_numpy()
-            bins = best_fit_decreasing(sizes, capacity)
-            fill = np.bincount(bins, weights=sizes).astype(np.int64)
-            certified = len(fill) == _needed(sizes, capacity)
-            order = np.argsort(bins, kind="stable")
-            before = np.cumsum(sizes[order]) - sizes[order]
-            first = np.concatenate([[0], np.cumsum(np.bincount(bins))[:-1]])
-            offset = np.empty(len(rows), np.int64)
-            offset[order] = before - before[first[bins[order]]]
-            return pd.DataFrame({
-                "key": rows["key"], "length": sizes, "bin": bins, "round": np.int32(r), "part": rows["part"], "offset": offset,
-                "closed": ((fill == capacity) | (certified & (np.arange(len(fill)) != fill.argmin())))[bins],
-            })
-
         dealt = left.withColumn("part", F.pmod(F.xxhash64("key", F.lit(r)), F.lit(parts)).cast("int"))
-        packed = materialize(dealt.groupBy("part").applyInPandas(fit, "key long, length long, bin long, round int, part int, offset long, closed boolean"))
+        packed = materialize(dealt.groupBy("part").applyInPandas(_fitter(capacity, r), "key long, length long, bin long, round int, part int, offset long, closed boolean"))
         now, loose = packed.where("offset = 0").agg(F.count("*"), F.count(F.when(~F.col("closed"), 1))).first()
         if parts == 1 or r == rounds - 1 or now == bound_of(histogram, capacity) or (r > 1 and now >= before):
             done.append(packed.select("key", "bin", "round", "part", "offset"))

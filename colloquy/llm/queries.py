@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, packing, token_codes, url_rules
+from colloquy.llm import chat_format, near_dups, packing, token_codes, url_rules
 from colloquy.runtime import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,8 @@ WITH rules AS (
   GROUP BY n
 )
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (n)"""
+
+
+@query
+def op10_near_dups(spark, sf):
+    return near_dups.near_duplicates(table(spark, sf, "documents"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, near_dups, packing, token_codes, url_rules
+from colloquy.llm import chat_format, decontaminate, near_dups, packing, token_codes, url_rules
 from colloquy.runtime import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,8 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 @query
 def op10_near_dups(spark, sf):
     return near_dups.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op6_decontaminate(spark, sf):
+    return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

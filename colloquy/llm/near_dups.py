@@ -7,9 +7,9 @@ so only these are posted, values of a single document count as posted without a
 than ``matches`` shared values is skipped. Candidates are confirmed on the full sets.
 
 Posting lists are not expanded into pairs. In the first round every member of a list meets the list's leader, in
-the second another leader per list, drawn by hash, if it is not yet in that leader's component. Only in lists
-that still hold several components, members of different components are compared, in blocks of bounded size.
-Every link that could join two components is so decided on the full sets.
+further rounds another leader per list, drawn by hash, if it is not yet in that leader's component. Only in lists
+that still hold several components, members of different components are compared, in blocks of bounded size and by
+longer signatures; what these leave open is decided on the full sets, so no link between components is lost.
 
 At similarity 0.75, 64 coordinates and 32 matches, a pair misses the threshold of matches with a probability
 below 1e-5; the rate falls quickly above that similarity.
@@ -32,6 +32,8 @@ PERCENT = 75
 COORDINATES = 64
 MATCHES = 32
 BLOCK = 1024
+FINE = 512   # coordinates, a byte each, that tell apart members of different components
+DRAWS = 2    # rounds in which lists that hold several components draw a leader
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -162,36 +164,51 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _cross_pairs(lists: DataFrame, matches: int, coordinates: int, block: int) -> DataFrame:
-    """a, b of different components and at least ``matches`` equal coordinates within a posting list.
+def fine_signatures(sets: DataFrame, coordinates: int) -> DataFrame:
+    """node, n, fine: one byte for each of many more permutations of a node's set."""
 
-    Lists (token, node, component, tokens) are cut into blocks of about ``block`` nodes; each pair of blocks is a group.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
+            fine = [(signature(h, coordinates) >> 20).astype(np.uint8).tobytes() for h in found]
+            sizes = pa.array([len(h) for h in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, pa.array(fine, pa.binary())], ["node", "n", "fine"])
+
+    return sets.mapInArrow(run, "node long, n long, fine binary")
+
+
+def _cross_pairs(lists: DataFrame, percent: int, coordinates: int, block: int) -> DataFrame:
+    """a, b of different components that their sizes and fine signatures leave open, within a posting list.
+
+    Lists (token, node, component, n, fine, prefix) are cut into blocks of about ``block`` nodes; each pair of blocks
+    is a group. A pair is given out in the first list that both are in. The fine signature excludes a pair five
+    standard deviations below what the threshold lets expect.
     """
     sizes = lists.groupBy("token").count().select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     cut = lists.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("token", "node", "component", "tokens", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    low = (1 << max(1, (coordinates - 1).bit_length())) - 1
+    cut = cut.select("token", "node", "component", "n", "fine", "prefix", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    rate = percent / 100 + (1 - percent / 100) / 256
+    least = coordinates * rate - 5 * (coordinates * rate * (1 - rate)) ** 0.5
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((len(rows), coordinates), np.int64)
-        for i, tokens in enumerate(rows["tokens"]):
-            tokens = np.asarray(tokens, np.int64)
-            grid[i, tokens & low] = tokens
-        node, group, own = rows["node"].to_numpy(), rows["component"].to_numpy(), rows["own"].to_numpy()
-        present = grid != 0
-        p, q = rows["p"].iloc[0], rows["q"].iloc[0]
+        fine = np.frombuffer(b"".join(rows["fine"]), np.uint8).reshape(len(rows), coordinates)
+        node, group, own, n = (rows[c].to_numpy() for c in ("node", "component", "own", "n"))
+        prefix = [set(x.tolist()) for x in rows["prefix"]]
+        token, p, q = rows["token"].iloc[0], rows["p"].iloc[0], rows["q"].iloc[0]
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
         out = []
-        left = np.flatnonzero(own == p)
-        right = np.flatnonzero(own == q)
         for i in left:
             others = right[(node[right] > node[i]) | (p != q)]
-            others = others[group[others] != group[i]]
-            equal = ((grid[others] == grid[i]) & present[i]).sum(axis=1)
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in others[equal >= matches]]
+            others = others[(group[others] != group[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+            for at in range(0, len(others), 4096):
+                part = others[at:at + 4096]
+                for j in part[(fine[part] == fine[i]).sum(axis=1) >= least]:
+                    if min(prefix[i] & prefix[j]) == token:
+                        out.append((min(node[i], node[j]), max(node[i], node[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return cut.groupBy("token", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+    return cut.groupBy("token", "p", "q").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(
@@ -227,14 +244,19 @@ def near_duplicates(
         several = labelled.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("token")
         return materialize(labelled.join(several, "token", "left_semi"))
 
-    open_lists = mixed_lists()
-    if not open_lists.isEmpty():
-        drawn = open_lists.groupBy("token").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "token")).alias("l"))
-        second = open_lists.join(drawn, "token").where("component <> l.component").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-        edges = materialize(edges.union(_confirmed(_enough(second, posted, matches), sets, percent)))
+    for draw in range(DRAWS):
+        open_lists = mixed_lists()
+        if open_lists.isEmpty():
+            break
+        drawn = open_lists.groupBy("token").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "token", F.lit(draw))).alias("l"))
+        met = open_lists.join(drawn, "token").where("component <> l.component").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+        edges = materialize(edges.union(_confirmed(_enough(met, posted, matches), sets, percent)))
         tree = materialize(components(edges))
+    else:
         open_lists = mixed_lists()
-        third = _cross_pairs(open_lists.join(posted, "node"), matches, coordinates, block)
+        fine = fine_signatures(sets.join(open_lists.select("node").distinct(), "node", "left_semi"), FINE)
+        known = materialize(posted.select("node", prefix.alias("prefix")).join(fine, "node"))
+        third = _cross_pairs(open_lists.join(known, "node"), percent, FINE, block)
         more = materialize(_confirmed(third, sets, percent))
         if not more.isEmpty():
             edges = edges.union(more)

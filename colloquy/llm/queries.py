@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, decontaminate, near_dups, packing, token_codes, url_rules
+from colloquy.llm import chat_format, decontaminate, language_mix, near_dups, packing, token_codes, url_rules
 from colloquy.runtime import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,14 @@ def op10_near_dups(spark, sf):
 @query
 def op6_decontaminate(spark, sf):
     return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query
+def op9_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language_mix.train(docs.where(crc_mod(3) != 1).select("text", "lang"))
+    return language_mix.identify(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score")

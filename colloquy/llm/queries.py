@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, decontaminate, language_mix, near_dups, packing, token_codes, url_rules
+from colloquy.llm import chat_format, decontaminate, language_mix, near_dups, packing, token_codes, toxicity, url_rules
 from colloquy.runtime import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,19 @@ def op9_language(spark, sf):
     docs = table(spark, sf, "documents")
     model = language_mix.train(docs.where(crc_mod(3) != 1).select("text", "lang"))
     return language_mix.identify(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_grammar(docs, labels):
+    """Fitted on labelled rows of ``docs`` that are not held out."""
+    known = labels.select("doc_id", "toxic").where(crc_mod(4) != 2).where("toxic is not null")
+    # the fit takes so many rows at most, of the same hash order
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(toxicity.FIT_ROWS)
+    return toxicity.fit(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
+
+
+@query
+def op3_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    grammar = toxicity_grammar(docs, table(spark, sf, "labels"))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), grammar)
+    return scored.select("doc_id", (crc_mod(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -90,7 +90,7 @@ def keys_of(windows: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
     out = cgk_walk(windows, walk)
     key = mixed(lengths.astype(np.uint64) * np.uint64(1000) + np.uint64(walk))
     distinct, which = np.unique(lengths, return_inverse=True)
-    steps = np.array([sampled_steps(int(n), walk) for n in distinct]).reshape(-1, SAMPLED)[which]
+    steps = np.array([sampled_steps(int(n), walk) for n in distinct], np.int64).reshape(-1, SAMPLED)[which]
     for column in np.take_along_axis(out, steps.T, axis=0):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
     return key

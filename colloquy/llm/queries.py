@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, decontaminate, language_mix, near_dups, packing, token_codes, toxicity, url_rules
+from colloquy.llm import ann, chat_format, decontaminate, language_mix, near_dups, packing, token_codes, toxicity, url_rules
 from colloquy.runtime import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,9 @@ def op3_toxicity(spark, sf):
     grammar = toxicity_grammar(docs, table(spark, sf, "labels"))
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), grammar)
     return scored.select("doc_id", (crc_mod(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op1_neighbours(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import ann, chat_format, decontaminate, language_mix, near_dups, packing, token_codes, toxicity, url_rules
+from colloquy.llm import (
+    ann, chat_format, decontaminate, language_mix, near_dups, packing, page_template, token_codes, toxicity, url_rules,
+)
 from colloquy.runtime import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,15 +29,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query
-def op2_pack(spark, sf):
-    pieces = packing.cut_documents(table(spark, sf, "documents")).select(
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """Pieces of documents with a digest of their ids and their places in sequences."""
+    pieces = packing.cut_documents(docs).select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), F.monotonically_increasing_id().alias("key"),
     )
     pieces = materialize(pieces)  # fixes the keys
     return pieces.join(packing.pack(pieces, "key"), "key").drop("key")
 
 
+@query
+def op2_pack(spark, sf):
+    return packed_pieces(table(spark, sf, "documents"))
+
+
 @query
 def op4_chat(spark, sf):
     said = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -142,3 +149,9 @@ def op3_toxicity(spark, sf):
 def op1_neighbours(spark, sf):
     vectors = table(spark, sf, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op7_main_text(spark, sf):
+    found = page_template.extract_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -99,7 +99,7 @@ def assemble_utterances(
     key = [key] if isinstance(key, str) else list(key)
     chunks = capture_chunks(audio, captures, key, ts, run_rows)
     joined = chunks.groupBy(*key, "utt_no").agg(
-        F.flatten(F.array_sort(F.collect_list(F.struct("_at", F.col(col).alias("_s"))))["_s"]).alias(col),
+        F.flatten(F.array_sort(F.collect_list(F.struct("_at", F.coalesce(F.col(col), F.array().cast(audio.schema[col].dataType)).alias("_s"))))["_s"]).alias(col),
         F.first("ended_by").alias("ended_by"),
     )
     return joined.withColumn(col, pad_short(col, rate, chunk))

@@ -26,7 +26,7 @@ from colloquy.runtime import materialize, shared_dir, spread
 from colloquy.sources.files import drop_comments, scan_documents
 from colloquy.sources.store import dump_chunks, insert_new, open_chunks, write_chunks
 from colloquy.streaming import signals as streams
-from colloquy.streaming.stateful import event_time
+from colloquy.streaming.stateful import end_marker, event_time
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -457,7 +457,7 @@ def hysteresis_segments(spark, sf):
 
 
 def _capture_inputs(ev: DataFrame):
-    audio = ev.where("event_type IN ('view', 'purchase')").select(
+    audio = ev.where("event_type IS NULL OR event_type IN ('view', 'purchase')").select(
         "user_id", "ts", F.array(F.col("value").cast("float")).alias("samples")
     )
     return audio, ev.where("event_type = 'click'"), ev.where("event_type = 'purchase'")
@@ -504,21 +504,26 @@ def stage_durations(spark, sf):
 
 def _run(spark, stream: DataFrame) -> DataFrame:
     base = f"{shared_dir(spark).rstrip('/')}/colloquy/{uuid.uuid4().hex}"
-    # the first start fixes the number of state partitions: at most one per core
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", min(int(parts), spark.sparkContext.defaultParallelism))
     running = (
         stream.writeStream.format("parquet").option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     )
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def _stream_of(spark, df: DataFrame, ts: str) -> DataFrame:
+    """The whole table as a stream of files in the order of time, an end marker last, one file to a micro-batch."""
+    path = f"{shared_dir(spark).rstrip('/')}/colloquy/{uuid.uuid4().hex}"
+    middle = F.timestamp_micros(df.select(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), 0.5).alias("m")).first()["m"] * F.lit(1))
+    early = F.coalesce(F.col(ts).cast("timestamp") <= middle, F.lit(True))
+    for part in (df.where(early), df.where(~early), end_marker(spark, df.schema, ts)):
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _event_stream(spark, sf):
-    shape = table(spark, sf, "events").schema
-    return spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return _stream_of(spark, table(spark, sf, "events").drop("props"), "ts")
 
 
 @query
@@ -532,7 +537,7 @@ def debounce_stream(spark, sf):
 @query
 def replay_stream(spark, sf):
     out = streams.replay_stream(
-        _event_stream(spark, sf).drop("value", "props"), "user_id", "ts", "event_type", EVENT_ROLES,
+        _event_stream(spark, sf).drop("value"), "user_id", "ts", "event_type", EVENT_ROLES,
         delay="0 seconds", tie=["event_id"],
     )
     return _run(spark, out).select("user_id", "event_id", "event", "state")
@@ -560,9 +565,8 @@ def hysteresis_stream(spark, sf):
 
 @query
 def reframe_stream(spark, sf):
-    shape = table(spark, sf, "embeddings").schema
-    vectors = spark.readStream.schema(shape).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
-    timed = vectors.select("label", F.timestamp_seconds(F.col("vec_id") + 1).alias("ts"), "embedding")
+    vectors = table(spark, sf, "embeddings").select("label", F.timestamp_seconds(F.col("vec_id") + 1).alias("ts"), "embedding")
+    timed = _stream_of(spark, vectors, "ts")
     frames = _run(spark, streams.reframe_stream(timed, "label", "ts", "embedding", 24, "0 seconds"))
     return frames.select("label", "frame_no", flat("embedding").alias("samples"))
 
@@ -573,7 +577,7 @@ def while_enabled_stream(spark, sf):
     turns = ev.where("event_type IN ('signup', 'error')").select(
         "user_id", "ts", (F.col("event_type") == "signup").alias("enabled")
     )
-    rows = ev.where("event_type NOT IN ('signup', 'error')").select("user_id", "event_id", "ts")
+    rows = ev.where("event_type IS NULL OR event_type NOT IN ('signup', 'error')").select("user_id", "event_id", "ts")
     return _run(spark, streams.while_enabled_stream(rows, turns, "user_id", "ts", delay="0 seconds")).select(
         "user_id", "event_id"
     )

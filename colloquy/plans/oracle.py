@@ -161,8 +161,6 @@ r AS (SELECT user_id, t FROM f
 SELECT user_id, event_id, t AS ts_us FROM r JOIN e USING (user_id, t)"""
 
 
-PASSED = "epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events)"
-
 _SP = catalog.SPEECH
 
 
@@ -387,7 +385,7 @@ SELECT vec_id, fmt, {flat('list_transform(raw, lambda v: (v / peak)::FLOAT)', 10
 SELECT vec_id, array_to_string(list_transform(embedding, lambda x:
   trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (x * 4::FLOAT)::DOUBLE)) * 32767)::BIGINT::VARCHAR), ',') AS samples FROM embeddings""",
     "reframe": reframed(),
-    "reframe_stream": reframed("WHERE vec_id < (SELECT max(vec_id) FROM embeddings)"),
+    "reframe_stream": reframed(),
     "with_preroll": f"""
 SELECT vec_id, {flat('list_concat(coalesce(before, []), embedding)')} AS samples FROM
   (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings)""",
@@ -395,19 +393,19 @@ SELECT vec_id, {flat('list_concat(coalesce(before, []), embedding)')} AS samples
 SELECT vec_id, CASE WHEN 64 < 61 + label THEN {flat('embedding')} || repeat(',0', (8 + 61 + label - 64)::INTEGER)
   ELSE {flat('embedding')} END AS samples FROM embeddings""",
     "debounce": debounced(),
-    "debounce_stream": debounced(f"AND {PASSED}"),
+    "debounce_stream": debounced(),
     "gate_triggers": gated(),
-    "gate_stream": gated(f"AND {PASSED}"),
+    "gate_stream": gated(),
     "hysteresis_segments": segments(),
-    "hysteresis_stream": segments(f"WHERE {PASSED}", "HAVING max(done) IS NOT NULL"),
+    "hysteresis_stream": segments(),
     "assemble_utterances": captured(),
-    "utterance_stream": captured(f"AND {PASSED}"),
+    "utterance_stream": captured(),
     "while_enabled": switched(),
-    "while_enabled_stream": switched(f"AND {PASSED}"),
+    "while_enabled_stream": switched(),
     "latest_score": """
 SELECT user_id, event_type, max(epoch_us(ts)) AS ts_us, arg_max(value, ts) AS value FROM events GROUP BY user_id, event_type""",
     "replay_states": replay(""),
-    "replay_stream": replay(f"WHERE {PASSED}"),
+    "replay_stream": replay(""),
     "stage_durations": """
 WITH n AS (SELECT user_id, event_id, upper(event_type) AS state,
   (lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts)) / 1000000.0::DOUBLE AS s FROM events)

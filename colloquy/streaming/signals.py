@@ -11,6 +11,8 @@ from colloquy.operators.signals import FRAME, MARGIN, MIN_SILENCE, SPEECH, SPEEC
 from colloquy.operators.utterances import CAPTURE_TIMEOUT
 from colloquy.streaming.stateful import AT, event_time, in_order
 
+NEVER = 2**63 - 1
+
 
 def _columns(df: DataFrame, key: str) -> list:
     return [(f.name, f.dataType.simpleString()) for f in df.schema if f.name != key]
@@ -36,7 +38,8 @@ def gate_stream(df: DataFrame, key: str, ts: str, busy_for, delay: str | None =
         for row in rows:
             if until is None or row[AT] >= until:
                 length = row[busy_for] if isinstance(busy_for, str) else busy_for
-                until = row[AT] + round(length * 1_000_000)
+                # no length: busy for good
+                until = NEVER if length is None else row[AT] + round(length * 1_000_000)
                 out.append(row)
         return (until,), out
 
@@ -55,7 +58,7 @@ def reframe_stream(
         left, no = (list(state[0]), state[1]) if state else ([], 0)
         out = []
         for row in rows:
-            left.extend(row[col])
+            left.extend(row[col] or [])
             while len(left) >= frame:
                 out.append({"frame_no": no, col: left[:frame]})
                 left, no = left[frame:], no + 1
@@ -69,13 +72,15 @@ def hysteresis_stream(
     df: DataFrame, key: str, ts: str, prob: str, t: float = SPEECH, margin: float = MARGIN,
     min_silence: int = MIN_SILENCE, pad: int = SPEECH_PAD, frame: int = FRAME, delay: str = "10 seconds", tie=(),
 ) -> DataFrame:
-    """Stream form of ``hysteresis_segments``; a segment is emitted when it ends."""
+    """Stream form of ``hysteresis_segments``; a segment is emitted when it ends, an open one at an end marker."""
     def step(state, rows):
         at, no, start, pending = state if state else (0, 0, None, None)
         out = []
         for row in rows:
             at += frame
             p = row[prob]
+            if p is None:
+                continue
             if p >= t:
                 pending = None
                 if start is None:
@@ -87,8 +92,12 @@ def hysteresis_stream(
                     start = pending = None
         return (at, no, start, pending), out
 
+    def close(state):
+        _, no, start, _ = state
+        return [] if start is None else [{"segment": no, "start_pos": start, "end_pos": None}]
+
     columns = [("segment", "bigint"), ("start_pos", "bigint"), ("end_pos", "bigint")]
-    return in_order(df, key, ts, "at bigint, no bigint, start bigint, pending bigint", columns, step, delay, tie)
+    return in_order(df, key, ts, "at bigint, no bigint, start bigint, pending bigint", columns, step, delay, tie, close)
 
 
 def replay_stream(
@@ -157,7 +166,7 @@ def utterance_stream(
             elif row["row_kind"] == 1:
                 ended = ended or begun is not None
             else:
-                front = list(row[col])
+                front = list(row[col] or [])
                 if begun is None:
                     continue
                 held.extend(front)

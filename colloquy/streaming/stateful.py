@@ -15,8 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +23,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from colloquy.functions.numbers import micros
 
 AT = "event_us"
+FAR = "9999-01-01 00:00:00"       # event time of an end marker
+END_MS = 221_845_392_000_000     # the year 9000: the watermark passes it only after an end marker
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,9 +34,9 @@ def use_rocksdb(spark) -> None:
 
 
 class OrderedSteps(StatefulProcessor):
-    def __init__(self, rows: T.StructType, key: list, state: T.StructType, out: T.StructType, step: Callable, tie: list):
+    def __init__(self, rows: T.StructType, key: list, state: T.StructType, out: T.StructType, step: Callable, tie: list, close: Callable | None):
         self.rows, self.key, self.state_type, self.out = rows, key, state, out
-        self.step, self.tie = step, tie
+        self.step, self.tie, self.close_step = step, tie, close
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,34 +44,36 @@ class OrderedSteps(StatefulProcessor):
         self.state = handle.getValueState("state", self.state_type)
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh = [tuple(r) for pdf in rows for r in pdf[self.rows.names].itertuples(index=False, name=None)]
-        fresh = [self._typed(r) for r in fresh]
-        if not fresh:
-            return iter([])
+        fresh = [tuple(r[n] for n in self.rows.names) for r in rows]
         # Spark has dropped what is behind the watermark, so none of these is due yet
         self.waiting.appendList(fresh)
         at = self.rows.names.index(AT)
         self.handle.registerTimer(min(r[at] // 1000 for r in fresh) + 1)
+        if self.close_step:
+            self.handle.registerTimer(END_MS)
         return iter([])
 
-    def _typed(self, row) -> tuple:
-        """Python values for the state; pandas turns whole numbers with gaps into floats."""
-        return tuple(_plain(v, f.dataType) for v, f in zip(row, self.rows))
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        return self._drain(key, timerValues.getCurrentWatermarkInMs())
-
-    def _drain(self, key, watermark):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        emitted = self._drain(watermark)
+        if self.close_step and expiredTimerInfo.getExpiryTimeInMs() >= END_MS:
+            state = self.state.get()
+            emitted = emitted + (self.close_step(tuple(state)) if state is not None else [])
+        held = dict(zip(self.key, key))
+        row = Row(*self.out.names)
+        return iter([row(*[held[c] if c in held else r[c] for c in self.out.names]) for r in emitted])
+
+    def _drain(self, watermark) -> list:
         at = self.rows.names.index(AT)
-        held = list(self.waiting.get())
+        held = [tuple(r) for r in self.waiting.get()]
         ready = [r for r in held if r[at] // 1000 < watermark]
         early = [r for r in held if r[at] // 1000 >= watermark]
         if early:  # wake up as soon as the watermark has passed the first of them
             self.handle.registerTimer(min(r[at] // 1000 for r in early) + 1)
         if not ready:
-            return iter([])
+            return []
         if early:
-            self.waiting.put([self._typed(r) for r in early])
+            self.waiting.put(early)
         else:
             self.waiting.clear()
         order = [at] + [self.rows.names.index(t) for t in self.tie]
@@ -81,24 +84,19 @@ class OrderedSteps(StatefulProcessor):
         )
         if state is not None:
             self.state.update(state)
-        if not emitted:
-            return iter([])
-        table = {c: [row[c] for row in emitted] for c in self.out.names if c not in self.key}
-        for name, value in zip(self.key, key):
-            table[name] = [value] * len(emitted)
-        return iter([pd.DataFrame(table, columns=self.out.names)])
-
-
-def _plain(v, kind: T.DataType):
-    if hasattr(v, "tolist") and not isinstance(v, pd.Timestamp):
-        v = v.tolist()
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
-        return None
-    if isinstance(v, pd.Timestamp):
-        return v.to_pydatetime()
-    if isinstance(kind, T.IntegralType):
-        return int(v)
-    return bool(v) if isinstance(kind, T.BooleanType) else v
+        return list(emitted)
+
+
+def end_marker(spark, schema: T.StructType, ts: str) -> DataFrame:
+    """One row that ends a finite input: a far event time and nulls.
+
+    Delivered last, it moves the watermark past every real row, so all of them leave the state, and open results
+    are closed. It stays in the state itself and is never given out. Filters in front of a stream operator must
+    let a row of nulls pass, or stand behind ``event_time``.
+    """
+    shape = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+    row = [(None,) * len(shape)]
+    return spark.createDataFrame(row, shape).withColumn(ts, F.lit(FAR).cast(shape[ts].dataType)).select(*shape.names)
 
 
 def event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -108,13 +106,15 @@ def event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
 
 def in_order(
     stream: DataFrame, key, ts: str, state: str, out: list, step: Callable, delay: str | None = "10 seconds", tie=(),
+    close: Callable | None = None,
 ) -> DataFrame:
     """Run ``step`` over each key's rows in event-time order.
 
     Column names must not start with an underscore, which the state's Python side
     drops. ``state`` is the DDL of the state; ``out`` the output columns as
     ``(name, DDL type)``, in front of which the key is put. ``ts`` among them is
-    made from ``AT`` of the emitted row.
+    made from ``AT`` of the emitted row. ``close(state)`` gives the rows that a key
+    still owes once an end marker has come.
     """
     key = [key] if isinstance(key, str) else list(key)
     spark = stream.sparkSession
@@ -127,6 +127,6 @@ def in_order(
     for name, kind in out:
         fields.append(T.StructField(AT, T.LongType()) if name == ts else T.StructField(name, T._parse_datatype_string(kind)))
     shape = T.StructType(fields)
-    processor = OrderedSteps(rows, key, T._parse_datatype_string(state), shape, step, list(tie))
-    done = stream.groupBy(*key).transformWithStateInPandas(processor, shape, "Append", "EventTime")
+    processor = OrderedSteps(rows, key, T._parse_datatype_string(state), shape, step, list(tie), close)
+    done = stream.groupBy(*key).transformWithState(processor, shape, "Append", "EventTime")
     return done.select(*[F.timestamp_micros(AT).alias(ts) if f.name == AT else F.col(f.name) for f in fields])

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import dialogue, gating, signals, utterances
 from colloquy.streaming import signals as streams
-
-FAR = 10**6  # seconds; a last row that lets the watermark pass all others
+from colloquy.streaming.stateful import end_marker
 
 
 @pytest.fixture(scope="module")
@@ -25,17 +24,17 @@ def source(spark, tmp_path_factory):
             kind = rnd.choice(["chunk"] * 4 + ["end", "trigger", "on", "off", "failure", "answer"])
             rows.append((key, i, at, kind, rnd.random(), [float(i)] * rnd.choice([1, 3, 4])))
     rows.sort(key=lambda r: r[2] + rnd.uniform(-2, 2))
-    rows.append((9, 0, float(FAR), "last", 0.0, [0.0]))
     shape = "key int, id int, at double, kind string, p double, samples array<float>"
     step = -(-len(rows) // 4)
     for i in range(4):
         part = spark.createDataFrame(rows[i * step:(i + 1) * step], shape).withColumn("ts", F.timestamp_seconds("at"))
         part.coalesce(1).write.mode("append").parquet(folder)
+    end_marker(spark, part.schema, "ts").coalesce(1).write.mode("append").parquet(folder)
     return folder
 
 
 def batch(spark, source):
-    return spark.read.parquet(source).where("kind <> 'last'")
+    return spark.read.parquet(source).where("kind IS NOT NULL")
 
 
 def stream(spark, source):
@@ -49,7 +48,7 @@ def finish(df, tmp_path):
     running = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     running.awaitTermination()
     assert running.exception() is None
-    return df.sparkSession.read.schema(df.schema).parquet(out).where("key <> 9")
+    return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
 def rows(df, *cols):
@@ -85,7 +84,7 @@ def test_reframe(spark, source, tmp_path):
 
 def test_hysteresis(spark, source, tmp_path):
     args = {"t": 0.6, "margin": 0.2, "min_silence": 20, "pad": 3, "frame": 10}
-    want = signals.hysteresis_segments(batch(spark, source), "key", ["ts", "id"], "p", **args).where("end_pos IS NOT NULL")
+    want = signals.hysteresis_segments(batch(spark, source), "key", ["ts", "id"], "p", **args)
     got = finish(streams.hysteresis_stream(stream(spark, source), "key", "ts", "p", tie=["id"], **args), tmp_path)
     cols = ("key", "segment", "start_pos", "end_pos")
     assert rows(got, *cols) == rows(want, *cols) and got.count() > 3
@@ -103,7 +102,7 @@ def test_replay(spark, source, tmp_path):
 def test_switch(spark, source, tmp_path):
     def sides(df):
         turns = df.where("kind IN ('on', 'off')").withColumn("enabled", F.col("kind") == "on").select("key", "ts", "enabled")
-        return df.where("kind NOT IN ('on', 'off')").select("key", "ts", "id"), turns
+        return df.where("kind IS NULL OR kind NOT IN ('on', 'off')").select("key", "ts", "id"), turns
 
     want = signals.while_enabled(*sides(batch(spark, source)), "key", "ts")
     got = finish(streams.while_enabled_stream(*sides(stream(spark, source)), "key", "ts"), tmp_path)
@@ -112,7 +111,7 @@ def test_switch(spark, source, tmp_path):
 
 def test_utterances(spark, source, tmp_path):
     def sides(df):
-        return (df.where("kind NOT IN ('trigger', 'on')").select("key", "ts", "samples"),
+        return (df.where("kind IS NULL OR kind NOT IN ('trigger', 'on')").select("key", "ts", "samples"),
                 df.where("kind = 'trigger'").select("key", "ts"), df.where("kind = 'end'").select("key", "ts"))
 
     audio, triggers, ends = sides(batch(spark, source))
@@ -121,3 +120,31 @@ def test_utterances(spark, source, tmp_path):
     got = finish(streams.utterance_stream(*sides(stream(spark, source)), "key", timeout=6.0, rate=9, chunk=4), tmp_path)
     cols = ("key", "utt_no", "samples", "ended_by")
     assert rows(got, *cols) == rows(want, *cols) and got.count() > 3
+
+
+def test_large_ids_and_nulls(spark, tmp_path):
+    shape = "key int, id bigint, sec int, on_off boolean, p double, busy double, samples array<float>"
+    big = 2**60
+    data = [(1, big + 3, 1, None, None, None, None), (1, None, 2, True, 0.9, 1.0, [1.0, 2.0]), (1, big + 5, 3, None, 0.9, None, [3.0]),
+            (1, big + 7, 4, None, None, 1.0, None), (1, big + 9, 5, None, 0.1, 1.0, [4.0])]
+    df = spark.createDataFrame(data, shape).withColumn("ts", F.timestamp_seconds("sec"))
+    folder = str(tmp_path / "in")
+    df.coalesce(1).write.parquet(folder)
+    end_marker(spark, df.schema, "ts").coalesce(1).write.mode("append").parquet(folder)
+
+    def sides(d):
+        return d.where("on_off IS NULL").select("key", "id", "ts"), d.where("on_off IS NOT NULL").select("key", "ts", F.col("on_off").alias("enabled"))
+
+    want = signals.while_enabled(*sides(df), "key", "ts", True)
+    got = finish(streams.while_enabled_stream(*sides(stream(spark, folder)), "key", "ts", True), tmp_path)
+    assert rows(got, "key", "id") == rows(want, "key", "id") == [(1, big + i) for i in (3, 5, 7, 9)]
+    args = {"t": 0.5, "margin": 0.1, "min_silence": 0, "pad": 0, "frame": 1}
+    want = signals.hysteresis_segments(df, "key", ["ts"], "p", **args)
+    got = finish(streams.hysteresis_stream(stream(spark, folder), "key", "ts", "p", **args), tmp_path)
+    assert rows(got, "segment", "start_pos", "end_pos") == rows(want, "segment", "start_pos", "end_pos")
+    want = gating.gate_triggers(df, "key", "ts", "busy")
+    got = finish(streams.gate_stream(stream(spark, folder), "key", "ts", "busy"), tmp_path)
+    assert rows(got, "key", "id") == rows(want, "key", "id")
+    want = signals.reframe(df, "key", ["ts"], "samples", 2)
+    got = finish(streams.reframe_stream(stream(spark, folder), "key", "ts", "samples", 2), tmp_path)
+    assert rows(got, "frame_no", "samples") == rows(want, "frame_no", "samples")

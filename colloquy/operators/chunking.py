@@ -129,8 +129,19 @@ def semantic_breaks(distances: DataFrame, id: str = "doc_id", pct: float = BREAK
 def _with_breaks(
     docs: DataFrame, id: str, text: str, buffer_size: int, pct: float, dim: int
 ) -> DataFrame:
+    """Sentences of each chunk. Documents without an id are told apart by their text and the number of its copy."""
+    spoken = docs.where(F.col(text).rlike("[^.!?]")).select(id, text)
+    hashed = F.xxhash64(text)
+    copy = F.row_number().over(Window.partitionBy(hashed).orderBy(text))
+    unnamed = spoken.where(F.col(id).isNull()).withColumn("_doc", F.struct(hashed.alias("h"), copy.alias("c")))
+    named = _broken(spoken.where(F.col(id).isNotNull()), id, text, buffer_size, pct, dim)
+    others = _broken(unnamed.select("_doc", text), "_doc", text, buffer_size, pct, dim)
+    return named.unionByName(others.select(F.lit(None).cast(docs.schema[id].dataType).alias(id), "chunk_no", "_units"))
+
+
+def _broken(docs: DataFrame, id: str, text: str, buffer_size: int, pct: float, dim: int) -> DataFrame:
     # both uses of the placed texts filter alike, so that they share one shuffle
-    placed = docs.where(F.col(id).isNotNull() & F.col(text).rlike("[^.!?]")).select(id, text).repartition(id)
+    placed = docs.select(id, text).repartition(id)
     counts = sentence_counts(placed, id, text, dim)
     breaks = semantic_breaks(adjacent_distance(counts, id, buffer_size), id, pct)
     pieces = placed.join(breaks, id, "left").withColumn("_sents", sentences_of(text))

@@ -107,10 +107,12 @@ def replay_states(
     kept = [c for c in events.columns if c not in (key, event)]
     coded = events.withColumn("_at", micros(events, ts)).withColumn("_event", named).withColumn("_code", code)
     rows = arrange(coded, key, ["_at", *tie], run_rows)
-    item = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(rows.order)], "_code",
-                    F.struct(*kept, F.col("_event").alias("event")).alias("_row"))
+    item = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(rows.order)], "_code")
+    whole = F.struct(*kept, F.col("_event").alias("event"))
     # the key as a struct: joins on it keep null keys
-    runs = rows.df.groupBy(F.struct(key).alias("_key"), RUN).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    runs = rows.df.groupBy(F.struct(key).alias("_key"), RUN).agg(F.collect_list(item).alias("_rows"), F.collect_list(whole).alias("_all"))
+    # whole rows are not compared, so columns of any type will do; both lists are in one order
+    runs = runs.withColumn("_rows", F.array_sort(F.transform("_rows", lambda x, i: x.withField("_i", i))))
     first = F.lit(STATES.index(initial))
     if rows.split:
         effects = runs.select("_key", RUN, _effect(F.col("_rows._code")).alias("_e"))
@@ -121,7 +123,7 @@ def replay_states(
     else:
         runs = runs.withColumn("_start", first)
     followed = runs.withColumn("_states", _follow(F.col("_rows._code"), F.col("_start")))
-    flat = followed.select("_key", F.inline(F.arrays_zip(F.col("_rows._row").alias("row"), F.col("_states").alias("no"))))
+    flat = followed.select("_key", F.inline(F.arrays_zip(F.transform("_rows", lambda x: F.get(F.col("_all"), x["_i"])).alias("row"), F.col("_states").alias("no"))))
     names = F.array(*[F.lit(s) for s in STATES])
     return flat.select("_key.*", "row.*", F.get(names, F.col("no")).alias("state"))
 

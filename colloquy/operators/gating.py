@@ -72,10 +72,11 @@ def accept(rows: Ordered, until: str) -> Ordered:
     item = F.struct(
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(rows.order)],
         F.coalesce(F.col(until), F.lit(int(_NEVER))).alias("_until"),
-        F.struct(*kept).alias("_row"),
     )
     # the key as one struct: joins on it keep null keys
-    runs = rows.df.groupBy(F.struct(*rows.key).alias("_key"), RUN).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    runs = rows.df.groupBy(F.struct(*rows.key).alias("_key"), RUN).agg(F.collect_list(item).alias("_rows"), F.collect_list(F.struct(*kept)).alias("_all"))
+    # whole rows are not compared, so columns of any type will do; both lists are in one order
+    runs = runs.withColumn("_rows", F.array_sort(F.transform("_rows", lambda x, i: x.withField("_i", i))))
     if rows.split:
         runs = materialize(runs)
         runs = runs.join(_entries(runs, ["_key"]), ["_key", RUN])
@@ -83,7 +84,7 @@ def accept(rows: Ordered, until: str) -> Ordered:
         runs = runs.withColumn("_entry", F.lit(int(np.iinfo(np.int64).min)))
     taken = _walk(F.col("_rows._o0"), F.col("_rows._until"), F.col("_entry"))
     picked = runs.withColumn("_taken", taken).select(
-        "_key", RUN, F.explode(F.transform("_taken", lambda i: F.get(F.col("_rows"), i)["_row"])).alias("_row")
+        "_key", RUN, F.explode(F.transform("_taken", lambda i: F.get(F.col("_all"), F.get(F.col("_rows"), i)["_i"]))).alias("_row")
     )
     return rows.with_df(picked.select("_key.*", RUN, "_row.*").select(*rows.df.columns))
 

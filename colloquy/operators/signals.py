@@ -102,6 +102,6 @@ def while_enabled(
 
 
 def latest_score(df: DataFrame, key, ts: str, score: str) -> DataFrame:
-    """Last score per key (a model, or stream and model); a partial aggregate."""
+    """Last score per key (a model, or stream and model); of several at one moment the largest. A partial aggregate."""
     key = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*key).agg(F.max(ts).alias(ts), F.max_by(score, ts).alias(score))
+    return df.groupBy(*key).agg(F.max(ts).alias(ts), F.max_by(score, F.struct(ts, score)).alias(score))

@@ -10,17 +10,16 @@ from pyspark.sql import types as T
 
 from colloquy.functions.text import clean_text, lstrip_set
 
-# Greetings in front of a device name, and the score from which a
-# phrase counts as found.
-GREETINGS = ("Hello", "Hey", "Good morning", "Good afternoon", "Good evening")
+# Default wake phrases, and the score from which a phrase counts as
+# found.
+WAKE_PHRASES = [
+    "Hello Robot", "Hello Computer", "Hey Robot", "Hey Computer", "Good morning Robot", "Good morning Computer",
+    "Good afternoon Robot", "Good afternoon Computer", "Good evening Robot", "Good evening Computer",
+]
 SCORE_CUTOFF = 75
 
 
-def wake_phrases(names=("Robot", "Computer")) -> list[str]:
-    """Every greeting with every device name: ten phrases for two names."""
-    return [f"{greeting} {name}" for greeting in GREETINGS for name in names]
-
-
+WORD_BITS = 62    # longest keyword whose bits fit one machine word; longer ones take several
 _BLOCK = 1 << 15  # characters whose windows advance together; stays in cache
 
 
@@ -36,8 +35,8 @@ def _lcs_step(v, hit, full, u, t):
 class _Keyword:
     def __init__(self, word: str):
         self.m = len(word)
-        if not 0 < self.m <= 62:
-            raise ValueError("keyword length must be 1 to 62")
+        if not self.m:
+            raise ValueError("a keyword is empty")
         self.kind = np.uint32 if self.m <= 31 else np.uint64
         letters = sorted(set(word))
         self.codes = np.array([ord(c) for c in letters], dtype=np.uint32)
@@ -97,6 +96,46 @@ def _in_short_text(word: _Keyword, points: np.ndarray) -> float:
     return float((200.0 * word.common(v, high - low) / (n + high - low)).max())
 
 
+LIMB = 32  # bits of a long keyword that one array element holds, so that sums keep their carry
+
+
+def _by_limbs(word: np.ndarray, text: np.ndarray) -> tuple[float, int]:
+    """Best window of a text for a word of any length, and its end; the word's bits are spread over limbs.
+
+    Windows are those of at most the word's length that the text's borders or the length cut off.
+    """
+    m, n = len(word), len(text)
+    limbs = -(-m // LIMB)
+    wide = min(m, n)
+    start = np.concatenate([np.zeros(wide - 1, np.int64), np.arange(n)])
+    width = np.concatenate([np.arange(1, wide), np.minimum(m, n - np.arange(n))])
+    letters = np.unique(word)
+    bits = np.zeros((len(letters) + 1, limbs), np.uint64)  # the last row is for other characters
+    np.bitwise_or.at(bits, (np.searchsorted(letters, word), np.arange(m) // LIMB), np.uint64(1) << (np.arange(m) % LIMB).astype(np.uint64))
+    at = np.minimum(np.searchsorted(letters, text), len(letters) - 1)
+    code = np.where(letters[at] == text, at, len(letters))
+    full = np.array([(1 << min(LIMB, m - LIMB * i)) - 1 for i in range(limbs)], np.uint64)
+    v = np.tile(full, (len(start), 1))
+    for j in range(int(width.max())):
+        live = width > j
+        hit = v[live] & bits[code[start[live] + j]]
+        total, carry = np.empty_like(hit), np.zeros(len(hit), np.uint64)
+        for i in range(limbs):
+            s = v[live, i] + hit[:, i] + carry
+            total[:, i], carry = s & np.uint64(2**LIMB - 1), s >> np.uint64(LIMB)
+        v[live] = ((v[live] - hit) | total) & full
+    score = 200.0 * (m - np.bitwise_count(v).sum(axis=1).astype(np.int64)) / (m + width)
+    best = score.max()
+    return float(best), int((start + width)[score == best].min())
+
+
+def _in_any_text(word: str, points: np.ndarray) -> tuple[float, int]:
+    """As ``_by_limbs``; a text shorter than the keyword slides over it and ends where it ends."""
+    if len(points) < len(word):
+        return _by_limbs(points, _points(word))[0], len(points)
+    return _by_limbs(_points(word), points)
+
+
 def partial_ratio_batch(texts: list, keywords: list):
     """Best partial ratio of each keyword in each text and where its window ends.
 
@@ -104,15 +143,21 @@ def partial_ratio_batch(texts: list, keywords: list):
     character per vector step. Of equal windows the one that ends, then starts,
     first wins. An empty text scores 0.
     """
-    words = [_Keyword(k) for k in keywords]
+    words = [_Keyword(k) if len(k) <= WORD_BITS else None for k in keywords]
     points = [_points(t) for t in texts]
     lengths = np.array([len(p) for p in points], dtype=np.int64)
     best = np.zeros((len(words), len(texts)))
     end = np.tile(lengths, (len(words), 1))
+    for w, keyword in enumerate(keywords):
+        if words[w] is None:
+            for i in np.flatnonzero(lengths):
+                best[w, i], end[w, i] = _in_any_text(keyword, points[i])
     block = np.cumsum(lengths) // _BLOCK
     for _, chosen in pd.Series(np.arange(len(texts))).groupby(block):
         rows = chosen.to_numpy()
         for w, word in enumerate(words):
+            if word is None:
+                continue
             long = rows[lengths[rows] >= word.m]
             if len(long):
                 best[w, long], end[w, long] = _in_long_texts(word, [points[i] for i in long])
@@ -153,7 +198,7 @@ def best_keyword(
     """Add ``keyword``, ``score`` and ``end`` of the best phrase; null if none
     reaches the cutoff. ``fold_keywords=False`` leaves the phrases' capitals, which
     then cost score against a lower-cased text."""
-    keywords = list(keywords or wake_phrases())
+    keywords = list(keywords or WAKE_PHRASES)
     folded = [k.lower() for k in keywords] if fold_keywords else keywords
     found = df.withColumn("_m", _matcher(folded, cutoff)(F.col(text)))
     names = F.array(*[F.lit(k) for k in keywords])

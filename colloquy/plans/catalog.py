@@ -85,9 +85,9 @@ def scan_texts(spark, sf):
     ).text(path)
     files = scan_documents(spark, path)
     lines = files.select(
-        F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"), F.explode(F.split("text", "\n")).alias("line")
+        F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"), F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line")  # the file's last line feed ends a line
     )
-    return lines.where("line <> ''")
+    return lines
 
 
 @query
@@ -335,14 +335,14 @@ def _greeted(spark, sf):
 
 @query
 def partial_ratio(spark, sf):
-    said = _said(spark, sf).where("role = 'user'").withColumn("text", F.lower("text"))
+    said = _said(spark, sf).withColumn("text", F.lower("text"))
     scored = transcripts.partial_ratio(said, "text", "good morning robot")
     return scored.select("conv_id", "turn", F.round("score", 6).alias("score"), F.col("end").cast("bigint").alias("end"))
 
 
 @query
 def best_keyword(spark, sf):
-    said = _said(spark, sf).where("role = 'user'").withColumn("text", F.lower("text"))
+    said = _said(spark, sf).withColumn("text", F.lower("text"))
     best = transcripts.best_keyword(said, cutoff=55)
     return best.select(
         "conv_id", "turn", "keyword", F.round("score", 6).alias("score"), F.col("end").cast("bigint").alias("end")

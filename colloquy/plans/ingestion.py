@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +53,9 @@ def build_chunks(
 def update_collection(spark: SparkSession, docs: DataFrame, path: str, wipe: bool = False, **settings) -> tuple[int, int]:
     """Chunk and store ``docs``; returns documents read and chunks created.
 
-    New chunks are written to a folder of their own below the collection, so a
-    repeated run never leaves half a file and reading stays one scan.
+    New chunks are written to a batch folder of their own below the collection, as
+    the stream of ingestion does, so both may feed one collection, a repeated run
+    never leaves half a file and reading stays one scan.
     """
     seen = None if wipe else open_chunks(spark, path)
     made = build_chunks(prepare_documents(docs), seen, **settings)
@@ -61,5 +64,7 @@ def update_collection(spark: SparkSession, docs: DataFrame, path: str, wipe: boo
 
 def _store(spark: SparkSession, made: DataFrame, path: str, wipe: bool) -> int:
     before = 0 if wipe else open_chunks(spark, path).count()
-    made.write.mode("overwrite" if wipe else "append").parquet(path)
+    # the stream numbers its batches from 0 up
+    batch = made.withColumn("batch", F.lit(-time.time_ns()))
+    batch.write.mode("overwrite" if wipe else "append").partitionBy("batch").parquet(path)
     return open_chunks(spark, path, CHUNKS).count() - before

@@ -7,12 +7,15 @@ side uses windows, partial aggregates or arrays.
 from __future__ import annotations
 
 from colloquy.operators.prompts import INSTRUCTIONS, PERSONALITY
-from colloquy.operators.transcripts import wake_phrases
 from colloquy.plans import catalog
 
 SIZE, SHARED = catalog.SETTINGS["chunk_size"], catalog.SETTINGS["overlap"]
 MARK = "|".join(f"{k}={v}" for k, v in sorted(catalog.SETTINGS.items()))
 DAY_US = 86_400_000_000
+WAKE_PHRASES = [
+    "Hello Robot", "Hello Computer", "Hey Robot", "Hey Computer", "Good morning Robot", "Good morning Computer",
+    "Good afternoon Robot", "Good afternoon Computer", "Good evening Robot", "Good evening Computer",
+]
 WORD = r"\s*\S+(?:\s+$)?"
 LETTERS = r"\p{L}+"
 BUCKET = "((('0x' || substr(md5(w), 1, 8))::BIGINT) % {dim})::INTEGER"
@@ -120,7 +123,7 @@ best AS (SELECT conv_id, turn, no, score, stop FROM each WHERE place = 1 AND sco
 
 
 def lower_phrases() -> list:
-    return [k.lower() for k in wake_phrases()]
+    return [k.lower() for k in WAKE_PHRASES]
 
 
 FOLLOWS = {  # state -> event -> next state, spelled out
@@ -237,7 +240,7 @@ BUILT = {"buffer_size": 1, "chunk_size": SIZE, "dim": 256, "embedder": "hashed",
 BUILT_MARK = "|".join(f"{k}={v}" for k, v in BUILT.items())
 
 ORACLE: dict[str, str] = {
-    "scan_texts": "SELECT lang, line FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''",
+    "scan_texts": "SELECT lang, line FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)",
     "drop_comment_lines": r"""
 SELECT doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM
   (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS line_no, unnest(l) AS line
@@ -348,13 +351,13 @@ SELECT event_type AS route, count(*) AS n, count(*) FILTER (WHERE value > 100) A
     "clean_transcripts": r"""
 SELECT conv_id, turn, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS cleaned, ltrim(' .,!? ' || text, ' ,.!?') AS rest
 FROM conversations""",
-    "partial_ratio": "WITH src AS (SELECT conv_id, turn, lower(text) AS text FROM conversations WHERE role = 'user')"
+    "partial_ratio": "WITH src AS (SELECT conv_id, turn, lower(text) AS text FROM conversations)"
     + ratio("src", ["good morning robot"], 0) + """
 SELECT conv_id, turn, round(coalesce(score, 0), 6) AS score, coalesce(stop, 0)::BIGINT AS "end"
 FROM src LEFT JOIN best USING (conv_id, turn)""",
-    "best_keyword": "WITH src AS (SELECT conv_id, turn, lower(text) AS text FROM conversations WHERE role = 'user')"
+    "best_keyword": "WITH src AS (SELECT conv_id, turn, lower(text) AS text FROM conversations)"
     + ratio("src", lower_phrases(), 55) + f"""
-SELECT conv_id, turn, {wake_phrases()!r}[no + 1] AS keyword, round(score, 6) AS score, stop::BIGINT AS "end"
+SELECT conv_id, turn, {WAKE_PHRASES!r}[no + 1] AS keyword, round(score, 6) AS score, stop::BIGINT AS "end"
 FROM src LEFT JOIN best USING (conv_id, turn)""",
     "strip_wakeword": r"""WITH src AS (SELECT conv_id, turn, regexp_replace(lower(CASE role WHEN 'user' THEN 'Hello  Robot, '
   WHEN 'assistant' THEN 'God morning computer! ' ELSE '' END || text), '^\s+|\s+$', '', 'g') AS text FROM conversations)"""

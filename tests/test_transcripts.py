@@ -72,7 +72,7 @@ def test_capitals_cost_score_if_not_folded(spark):
 
 
 def test_ten_phrases():
-    phrases = transcripts.wake_phrases()
+    phrases = transcripts.WAKE_PHRASES
     assert len(phrases) == 10 and phrases[0] == "Hello Robot"
 
 

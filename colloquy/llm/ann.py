@@ -73,7 +73,7 @@ class Tables:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order = np.argsort(codes, axis=0, kind="stable")
+        self.order = np.asfortranarray(np.argsort(codes, axis=0, kind="stable"))
         values = np.take_along_axis(codes, self.order, axis=0)
         self.tables = []
         for t in range(codes.shape[1]):
@@ -91,9 +91,10 @@ class Tables:
         seen = np.zeros(len(self.codes), bool)
         for t, (distinct, first) in enumerate(self.tables):
             reach = q if t <= s else q - 1
-            hit = np.flatnonzero(np.bitwise_count(distinct ^ code[t]) <= reach) if reach >= 0 else []
-            for a, b in zip(first[hit].tolist(), first[np.add(hit, 1)].tolist(), strict=True) if len(hit) else ():
-                seen[self.order[a:b, t]] = True
+            hit = np.flatnonzero(np.bitwise_count(distinct ^ code[t]) <= reach) if reach >= 0 else np.zeros(0, np.int64)
+            if len(hit):
+                sizes = first[hit + 1] - first[hit]
+                seen[self.order[np.repeat(first[hit] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())), t]] = True
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
 

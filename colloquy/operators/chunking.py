@@ -274,18 +274,22 @@ def chunk_fingerprint(df: DataFrame, settings: dict | None = None, text: str = "
     return df.withColumn("content_hash", F.sha2(F.concat_ws("|", *marks, F.col(text)), 256))
 
 
-def new_chunks(df: DataFrame, seen: DataFrame, id: str = "chunk_id") -> DataFrame:
+def new_chunks(df: DataFrame, seen: DataFrame, id: str = "chunk_id", on: tuple = ("content_hash",)) -> DataFrame:
     """Rows whose fingerprint is not in ``seen``; copies within ``df`` all stay.
 
+    ``on`` are the columns of the fingerprint. With the document's id among them,
+    equal texts of two documents are both stored, in whatever runs they come.
+
     Only fingerprints that are both incoming and known matter. They are found on
     pre-aggregated hashes, where a text with many copies counts once. If there are
     too many to broadcast, the rows are spread over salts, so the copies of one
     text do not meet in one task.
     """
-    incoming = df.select("content_hash").distinct()
-    known = incoming.join(seen.select("content_hash").distinct(), "content_hash", "left_semi")
+    on = list(on)
+    incoming = df.select(*on).distinct()
+    known = incoming.join(seen.select(*on).distinct(), on, "left_semi")
     if within(known):
-        return df.join(F.broadcast(known), "content_hash", "left_anti")
+        return df.join(F.broadcast(known), on, "left_anti")
     salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     spread = df.withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(_SALTS)).cast("int"))
-    return spread.join(salted, ["content_hash", "_salt"], "left_anti").drop("_salt")
+    return spread.join(salted, [*on, "_salt"], "left_anti").drop("_salt")

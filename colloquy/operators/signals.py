@@ -84,6 +84,20 @@ def hysteresis_segments(
     return out
 
 
+def with_epoch(df: DataFrame, resets: DataFrame, key, ts: str, out: str = "epoch", run_rows: int = RUN_ROWS) -> DataFrame:
+    """Number of resets of the key at or before each row.
+
+    A detector starts anew after a reset (a trigger, or a switch turned), so the
+    segments or frames with resets are those of the key (key, epoch).
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    rows = df.select(*key, micros(df, ts).alias("_at"), F.lit(1).alias("_kind"), F.struct(*df.columns).alias("_row"))
+    marks = resets.select(*key, micros(resets, ts).alias("_at"), F.lit(0).alias("_kind"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    counted = arrange(both, key, ["_at", "_kind"], run_rows).running_sum(1 - F.col("_kind"), "_resets").result()
+    return counted.where("_kind = 1").select("_row.*", F.col("_resets").cast("bigint").alias(out))
+
+
 def while_enabled(
     df: DataFrame, switches: DataFrame, key, ts: str, initial: bool = False, enabled: str = "enabled",
     run_rows: int = RUN_ROWS,

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,6 +225,25 @@ def build_chunks(spark, sf):
     return made.select("chunk_id", "doc_id", "pos", "n_tokens", "content_hash")
 
 
+@query
+def update_collection(spark, sf):
+    """The English documents, then all of them."""
+    path = f"{shared_dir(spark).rstrip('/')}/colloquy/{uuid.uuid4().hex}"
+    every = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    for part in (every.where("lang = 'en'"), every):
+        ingestion.update_collection(spark, part, path, **SETTINGS)
+    return open_chunks(spark, path).select("chunk_id", "doc_id", "pos", "n_tokens", "content_hash")
+
+
+@query
+def own_embedder(spark, sf):
+    @F.pandas_udf("array<float>")
+    def sizes(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts])
+
+    return embedding.embed(docs(spark, sf), "text", sizes).select("doc_id", flat("embedding", 1).alias("embedding"))
+
+
 @query
 def new_chunks(spark, sf):
     marked = chunking.chunk_fingerprint(
@@ -456,6 +476,36 @@ def hysteresis_segments(spark, sf):
     )
 
 
+RESET_SPEECH = {**SPEECH, "t": 0.3, "min_silence": 512}
+
+
+@query
+def hysteresis_resets(spark, sf):
+    """Clicks reset the detector."""
+    ev = table(spark, sf, "events").withColumn("prob", F.least(F.lit(1.0), F.col("value") / 100))
+    frames = signals.with_epoch(ev.where("event_type <> 'click'"), ev.where("event_type = 'click'"), "user_id", "ts")
+    found = signals.hysteresis_segments(frames, ["user_id", "epoch"], ["ts", "event_id"], "prob", **RESET_SPEECH)
+    return found.select("user_id", "epoch", "segment", "start_pos", "end_pos")
+
+
+@query
+def reframe_resets(spark, sf):
+    """Every tenth vector of a label resets the frames and holds no samples."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "label", F.timestamp_seconds("vec_id").alias("ts"), "embedding")
+    chunks = signals.with_epoch(vectors.where("vec_id % 10 <> 0"), vectors.where("vec_id % 10 = 0"), "label", "ts")
+    frames = signals.reframe(chunks, ["label", "epoch"], "vec_id", "embedding", 24)
+    return frames.select("label", "epoch", "frame_no", flat("embedding").alias("samples"))
+
+
+@query
+def speech_captures(spark, sf):
+    """Captures by speech start; a sample position counts as a millisecond here."""
+    frames = table(spark, sf, "events").withColumn("prob", F.least(F.lit(1.0), F.col("value") / 100))
+    found = signals.hysteresis_segments(frames, "user_id", ["ts", "event_id"], "prob", **SPEECH)
+    timed = found.withColumns({c: F.timestamp_micros(F.col(c) * 1000) for c in ("start_pos", "end_pos")})
+    return utterances.speech_captures(timed, "user_id", "start_pos", "end_pos").select("user_id", "utt_no", "start_us", "end_us", "ended_by")
+
+
 def _capture_inputs(ev: DataFrame):
     audio = ev.where("event_type IS NULL OR event_type IN ('view', 'purchase')").select(
         "user_id", "ts", F.array(F.col("value").cast("float")).alias("samples")
@@ -492,6 +542,21 @@ def replay_states(spark, sf):
     return log.select("user_id", "event_id", "event", "state")
 
 
+ALL_EVENTS = {
+    "click0": "trigger", "click1": "enable", "view0": "transcript", "view1": "short_transcript", "purchase0": "answer",
+    "purchase1": "done", "signup0": "trigger", "signup1": "done", "error0": "failure", "error1": "disable",
+}
+
+
+@query
+def replay_all_events(spark, sf):
+    events = timed_events(spark, sf).select(
+        "user_id", "event_id", "ts_us", F.concat("event_type", (F.col("event_id") % 2).cast("string")).alias("event_type")
+    )
+    log = dialogue.replay_states(events, "user_id", "ts_us", "event_type", ALL_EVENTS, tie="event_id")
+    return log.select("user_id", "event_id", "event", "state")
+
+
 @query
 def stage_durations(spark, sf):
     ev = timed_events(spark, sf).withColumn("state", F.upper("event_type"))

@@ -33,7 +33,7 @@ def build_chunks(
     docs: DataFrame, seen: DataFrame | None = None, embedder=None, chunk_size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP, buffer_size: int = BUFFER_SIZE, pct: float = BREAK_PERCENTILE, dim: int = DIM,
 ) -> DataFrame:
-    """Chunks of prepared documents that are not in ``seen``, with embeddings."""
+    """Chunks of prepared documents that their document does not have in ``seen``, with embeddings."""
     cut = chunk_documents(docs, "doc_id", "text", chunk_size, overlap, buffer_size, pct, dim)
     settings = {
         "chunk_size": chunk_size, "overlap": overlap, "buffer_size": buffer_size, "pct": pct, "dim": dim,
@@ -43,7 +43,7 @@ def build_chunks(
         "chunk_id", F.concat_ws("-", "doc_id", "chunk_no", "part", F.substring("content_hash", 1, 12))
     )
     if seen is not None:
-        named = new_chunks(named, seen)
+        named = new_chunks(named, seen, on=("doc_id", "content_hash"))
     meta = docs.select("doc_id", "metadata")
     return embed(named.join(meta, "doc_id"), "text", embedder, dim).select(
         "chunk_id", "doc_id", F.col("chunk_no").alias("pos"), "text", "n_tokens", "content_hash", "embedding", "metadata"

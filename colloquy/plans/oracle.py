@@ -178,10 +178,10 @@ r AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id
 SELECT user_id, event_id, t AS ts_us FROM r JOIN e USING (user_id, t)"""
 
 
-def segments(where: str = "", closed: str = "") -> str:
+def segments(where: str = "", closed: str = "", source: str = "events", _SP: dict = _SP) -> str:
     return f"""
 WITH RECURSIVE f AS (SELECT user_id, least(1.0, value / 100) AS p,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events {where}),
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM {source} {where}),
 r AS (
     SELECT user_id, no, seg, start, pend,
       NULL::BIGINT AS done FROM (SELECT user_id, no,
@@ -236,6 +236,19 @@ SELECT e.user_id, e.event_id FROM (SELECT * FROM events WHERE event_type NOT IN
 ASOF JOIN sw ON sw.user_id = e.user_id AND sw.ts <= e.ts WHERE sw.enabled"""
 
 
+EPOCHS = """(SELECT user_id * 1000000 + (SELECT count(*) FROM events c WHERE c.user_id = v.user_id AND c.event_type = 'click' AND c.ts <= v.ts)
+    AS user_id, event_id, ts, value FROM events v WHERE event_type <> 'click')"""
+
+MOVED = """CASE WHEN {event} = 'disable' THEN 'OFF'
+  WHEN {state} = 'OFF' THEN CASE WHEN {event} = 'enable' THEN 'WAITING' ELSE 'OFF' END
+  WHEN {event} = 'failure' THEN 'ERROR'
+  WHEN {state} IN ('WAITING', 'ERROR') AND {event} = 'trigger' THEN 'LISTENING'
+  WHEN {state} = 'LISTENING' AND {event} = 'transcript' THEN 'THINKING'
+  WHEN {state} = 'LISTENING' AND {event} = 'short_transcript' THEN 'WAITING'
+  WHEN {state} = 'THINKING' AND {event} = 'answer' THEN 'SPEAKING'
+  WHEN {state} = 'SPEAKING' AND {event} = 'done' THEN 'WAITING'
+  WHEN {state} = 'ERROR' THEN 'WAITING' ELSE {state} END"""
+
 BUILT = {"buffer_size": 1, "chunk_size": SIZE, "dim": 256, "embedder": "hashed", "overlap": SHARED, "pct": 90}
 BUILT_MARK = "|".join(f"{k}={v}" for k, v in BUILT.items())
 
@@ -401,6 +414,30 @@ SELECT vec_id, CASE WHEN 64 < 61 + label THEN {flat('embedding')} || repeat(',0'
     "gate_stream": gated(),
     "hysteresis_segments": segments(),
     "hysteresis_stream": segments(),
+    "hysteresis_resets": f"""
+SELECT user_id // 1000000 AS user_id, user_id % 1000000 AS epoch, segment, start_pos, end_pos FROM ({segments(source=EPOCHS, _SP=catalog.RESET_SPEECH)})""",
+    "reframe_resets": """
+WITH e AS (SELECT *, (SELECT count(*) FROM embeddings r WHERE r.label = v.label AND r.vec_id % 10 = 0 AND r.vec_id <= v.vec_id) AS epoch
+  FROM embeddings v WHERE vec_id % 10 <> 0),
+s AS (SELECT label, epoch, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM e),
+n AS (SELECT label, epoch, x, row_number() OVER (PARTITION BY label, epoch ORDER BY vec_id, i) - 1 AS place FROM s)
+SELECT label, epoch, place // 24 AS frame_no, string_agg(round(x::DOUBLE * 1000000)::BIGINT::VARCHAR, ',' ORDER BY place) AS samples
+FROM n GROUP BY label, epoch, place // 24 HAVING count(*) = 24""",
+    "speech_captures": f"""
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_pos) AS utt_no, start_pos * 1000 AS start_us,
+  end_pos * 1000 AS end_us, 'speech_end' AS ended_by FROM ({segments()}) WHERE end_pos IS NOT NULL""",
+    "replay_all_events": f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type || (event_id % 2)::VARCHAR
+    {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in catalog.ALL_EVENTS.items())} END AS event,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events),
+r AS (SELECT user_id, event_id, event, no, {MOVED.format(state="'WAITING'", event="event")} AS state FROM e WHERE no = 1
+    UNION ALL
+    SELECT e.user_id, e.event_id, e.event, e.no, {MOVED.format(state="r.state", event="e.event")}
+    FROM r JOIN e ON e.user_id = r.user_id AND e.no = r.no + 1)
+SELECT user_id, event_id, event, state FROM r""",
+    "own_embedder": """
+SELECT doc_id, length(text)::VARCHAR || ',' || (length(text) - length(replace(text, ' ', '')))::VARCHAR || ','
+  || (length(text) - length(replace(text, chr(10), '')))::VARCHAR AS embedding FROM documents""",
     "assemble_utterances": captured(),
     "utterance_stream": captured(),
     "while_enabled": switched(),
@@ -435,3 +472,5 @@ WITH n AS (SELECT value, count(*) FILTER (WHERE event_type = 'error') AS fp FROM
 c AS (SELECT value, sum(fp) OVER (ORDER BY value DESC) AS cum FROM n)
 SELECT min(value) AS threshold, max(cum)::BIGINT AS false_positives FROM c WHERE cum / 744.0 <= 0.1""",
 }
+
+ORACLE["update_collection"] = ORACLE["build_chunks"]

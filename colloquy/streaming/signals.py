@@ -51,32 +51,51 @@ def _timed(df: DataFrame, key: str, ts: str) -> list:
 
 
 def reframe_stream(
-    df: DataFrame, key: str, ts: str, col: str = "samples", frame: int = FRAME, delay: str = "10 seconds", tie=()
+    df: DataFrame, key: str, ts: str, col: str = "samples", frame: int = FRAME, delay: str = "10 seconds", tie=(),
+    reset: str | None = None,
 ) -> DataFrame:
-    """Stream form of ``reframe``; the state is the remainder."""
+    """Stream form of ``reframe``; the state is the remainder.
+
+    Rows with a true ``reset`` hold no samples: the remainder is dropped and frames
+    count anew, as with the key (key, epoch) of ``with_epoch``.
+    """
     def step(state, rows):
-        left, no = (list(state[0]), state[1]) if state else ([], 0)
+        left, no, epoch = (list(state[0]), state[1], state[2]) if state else ([], 0, 0)
         out = []
         for row in rows:
+            if reset and row[reset]:
+                left, no, epoch = [], 0, epoch + 1
+                continue
             left.extend(row[col] or [])
             while len(left) >= frame:
-                out.append({"frame_no": no, col: left[:frame]})
+                out.append({"frame_no": no, col: left[:frame], "epoch": epoch})
                 left, no = left[frame:], no + 1
-        return (left, no), out
+        return (left, no, epoch), out
 
     kind = df.schema[col].dataType.simpleString()
-    return in_order(df, key, ts, f"left {kind}, no bigint", [("frame_no", "bigint"), (col, kind)], step, delay, tie)
+    columns = [("frame_no", "bigint"), (col, kind)] + [("epoch", "bigint")] * bool(reset)
+    return in_order(df, key, ts, f"left {kind}, no bigint, epoch bigint", columns, step, delay, tie)
 
 
 def hysteresis_stream(
     df: DataFrame, key: str, ts: str, prob: str, t: float = SPEECH, margin: float = MARGIN,
     min_silence: int = MIN_SILENCE, pad: int = SPEECH_PAD, frame: int = FRAME, delay: str = "10 seconds", tie=(),
+    reset: str | None = None,
 ) -> DataFrame:
-    """Stream form of ``hysteresis_segments``; a segment is emitted when it ends, an open one at an end marker."""
+    """Stream form of ``hysteresis_segments``; a segment is emitted when it ends, an open one at an end marker.
+
+    Rows with a true ``reset`` hold no frame: the detector starts anew after them, as
+    with the key (key, epoch) of ``with_epoch``; ``epoch`` is added to the output.
+    """
     def step(state, rows):
-        at, no, start, pending = state if state else (0, 0, None, None)
+        at, no, start, pending, epoch = state if state else (0, 0, None, None, 0)
         out = []
         for row in rows:
+            if reset and row[reset]:
+                if start is not None:
+                    out.append({"segment": no, "start_pos": start, "end_pos": None, "epoch": epoch})
+                at, no, start, pending, epoch = 0, 0, None, None, epoch + 1
+                continue
             at += frame
             p = row[prob]
             if p is None:
@@ -88,16 +107,17 @@ def hysteresis_stream(
             elif p < t - margin and start is not None:
                 pending = at if pending is None else pending
                 if at - pending >= min_silence:
-                    out.append({"segment": no, "start_pos": start, "end_pos": pending + pad - frame})
+                    out.append({"segment": no, "start_pos": start, "end_pos": pending + pad - frame, "epoch": epoch})
                     start = pending = None
-        return (at, no, start, pending), out
+        return (at, no, start, pending, epoch), out
 
     def close(state):
-        _, no, start, _ = state
-        return [] if start is None else [{"segment": no, "start_pos": start, "end_pos": None}]
+        _, no, start, _, epoch = state
+        return [] if start is None else [{"segment": no, "start_pos": start, "end_pos": None, "epoch": epoch}]
 
-    columns = [("segment", "bigint"), ("start_pos", "bigint"), ("end_pos", "bigint")]
-    return in_order(df, key, ts, "at bigint, no bigint, start bigint, pending bigint", columns, step, delay, tie, close)
+    columns = [("segment", "bigint"), ("start_pos", "bigint"), ("end_pos", "bigint")] + [("epoch", "bigint")] * bool(reset)
+    kept = "at bigint, no bigint, start bigint, pending bigint, epoch bigint"
+    return in_order(df, key, ts, kept, columns, step, delay, tie, close)
 
 
 def replay_stream(

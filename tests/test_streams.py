@@ -148,3 +148,18 @@ def test_large_ids_and_nulls(spark, tmp_path):
     want = signals.reframe(df, "key", ["ts"], "samples", 2)
     got = finish(streams.reframe_stream(stream(spark, folder), "key", "ts", "samples", 2), tmp_path)
     assert rows(got, "frame_no", "samples") == rows(want, "frame_no", "samples")
+
+
+def test_resets(spark, source, tmp_path):
+    """A reset starts the detector and the frames anew, in both forms alike."""
+    args = {"t": 0.6, "margin": 0.2, "min_silence": 20, "pad": 3, "frame": 10}
+    kept = lambda df: df.where("kind IS NULL OR kind NOT IN ('chunk')").withColumn("again", F.col("kind") == "trigger")
+    every = kept(batch(spark, source))
+    frames = signals.with_epoch(every.where("not again"), every.where("again"), "key", "ts")
+    want = signals.hysteresis_segments(frames, ["key", "epoch"], ["ts", "id"], "p", **args)
+    got = finish(streams.hysteresis_stream(kept(stream(spark, source)), "key", "ts", "p", tie=["id"], reset="again", **args), tmp_path)
+    cols = ("key", "epoch", "segment", "start_pos", "end_pos")
+    assert rows(got, *cols) == rows(want, *cols) and got.where("epoch > 1").count() > 3
+    want = signals.reframe(frames, ["key", "epoch"], ["ts", "id"], "samples", 5)
+    got = finish(streams.reframe_stream(kept(stream(spark, source)), "key", "ts", "samples", 5, tie=["id"], reset="again"), tmp_path)
+    assert rows(got, "key", "epoch", "frame_no", "samples") == rows(want, "key", "epoch", "frame_no", "samples")

@@ -32,7 +32,7 @@ PERCENT = 75
 COORDINATES = 64
 MATCHES = 32
 BLOCK = 1024
-FINE = 512   # coordinates, a byte each, that tell apart members of different components
+FINE = 2048  # coordinates, two bits each, that tell apart members of different components; a multiple of 64
 DRAWS = 2    # rounds in which lists that hold several components draw a leader
 
 
@@ -66,8 +66,9 @@ def signature(hashes: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     k = np.arange(coordinates, dtype=np.uint64)
     seeds, factors = mixed(k + np.uint64(1)), mixed(k + np.uint64(1001)) | np.uint64(1)
     least = np.full(coordinates, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, ((hashes[at:at + 4096, None] ^ seeds) * factors).min(axis=0), out=least)
+    step = max(64, 262_144 // coordinates)
+    for at in range(0, len(hashes), step):
+        np.minimum(least, ((hashes[at:at + step, None] ^ seeds) * factors).min(axis=0), out=least)
     low = np.uint64((1 << max(1, (coordinates - 1).bit_length())) - 1)
     return ((mixed(least + seeds) & ~low) | k).view(np.int64)
 
@@ -165,12 +166,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def fine_signatures(sets: DataFrame, coordinates: int) -> DataFrame:
-    """node, n, fine: one byte for each of many more permutations of a node's set."""
+    """node, n, fine: two bits for each of many more permutations of a node's set, as two bit planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
-            fine = [(signature(h, coordinates) >> 20).astype(np.uint8).tobytes() for h in found]
+            fine = []
+            for hashes in found:
+                values = signature(hashes, coordinates)
+                fine.append(b"".join(np.packbits((values >> bit) & 1 == 1).tobytes() for bit in (20, 21)))
             sizes = pa.array([len(h) for h in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, pa.array(fine, pa.binary())], ["node", "n", "fine"])
 
@@ -181,18 +185,18 @@ def _cross_pairs(lists: DataFrame, percent: int, coordinates: int, block: int) -
     """a, b of different components that their sizes and fine signatures leave open, within a posting list.
 
     Lists (token, node, component, n, fine, prefix) are cut into blocks of about ``block`` nodes; each pair of blocks
-    is a group. A pair is given out in the first list that both are in. The fine signature excludes a pair five
+    is a group. A pair is given out in the first list that both are in. The fine signature excludes a pair 4.5
     standard deviations below what the threshold lets expect.
     """
     sizes = lists.groupBy("token").count().select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     cut = lists.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("token", "node", "component", "n", "fine", "prefix", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    rate = percent / 100 + (1 - percent / 100) / 256
-    least = coordinates * rate - 5 * (coordinates * rate * (1 - rate)) ** 0.5
+    rate = percent / 100 + (1 - percent / 100) / 4  # two bits are equal by chance in a quarter of the others
+    most = coordinates * (1 - rate) + 4.5 * (coordinates * rate * (1 - rate)) ** 0.5
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        fine = np.frombuffer(b"".join(rows["fine"]), np.uint8).reshape(len(rows), coordinates)
+        first, second = np.frombuffer(b"".join(rows["fine"]), np.uint64).reshape(len(rows), 2, -1).swapaxes(0, 1)
         node, group, own, n = (rows[c].to_numpy() for c in ("node", "component", "own", "n"))
         prefix = [set(x.tolist()) for x in rows["prefix"]]
         token, p, q = rows["token"].iloc[0], rows["p"].iloc[0], rows["q"].iloc[0]
@@ -203,7 +207,8 @@ def _cross_pairs(lists: DataFrame, percent: int, coordinates: int, block: int) -
             others = others[(group[others] != group[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
             for at in range(0, len(others), 4096):
                 part = others[at:at + 4096]
-                for j in part[(fine[part] == fine[i]).sum(axis=1) >= least]:
+                differing = (first[part] ^ first[i]) | (second[part] ^ second[i])
+                for j in part[np.bitwise_count(differing).sum(axis=1, dtype=np.int64) <= most]:
                     if min(prefix[i] & prefix[j]) == token:
                         out.append((min(node[i], node[j]), max(node[i], node[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")

@@ -28,7 +28,9 @@ DISTANCE = 0.1       # allowed edits, as a share of an item's words
 MIN_WORDS = 8        # shorter items would match everyday phrases; they take part only when equal, see find_leaks
 RECALL = 0.998       # target over pairs at the allowed distance
 SAMPLED = 4          # output positions in a key
-CALIBRATION = 1000  # walks per estimate of the collision rate
+STEPS = 3            # steps of a walk to a word; the pointer stays at every second one, so a walk passes the last word
+CALIBRATION = 2000   # pairs per estimate of the collision rate
+PART = 1_200_000     # words of the windows that are walked at once
 INDEX_ITEMS = 20_000  # items that one pass over the documents holds; more items take more passes
 SEED = 1
 
@@ -55,47 +57,64 @@ def neighbours(codes: np.ndarray) -> np.ndarray:
     return np.where((codes[:-1] != 0) & (codes[1:] != 0), both, np.uint64(0))
 
 
-def cgk_walk(windows: np.ndarray, walk: int) -> np.ndarray:
-    """Outputs of one walk over rows of word codes, one step for each column.
+def cgk_walk(windows: np.ndarray, lengths: np.ndarray, walk: int, steps: np.ndarray) -> np.ndarray:
+    """Outputs of one walk over rows of word codes, at the ascending ``steps`` of each length (distinct lengths by samples).
 
-    An embedding of three steps to a word would read a whole row; its first steps read about half of it, which the
-    windows at other starts make up for, and take a third of the work.
-
-    The pointer reads a word and moves on if the coin of (step, word) says so. Coins are bits of a hash of the
-    word, 64 steps to a hash.
+    Rows ascend by length, and so do their steps; a row is left once its last step is read. The pointer reads a word
+    and moves on if the coin of (step, word) says so; behind the last word it reads zeros. Coins are bits of a hash
+    of the word, 64 steps to a hash.
     """
     rows, width = windows.shape
     padded = np.concatenate([windows, np.zeros((rows, 1), np.uint64)], axis=1)
-    flat, base, pointer = padded.ravel(), np.arange(rows) * (width + 1), np.zeros(rows, np.int64)
-    out = np.empty((width, rows), np.uint64)
-    for step in range(width):
+    flat, at = padded.ravel(), np.arange(rows) * (width + 1)
+    bounds = [*np.unique(lengths, return_index=True)[1].tolist(), rows]
+    reads: dict[int, list[tuple[int, int]]] = {}
+    for i, own in enumerate(steps.tolist()):
+        for sample, step in enumerate(own):
+            reads.setdefault(step, []).append((sample, i))
+    out = np.zeros((steps.shape[1], rows), np.uint64)
+    low = 0
+    for step in range(int(steps.max(initial=-1)) + 1):
         if step % 64 == 0:
-            coins = mixed(flat * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED + 1_000_003 * (walk + 1) + step))
-        at = base + np.minimum(pointer, width)
-        out[step] = flat[at]
-        pointer += ((coins[at] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
+            coins = np.zeros_like(padded)
+            coins[low:, :width] = mixed(padded[low:, :width] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED + 1_000_003 * (walk + 1) + step))
+            coins = coins.ravel()  # the last column's coins are 0, so that the pointer stays there
+        for sample, i in reads.get(step, ()):
+            out[sample, bounds[i]:bounds[i + 1]] = flat[at[bounds[i]:bounds[i + 1]]]
+            if sample == len(out) - 1:
+                low = bounds[i + 1]
+        moves = coins[at[low:]]
+        moves >>= np.uint64(step % 64)
+        moves &= np.uint64(1)
+        at[low:] += moves.view(np.int64)
     return out
 
 
 @lru_cache(8192)
 def sampled_steps(length: int, walk: int, sampled: int = SAMPLED) -> tuple[int, ...]:
-    """The walk's sampled output positions: distinct, within the steps that read a window of that length."""
-    reach = max(1, length)
-    drawn = np.random.default_rng([SEED, length, walk]).choice(reach, min(sampled, reach), replace=False).tolist()
-    return tuple((drawn * sampled)[:sampled])
+    """The walk's sampled output positions in order, at the same shares of the steps for windows of any length."""
+    return tuple(sorted((np.random.default_rng([SEED, walk]).random(sampled) * STEPS * max(1, length)).astype(int).tolist()))
 
 
 def keys_of(windows: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
-    """One key per row from the walk's outputs at the positions sampled for the row's length."""
-    out = cgk_walk(windows, walk)
+    """One key per row, in ascending order of lengths, from the walk's outputs at the positions sampled for the length."""
+    steps = np.array([sampled_steps(int(n), walk) for n in np.unique(lengths)], np.int64).reshape(-1, SAMPLED)
     key = mixed(lengths.astype(np.uint64) * np.uint64(1000) + np.uint64(walk))
-    distinct, which = np.unique(lengths, return_inverse=True)
-    steps = np.array([sampled_steps(int(n), walk) for n in distinct], np.int64).reshape(-1, SAMPLED)[which]
-    for column in np.take_along_axis(out, steps.T, axis=0):
+    for column in cgk_walk(windows, lengths, walk, steps):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
     return key
 
 
+def parts_of(lengths: np.ndarray) -> Iterator[slice]:
+    """Cuts rows of ascending length where they hold ``PART`` words, or where the length has doubled."""
+    at = 0
+    while at < len(lengths):
+        end = int(np.searchsorted(lengths, 2 * lengths[at], "right"))
+        end = min(end, at + max(1, PART // int(lengths[end - 1])))
+        yield slice(at, end)
+        at = end
+
+
 def windows_of(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Rows of the codes from each start, zeros behind each length."""
     column = np.arange(int(lengths.max(initial=1)))
@@ -106,36 +125,54 @@ def edits_allowed(length: int, distance: float) -> int:
     return int(math.floor(distance * length + 1e-9))
 
 
-@lru_cache
-def walks_for(length: int, distance: float, recall: float = RECALL) -> int:
-    """Repeated walks that reach the target recall at the allowed distance, by simulation on random sequences."""
-    edits = edits_allowed(length, distance)
-    if not edits:
-        return 1
-    # lengths of one number of edits in steps of five share the estimate of the shortest, which is the hardest
-    shorter = length - length % 5
-    if shorter != length and edits_allowed(shorter, distance) == edits:
-        return walks_for(shorter, distance, recall)
-    draw = np.random.default_rng([SEED, length, edits])
-    rows = draw.integers(1, 2**62, (CALIBRATION, length)).astype(np.uint64)
+def edited_pairs(length: int, edits: int, within: int, draw: np.random.Generator, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of random words, and the same with so many edits among their first ``within`` words."""
+    rows = draw.integers(1, 2**62, (pairs, length)).astype(np.uint64)
     changed = np.zeros_like(rows)
     for i, row in enumerate(rows):
-        # half of the edits substitute, the others delete and insert in pairs, the hardest for a window of equal length
+        # a third of the edits substitute, the others delete and insert in pairs, the hardest for a window of equal length
         words = row.tolist()
         for e in range(edits):
             if e % 3 == 0:
-                words[int(draw.integers(len(words)))] = int(draw.integers(1, 2**62))
+                words[int(draw.integers(within))] = int(draw.integers(1, 2**62))
             elif e % 3 == 1:
-                del words[int(draw.integers(len(words)))]
+                del words[int(draw.integers(within))]
             else:
-                words.insert(int(draw.integers(len(words) + 1)), int(draw.integers(1, 2**62)))
+                words.insert(int(draw.integers(within)), int(draw.integers(1, 2**62)))
         changed[i] = (words + draw.integers(1, 2**62, length).tolist())[:length]
-    lengths, missed = np.full(CALIBRATION, length), np.ones(CALIBRATION, bool)
-    for walk in range(64):
-        missed &= keys_of(rows, lengths, walk) != keys_of(changed, lengths, walk)
-        if missed.mean() <= 1 - recall:
-            return walk + 1
-    return 64
+    return rows, changed
+
+
+@lru_cache(None)
+def walks_for(length: int, distance: float, recall: float = RECALL) -> int:
+    """Repeated walks that reach the target recall at the allowed distance, by simulation on random sequences.
+
+    Edits spread over the whole sequence, over its first half and over a start of twice their number must each reach
+    it. There is no limit: the last outputs of a walk are mostly zeros for both sequences, so each walk can meet.
+    """
+    edits = edits_allowed(length, distance)
+    if not edits:
+        return 1
+    if edits > 10 and edits % 5:
+        # lengths share the estimate of the next number of edits in steps of five, which is harder
+        return walks_for(math.ceil((edits + 5 - edits % 5) / distance - 1e-9), distance, recall)
+    # and lengths of one number of edits that of the shortest, likewise
+    shorter = math.ceil(edits / distance - 1e-9) if edits > 10 else length - length % 5
+    if shorter < length and edits_allowed(shorter, distance) == edits:
+        return walks_for(shorter, distance, recall)
+    draw = np.random.default_rng([SEED, length, edits])
+    spreads = sorted({length - edits, max(1, (length - edits) // 2), min(2 * edits, length - edits) or 1})
+    both = [edited_pairs(length, edits, max(1, within), draw, CALIBRATION) for within in spreads]
+    rows, changed = np.concatenate([r for r, _ in both]), np.concatenate([c for _, c in both])
+    lengths, missed = np.full(len(rows), length), np.ones(len(rows), bool)
+    walk, most = 0, CALIBRATION
+    while most + 2 * math.sqrt(most) > (1 - recall) * CALIBRATION:  # two deviations of the count above it
+        for part in parts_of(lengths):
+            left = np.flatnonzero(missed[part]) + part.start  # those that have met need no more walks
+            if len(left):
+                missed[left] = keys_of(rows[left], lengths[left], walk) != keys_of(changed[left], lengths[left], walk)
+        walk, most = walk + 1, int(missed.reshape(len(spreads), -1).sum(axis=1).max())
+    return walk
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int]:
@@ -170,13 +207,19 @@ class ItemIndex:
             self.lengths[n] = edits, walks_for(n, distance, recall) if edits else 1
         sizes = np.array([len(codes) for _, codes in self.items], np.int64)
         walks = np.array([self.lengths[n][1] for n in sizes.tolist()], np.int64)
-        rows = np.zeros((len(sizes), int(sizes.max(initial=1))), np.uint64)
-        for i, (_, codes) in enumerate(self.items):
-            rows[i, :len(codes)] = codes
+        parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(int(walks.max(initial=0)))]
+        ascending = np.argsort(sizes, kind="stable")
+        for part in parts_of(sizes[ascending]):
+            members = ascending[part]
+            rows = np.zeros((len(members), int(sizes[members].max())), np.uint64)
+            for row, i in zip(rows, members.tolist(), strict=True):
+                row[:sizes[i]] = self.items[i][1]
+            for walk in range(int(walks[members].max())):
+                live = np.flatnonzero(walks[members] > walk)
+                parts[walk].append((keys_of(rows[live], sizes[members[live]], walk), members[live]))
         self.keys: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys of each walk, and their items
-        for walk in range(int(walks.max(initial=0))):
-            owner = np.flatnonzero(walks > walk)
-            keys = keys_of(rows[owner], sizes[owner], walk)
+        for found in parts:
+            keys, owner = np.concatenate([k for k, _ in found]), np.concatenate([o for _, o in found])
             order = np.argsort(keys, kind="stable")
             self.keys.append((keys[order], owner[order]))
         self.margin = 2 * max(self.lengths, default=0)
@@ -217,8 +260,8 @@ class ItemIndex:
             places.append(starts)
             lengths.append(np.full(len(starts), n))
         starts, lengths = np.concatenate(places), np.concatenate(lengths)
-        for part in range(0, len(starts), 20_000):
-            self._walk(codes, first, starts[part:part + 20_000], lengths[part:part + 20_000], best)
+        for part in parts_of(lengths):  # lengths ascend
+            self._walk(codes, first, starts[part], lengths[part], best)
         return [(d, item, start - int(first[d]), used, edited) for (d, item), (edited, start, used) in sorted(best.items())]
 
     def _walk(self, codes: np.ndarray, first: np.ndarray, starts: np.ndarray, lengths: np.ndarray, best: dict) -> None:
@@ -228,6 +271,8 @@ class ItemIndex:
         met = []
         for walk, (keys, owner) in enumerate(self.keys):
             live = np.flatnonzero(walks > walk)
+            if not len(live):
+                break
             own = keys_of(rows[live], lengths[live], walk)
             low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
             hits = high - low

@@ -131,6 +131,46 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.find_leaks(none, items).count() == 0 and decontaminate.find_leaks(docs, items.where("false")).count() == 0
 
 
+def test_decontamination_finds_edited_passages(spark):
+    """At the allowed distance, with edits over the whole item, its first half and its start."""
+    items, docs, n = [], [], 0
+    for length in (20, 50, 100, 200, 300):
+        edits, draw = length // 10, np.random.default_rng(length)
+        for within in (length - edits, length // 2, 2 * edits):
+            for _ in range(24):
+                item = [f"i{n}w{i}" for i in range(length)]
+                words = list(item)
+                for e in range(edits):
+                    at = int(draw.integers(within))
+                    if e % 3:
+                        words[at:at + e % 2] = [f"x{e}"] * (1 - e % 2)  # deleted or inserted
+                    else:
+                        words[at] = f"x{e}"
+                items.append((n, " ".join(item)))
+                docs.append((n, " ".join(["before"] * 400 + words + ["after"] * 400)))
+                n += 1
+    found = decontaminate.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {r["doc_id"] for r in found}
+    assert all(r["doc_id"] == r["item_id"] for r in found) and len(got) >= 0.99 * n
+    assert min(sum(d in got for d in range(a, a + 72)) for a in range(0, n, 72)) >= 70
+
+
+def test_decontamination_walks():
+    """Each walk reads whole items, and long items get as many as they need."""
+    rows = np.arange(1, 41, dtype=np.uint64).reshape(1, -1)
+    ends = [decontaminate.cgk_walk(rows, np.array([40]), walk, np.array([[0, 119]]))[:, 0].tolist() for walk in range(5)]
+    assert ends == [[1, 0]] * 5
+    for length in (20, 59, 200, 400):
+        edits = decontaminate.edits_allowed(length, 0.1)
+        for within in (length - edits, length // 2, 2 * edits):
+            rows, changed = decontaminate.edited_pairs(length, edits, within, np.random.default_rng([9, within]), 300)
+            lengths, missed = np.full(300, length), np.ones(300, bool)
+            for walk in range(decontaminate.walks_for(length, 0.1)):
+                missed &= decontaminate.keys_of(rows, lengths, walk) != decontaminate.keys_of(changed, lengths, walk)
+            assert missed.mean() <= 0.01, (length, within)
+
+
 def test_language(spark, odd, none):
     rows = [("the cat and the dog in the house", "en"), ("der Hund und die Katze in dem Haus", "de")] * 5
     model = language_mix.train(spark.createDataFrame(rows, "text string, lang string"))

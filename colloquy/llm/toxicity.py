@@ -46,9 +46,16 @@ class Grammar:
     coefficients: list[float] = field(default_factory=lambda: [-3.0, 1.5, 0.5, 1.0])
 
     def finder(self) -> str | None:
-        """Expression for a word that may begin a match, to pass over texts without one."""
-        words = [re.escape(w.removesuffix("*")) + ("" if w.endswith("*") else r"\b") for w in [*self.insults, *THREAT]]
-        return rf"(?:^|[^\pL])(?:{'|'.join(words)})" if words else None
+        """Expression for a word that may begin a match, to pass over texts without one; it reads ``lowered`` texts.
+
+        It may find too much, never too little: what bounds a word in WORD is no letter to RE2, whose \\b knows ASCII only.
+        """
+        stems, words = [], []
+        for w in [*self.insults, *THREAT]:
+            (stems if w.endswith("*") else words).append(re.escape(lowered(w.removesuffix("*"))))
+        # the class stands once behind all words, since RE2 takes no expression with hundreds of it
+        either = [*stems, *([rf"(?:{'|'.join(words)})(?:$|[^\pL])"] if words else [])]
+        return rf"(?:^|[^\pL])(?:{'|'.join(either)})" if either else None
 
     def classes(self, word: str) -> tuple[str, float]:
         """The lexicon transducer."""
@@ -86,6 +93,11 @@ class Grammar:
         return found
 
 
+def lowered(text: str) -> str:
+    """As ``clauses`` lowers, but for the final sigma, which depends on what follows the clause."""
+    return text.lower().replace("ς", "σ")
+
+
 def features(clauses: list[tuple[int, int, float]]) -> list[float]:
     weights = [w for _, _, w in clauses]
     return [1.0, min(max(weights, default=0.0), 6.0), min(sum(weights), 30.0) ** 0.5, float(bool(weights))]
@@ -200,7 +212,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text: str = "text") -> Dat
         for batch in batches:
             for at, texts in slices(batch.column(text), 4_000_000):
                 texts = pc.fill_null(texts, "")
-                may = pc.match_substring_regex(pc.utf8_lower(texts), finder).to_pylist() if finder else [False] * len(texts)
+                may = pc.match_substring_regex(pa.array([lowered(t) for t in texts.to_pylist()], pa.large_string()), finder).to_pylist() if finder else [False] * len(texts)
                 found = [grammar.clauses(t.as_py()) if m else [] for t, m in zip(texts, may, strict=True)]
                 scores = 1 / (1 + np.exp(-np.array([features(f) for f in found]) @ w))
                 part = batch.slice(at, len(texts))

@@ -197,6 +197,17 @@ def test_toxicity_grammar(spark, odd, none):
     assert empty.insults == {}
 
 
+def test_toxicity_search_passes_over_no_match(spark):
+    g = toxicity.Grammar({"débilé": 2.0, "idiot": 2.0, "σκύλος": 2.0, "scum*": 2.0} | {f"q{i:b}".translate({48: "é", 49: "z"}): 1.0 for i in range(toxicity.PATTERNS)})
+    words = ["débilé", "DÉBILÉ", "idiot", "kill", "tué", "ΣΚΎΛΟΣ", "ΣΚΎΛΟΣ", "scumé", "brûler"]
+    ends = ["", " x", ".", ".Α", "99", "_x", "'", "'s", "é", "́", "²", "\n", "\u00a0x"]
+    starts = ["", "un ", "9", "_", "'", "İ", "é", "x'", "é. "]
+    texts = [a + w + b for a in starts for w in words for b in ends]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(c) for c in r["clauses"]] for r in toxicity.score_toxicity(df, g).collect()}
+    assert got == {i: g.clauses(t) for i, t in enumerate(texts)} and sum(map(bool, got.values())) > 200
+
+
 def test_neighbours(spark):
     draw = np.random.default_rng(2)
     rows = [(i, draw.normal(size=8).tolist()) for i in range(30)]

@@ -267,6 +267,14 @@ def test_pages(spark):
     assert page_template.extract_text(df.where("false")).count() == 0
 
 
+def test_raw_elements_without_an_end():
+    text = lambda page: [t for _, t in page_template.article(page, frozenset(), frozenset())]
+    assert text("<header><svg class='a' /></header><article><p>one<svg><path/></svg><p>two</article>") == ["one", "two"]
+    for name in ("object", "select", "noscript", "iframe", "template", "svg"):
+        assert text(f"<{name}><article><p>one</article>") == ["one"] and text(f"<{name}>x</{name}><p>one") == ["one"], name
+    assert text("<p>one<script>if (a<b) p()") == ["one"]
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, sf):
     import corpus_pipeline
 

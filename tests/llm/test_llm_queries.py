@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -143,13 +143,13 @@ def test_language_of_held_out_rows(spark, sf):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"]]) > 0.95
 
 
-def groups(docs):
+def groups(docs, words=5, percent=75):
     """doc_id to (shingles, component) by comparing all pairs that share a shingle."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for k, t in docs.items():
         w = re.findall("[^\x20\x09-\x0D]+", (t or "").translate(lower))
-        sets[k] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        sets[k] = {tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
     posted = collections.defaultdict(list)
     for k, s in sets.items():
         for g in s:
@@ -163,7 +163,7 @@ def groups(docs):
         return x
 
     for (a, b), n in common.items():
-        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             a, b = sorted((top(a), top(b)))
             root[b] = a
     return {k: (len(sets[k]), top(k)) for k in docs}

@@ -62,7 +62,13 @@ def test_equals_all_pairs(spark, sizes, vocabulary):
 
 def test_popular_segments_are_given_up(spark, monkeypatch):
     """Many small sets without a shingle in one of their segments: allocation takes place and loses nothing."""
-    texts = varied(2, 500, 2, (11, 14), 100_000)
+    draw, bands = random.Random(2), Bands(90)
+    pool = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(11)) for _ in range(60_000)]
+    tokens, offsets = jaccard_join.shingles(pa.array(pool), 3)
+    first, _, _, _, _, sizes = jaccard_join.partitioned(tokens, offsets, bands.of(np.diff(offsets)), bands)
+    bare = [t for t, a, b in zip(pool, first[:-1], first[1:], strict=True) if (sizes[a:b] == 0).any()]
+    assert len(bare) > 150
+    texts = dict(enumerate(x for t in bare for x in (t, t + " end")))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     seen, plain = [], jaccard_join.allocate
 

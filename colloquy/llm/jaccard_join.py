@@ -32,6 +32,7 @@ from colloquy.runtime import materialize, small_side
 
 WORDS = 3
 PERCENT = 90
+FEW = 16              # members of a list that are paired one by one
 BLOCK = 1024          # members of a list that are compared at a time
 DRAWS = 2             # rounds with drawn leaders before members of different components are compared
 CLOSEST = 4           # candidates of a member in another component given out at first
@@ -255,27 +256,57 @@ def allocate(posted: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, d
     return plan.where(F.col("list_band").isin(list(raised))), raised
 
 
-def _cross_pairs(lists: DataFrame, percent: int, block: int, closest: int) -> DataFrame:
+def _few_pairs(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """a, b, more (false): pairs of different components in lists of ``FEW`` members, equal lists once."""
+    equal = lists.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "component", "strong", "n"))).alias("m")).select("m").distinct()
+
+    def partners(x, i):
+        close = F.filter(F.slice("m", i + 2, FEW), lambda y: (y["component"] != x["component"]) & (y["strong"] | x["strong"])
+                         & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])))
+        return F.transform(close, lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), (x["n"] + y["n"]).alias("n")))
+
+    pairs = equal.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.*").distinct()
+    both = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n in zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), strict=True):
+                x, y = folded([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])
+                keep.append(int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (100 - percent) * n)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y", "n").mapInArrow(near, "a long, b long").withColumn("more", F.lit(False))
+
+
+def folded(bitmaps: list[np.ndarray]) -> list[np.ndarray]:
+    """Parity bitmaps at the smallest width among them: the halves of one add up to the next smaller one."""
+    width, out = min(map(len, bitmaps)), []
+    for x in bitmaps:
+        while len(x) > width:
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        out.append(x)
+    return out
+
+
+def _cross_pairs(lists: DataFrame, bits: DataFrame, percent: int, block: int, closest: int) -> DataFrame:
     """a, b, more: pairs of members of different components of a list that sizes and bitmaps leave open.
 
     Of a member's candidates in one other component, the ``closest`` are given; ``more`` tells that others are left.
-    Lists (key, node, component, strong, n, bits) are cut into blocks of about ``block`` members; each pair of blocks is
-    a group.
+    Lists (key, node, component, strong, n) of more than ``FEW`` members are cut into blocks of about ``block``; each
+    pair of blocks is a group. ``bits`` has the bitmap of each node.
     """
-    sizes = lists.groupBy("key").count().select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    cut = lists.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = materialize(lists.groupBy("key").count().select("key", "count", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    few = _few_pairs(lists.join(sizes.where(F.col("count") <= FEW).select("key"), "key", "left_semi"), bits, percent)
+    sizes = sizes.where(F.col("count") > FEW).drop("count")
+    if sizes.isEmpty():
+        return few
+    cut = lists.join(sizes, "key").join(bits, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("key", "node", "component", "strong", "n", "bits", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        width = rows["bits"].map(len).min()
-        folded = []
-        for raw in rows["bits"]:
-            x = np.frombuffer(raw, np.uint64)
-            while len(x) * 8 > width:  # halves of a parity bitmap add up to the next smaller one
-                x = x[:len(x) // 2] ^ x[len(x) // 2:]
-            folded.append(x)
-        bits = np.stack(folded)
+        maps = np.stack(folded([np.frombuffer(raw, np.uint64) for raw in rows["bits"]]))
         node, group, strong, n, mine = (rows[c].to_numpy() for c in ("node", "component", "strong", "n", "mine"))
         p, q = rows["p"].iloc[0], rows["q"].iloc[0]
         left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
@@ -286,7 +317,7 @@ def _cross_pairs(lists: DataFrame, percent: int, block: int, closest: int) -> Da
             others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
             if not len(others):
                 continue
-            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            apart = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
             near = apart * (100 + percent) <= (100 - percent) * (n[others] + n[i])
             if not near.any():
                 continue
@@ -299,7 +330,7 @@ def _cross_pairs(lists: DataFrame, percent: int, block: int, closest: int) -> Da
                     out.append((min(node[i], node[j]), max(node[i], node[j]), bool(b - a > closest)))
         return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
 
-    return cut.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long, more boolean")
+    return few.unionByName(cut.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long, more boolean"))
 
 
 def join_links(
@@ -379,12 +410,12 @@ def linked(lists: DataFrame, sets: DataFrame, percent: int, block: int) -> tuple
         tested = tested.union(met)
         edges = materialize(edges.union(_confirmed(met, whole, percent)))
         tree = materialize(components(edges))
-    closest, narrow = CLOSEST, sets.select("node", "n", "bits")
+    closest, sizes, bits = CLOSEST, sets.select("node", "n"), sets.select("node", "bits")
     while True:
         left = open_lists()
         if left.isEmpty():
             return edges, tree
-        pairs = materialize(_cross_pairs(left.join(narrow, "node"), percent, block, closest))
+        pairs = materialize(_cross_pairs(left.join(sizes, "node"), bits, percent, block, closest))
         more = materialize(_confirmed(pairs.select("a", "b").distinct(), whole, percent))
         if not more.isEmpty():
             edges = materialize(edges.union(more))

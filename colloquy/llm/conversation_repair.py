@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,10 @@ INITIALS = "sua"
 
 Vector = tuple[int, int, int, int]
 
+# results by argument; vectors with least entry 0 are few
+_FRONTS: dict = {}
+_CHOICES: dict = {}
+
 
 def relaxed(costs: list[int]) -> list[int]:
     """Costs in front of a place where rows may be inserted."""
@@ -62,12 +65,14 @@ def options(behind: Vector, code: int, q: int) -> list[tuple[str, int, str, int]
     return found
 
 
-@lru_cache(1 << 16)
 def in_front(behind: Vector, code: int) -> tuple[Vector, int]:
     """The vector in front of a row with least entry 0, and the constant taken off it."""
-    costs = relaxed([min(o[1] for o in options(behind, code, q)) for q in range(4)])
-    least = min(costs)
-    return tuple(c - least for c in costs), least
+    known = _FRONTS.get((behind, code))
+    if known is None:
+        costs = relaxed([min(o[1] for o in options(behind, code, q)) for q in range(4)])
+        least = min(costs)
+        known = _FRONTS[behind, code] = tuple(c - least for c in costs), least
+    return known
 
 
 def end_vector() -> Vector:
@@ -97,9 +102,11 @@ def fix_up(codes: bytes, before: Vector, now: Vector, front: Vector, total: int)
     return now, total + gap, rerun
 
 
-@lru_cache(1 << 16)
 def choice(behind: Vector, code: int, q: int) -> tuple[str, str, str, int]:
     """The ASCII-least cheapest edits of a row met in state ``q``: letters, rows inserted before it, its fate, next state."""
+    asked = behind, code, q
+    if asked in _CHOICES:
+        return _CHOICES[asked]
     front, least = in_front(behind, code)
     letters = inserted = ""
     while True:
@@ -110,7 +117,8 @@ def choice(behind: Vector, code: int, q: int) -> tuple[str, str, str, int]:
             letters, inserted, q = letters + "I", inserted + SPOKEN[q], to
             continue
         letter, _, fate, to = by_letter[min(by_letter)]
-        return letters + letter, inserted, fate, to
+        _CHOICES[asked] = letters + letter, inserted, fate, to
+        return _CHOICES[asked]
 
 
 def trace(codes: bytes, behind: Vector, q: int) -> tuple[list[tuple[str, str, str]], int]:

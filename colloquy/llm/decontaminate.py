@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,10 +89,17 @@ def cgk_walk(windows: np.ndarray, lengths: np.ndarray, walk: int, steps: np.ndar
     return out
 
 
-@lru_cache(8192)
-def sampled_steps(length: int, walk: int, sampled: int = SAMPLED) -> tuple[int, ...]:
+_STEPS_OF: dict[tuple[int, int], tuple[int, ...]] = {}
+_WALKS_OF: dict[tuple[int, float, float], int] = {}
+
+
+def sampled_steps(length: int, walk: int) -> tuple[int, ...]:
     """The walk's sampled output positions in order, at the same shares of the steps for windows of any length."""
-    return tuple(sorted((np.random.default_rng([SEED, walk]).random(sampled) * STEPS * max(1, length)).astype(int).tolist()))
+    known = _STEPS_OF.get((length, walk))
+    if known is None:
+        shares = np.random.default_rng([SEED, walk]).random(SAMPLED)
+        known = _STEPS_OF[length, walk] = tuple(sorted((shares * STEPS * max(1, length)).astype(int).tolist()))
+    return known
 
 
 def keys_of(windows: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
@@ -143,7 +149,6 @@ def edited_pairs(length: int, edits: int, within: int, draw: np.random.Generator
     return rows, changed
 
 
-@lru_cache(None)
 def walks_for(length: int, distance: float, recall: float = RECALL) -> int:
     """Repeated walks that reach the target recall at the allowed distance, by simulation on random sequences.
 
@@ -153,6 +158,8 @@ def walks_for(length: int, distance: float, recall: float = RECALL) -> int:
     edits = edits_allowed(length, distance)
     if not edits:
         return 1
+    if (length, distance, recall) in _WALKS_OF:
+        return _WALKS_OF[length, distance, recall]
     if edits > 10 and edits % 5:
         # lengths share the estimate of the next number of edits in steps of five, which is harder
         return walks_for(math.ceil((edits + 5 - edits % 5) / distance - 1e-9), distance, recall)
@@ -172,6 +179,7 @@ def walks_for(length: int, distance: float, recall: float = RECALL) -> int:
             if len(left):
                 missed[left] = keys_of(rows[left], lengths[left], walk) != keys_of(changed[left], lengths[left], walk)
         walk, most = walk + 1, int(missed.reshape(len(spreads), -1).sum(axis=1).max())
+    _WALKS_OF[length, distance, recall] = walk
     return walk
 
 
@@ -223,7 +231,9 @@ class ItemIndex:
             order = np.argsort(keys, kind="stable")
             self.keys.append((keys[order], owner[order]))
         self.margin = 2 * max(self.lengths, default=0)
-        self.vocabulary = {int(c) for _, codes in self.items for c in codes}
+        # words that no item has count as padding, which equals no word of an item
+        self.words = sorted({w for words in split_words(pa.array([t for _, t in items], pa.string())).to_pylist() for w in words if w})
+        self.word_codes = np.array([word_code(w) for w in self.words] + [0], np.uint64)
         # pairs of neighbouring words, and for each length whether an item of that length has them
         own = {n: np.unique(np.concatenate([neighbours(self.items[i][1]) for i in members])) for n, members in by_length.items()}
         self.pairs = np.unique(np.concatenate([*own.values(), np.zeros(0, np.uint64)]))
@@ -278,17 +288,18 @@ class ItemIndex:
             hits = high - low
             entry = np.repeat(low - (np.cumsum(hits) - hits), hits) + np.arange(int(hits.sum()))
             met.append(np.stack([np.repeat(live, hits), owner[entry]], axis=1))
-        found = np.unique(np.concatenate(met), axis=0)
+        found, times = np.unique(np.concatenate(met), axis=0, return_counts=True)
         documents = np.searchsorted(first, starts, "right") - 1
         equal = [bool((rows[w, :lengths[w]] == self.items[i][1]).all()) if lengths[w] == len(self.items[i][1]) else False for w, i in found.tolist()]
-        for k in np.argsort(~np.array(equal, bool), kind="stable").tolist():
+        # those that met most often first: the others are mostly left after a few words, being worse than the best
+        for k in np.lexsort((-times, ~np.array(equal, bool))).tolist():
             w, i = found[k].tolist()
             start, document, (item, words) = int(starts[w]), int(documents[w]), self.items[i]
             edits = self.lengths[len(words)][0]
             so_far = best.get((document, item), (edits + 1, 0, 0))
             if so_far[0] == 0 and so_far[1] <= start:
                 continue
-            edited, used = (0, len(words)) if equal[k] else edit_distance(words, codes[start:start + len(words) + edits], edits)
+            edited, used = (0, len(words)) if equal[k] else edit_distance(words, codes[start:start + len(words) + edits], min(edits, so_far[0]))
             if edited <= edits and (edited, start) < so_far[:2]:
                 best[document, item] = edited, start, used
 
@@ -323,23 +334,13 @@ def find_leaks(
 
 def _searcher(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {"": 0}
-
+        vocabulary = pa.array(index.words, pa.string())
         for batch in batches:
             for at, texts in slices(batch.column("text"), 4_000_000) if index.lengths else ():
                 words = split_words(texts)
-                coded = words.flatten().dictionary_encode()
-                if len(known) > 500_000:
-                    known.clear()
-                    known[""] = 0
-                values = []
-                for word in coded.dictionary.to_pylist():
-                    c = known.get(word)
-                    if c is None:  # a word that no item has counts as padding, which equals no word of an item
-                        c = word_code(word)
-                        known[word] = c = c if c in index.vocabulary else 0
-                    values.append(c)
-                codes = np.array(values, np.uint64)[np.asarray(coded.indices)]
+                # the place behind the last word is the padding's
+                place = pc.fill_null(pc.index_in(words.flatten().cast(pa.string()), value_set=vocabulary), len(vocabulary))
+                codes = index.word_codes[np.asarray(place)]
                 offsets = np.asarray(words.offsets) - words.offsets[0].as_py()
                 first = offsets[:-1] + np.arange(len(texts)) * index.margin
                 flat = np.zeros(len(codes) + len(texts) * index.margin, np.uint64)

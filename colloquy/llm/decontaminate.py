@@ -29,7 +29,7 @@ RECALL = 0.998       # target over pairs at the allowed distance
 SAMPLED = 4          # output positions in a key
 STEPS = 3            # steps of a walk to a word; the pointer stays at every second one, so a walk passes the last word
 CALIBRATION = 2000   # pairs per estimate of the collision rate
-PART = 1_200_000     # words of the windows that are walked at once
+PART = 500_000       # words of the windows that are walked at once
 INDEX_ITEMS = 20_000  # items that one pass over the documents holds; more items take more passes
 SEED = 1
 
@@ -336,7 +336,7 @@ def _searcher(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(index.words, pa.string())
         for batch in batches:
-            for at, texts in slices(batch.column("text"), 4_000_000) if index.lengths else ():
+            for at, texts in slices(batch.column("text"), 2_000_000) if index.lengths else ():
                 words = split_words(texts)
                 # the place behind the last word is the padding's
                 place = pc.fill_null(pc.index_in(words.flatten().cast(pa.string()), value_set=vocabulary), len(vocabulary))

@@ -23,6 +23,8 @@ from colloquy.runtime import materialize
 CAPACITY = 4096
 PARTITION_PIECES = 50_000
 ROUNDS = 6
+SLICE_BYTES = 1_000_000  # text that is held as words at a time
+CACHE_WORDS = 60_000     # words whose ids a task remembers
 
 
 def cut_documents(
@@ -38,9 +40,9 @@ def cut_documents(
     schema = source.drop("__text").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = batch_encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = batch_encoder(path, CACHE_WORDS), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at, texts in slices(batch.column("__text")):
+            for at, texts in slices(batch.column("__text"), SLICE_BYTES):
                 ids, offsets = encode(texts)
                 raw, sizes = ids.astype("<u4").tobytes(), np.diff(offsets) + 1
                 pieces = -(-sizes // capacity)
@@ -55,6 +57,7 @@ def cut_documents(
                 yield pa.RecordBatch.from_arrays([
                     *kept, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(values, pa.binary()),
                 ], [*keep, "piece", "start", "length", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

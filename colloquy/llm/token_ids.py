@@ -36,7 +36,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         at = end
 
 
-def batch_encoder(tokenizer: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+def batch_encoder(tokenizer: str, most_words: int = CACHE_WORDS) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to (all ids as uint32, first position of each text and the end)."""
     import array
     import os
@@ -71,7 +71,7 @@ def batch_encoder(tokenizer: str) -> Callable[[pa.Array], tuple[np.ndarray, np.n
         )
         pieces = pc.split_pattern(pc.replace_substring(pc.if_else(rare, texts, common), "\n", " "), " ")
         coded = pieces.flatten().dictionary_encode()
-        if len(known) > CACHE_WORDS:
+        if len(known) > most_words:
             known.clear()
             known[""] = b""
         found = []

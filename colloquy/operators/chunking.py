@@ -127,21 +127,31 @@ def semantic_breaks(distances: DataFrame, id: str = "doc_id", pct: float = BREAK
 
 
 def _with_breaks(
-    docs: DataFrame, id: str, text: str, buffer_size: int, pct: float, dim: int
+    docs: DataFrame, id: str, text: str, buffer_size: int, pct: float, dim: int, keep: tuple = ()
 ) -> DataFrame:
-    """Sentences of each chunk. Documents without an id are told apart by their text and the number of its copy."""
-    spoken = docs.where(F.col(text).rlike("[^.!?]")).select(id, text)
-    hashed = F.xxhash64(text)
-    copy = F.row_number().over(Window.partitionBy(hashed).orderBy(text))
-    unnamed = spoken.where(F.col(id).isNull()).withColumn("_doc", F.struct(hashed.alias("h"), copy.alias("c")))
-    named = _broken(spoken.where(F.col(id).isNotNull()), id, text, buffer_size, pct, dim)
-    others = _broken(unnamed.select("_doc", text), "_doc", text, buffer_size, pct, dim)
-    return named.unionByName(others.select(F.lit(None).cast(docs.schema[id].dataType).alias(id), "chunk_no", "_units"))
+    """Sentences of each chunk of each row, with the ``keep`` columns of the row.
 
+    Rows are told apart by id and text, so rows of one id do not mix. Equal texts without an id are counted first,
+    split once and repeated, so copies never meet in one task.
+    """
+    spoken = docs.where(F.col(text).rlike("[^.!?]")).select(id, text, *keep)
+    named = spoken.where(F.col(id).isNotNull()).withColumn("_copies", F.lit(1).cast("bigint"))
+    # columns of any type are compared as text
+    unnamed = spoken.where(F.col(id).isNull()).groupBy(text, F.to_json(F.struct(F.lit(0).alias("_"), *keep)).alias("_kept")).agg(
+        F.count("*").alias("_copies"), *[F.first(c).alias(c) for c in keep]
+    )
+    no_id = F.lit(None).cast(docs.schema[id].dataType).alias(id)
+    rows = named.unionByName(unnamed.select(no_id, text, *keep, "_copies"))
+    key = F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("n"))
+    rows = rows.withColumn("_doc", key)
+    cut = _broken(rows, "_doc", text, buffer_size, pct, dim, (id, *keep, "_copies"))
+    return cut.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(id, *keep, "chunk_no", "_units")
 
-def _broken(docs: DataFrame, id: str, text: str, buffer_size: int, pct: float, dim: int) -> DataFrame:
+
+def _broken(docs: DataFrame, id: str, text: str, buffer_size: int, pct: float, dim: int, keep: tuple) -> DataFrame:
     # both uses of the placed texts filter alike, so that they share one shuffle
-    placed = docs.select(id, text).repartition(id)
+    placed = docs.select(id, text, *keep).repartition(id)
+    # equal rows count several times, which changes no cosine
     counts = sentence_counts(placed, id, text, dim)
     breaks = semantic_breaks(adjacent_distance(counts, id, buffer_size), id, pct)
     pieces = placed.join(breaks, id, "left").withColumn("_sents", sentences_of(text))
@@ -150,7 +160,7 @@ def _broken(docs: DataFrame, id: str, text: str, buffer_size: int, pct: float, d
     groups = F.transform(
         F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: F.slice(F.col("_sents"), p["s"] + 1, p["e"] - p["s"])
     )
-    return pieces.select(id, F.posexplode(groups).alias("chunk_no", "_units"))
+    return pieces.select(*keep, F.posexplode(groups).alias("chunk_no", "_units"))
 
 
 def semantic_chunks(
@@ -261,11 +271,11 @@ def pack_sentences(
 def chunk_documents(
     docs: DataFrame, id: str = "doc_id", text: str = "text",
     chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-    buffer_size: int = BUFFER_SIZE, pct: float = BREAK_PERCENTILE, dim: int = DIM,
+    buffer_size: int = BUFFER_SIZE, pct: float = BREAK_PERCENTILE, dim: int = DIM, keep: tuple = (),
 ) -> DataFrame:
-    """Semantic split, then size-limited split of each semantic chunk."""
-    grouped = _with_breaks(docs, id, text, buffer_size, pct, dim)
-    return pack_units(grouped, [id, "chunk_no"], "_units", chunk_size, overlap)
+    """Semantic split, then size-limited split of each semantic chunk, with the row's ``keep`` columns."""
+    grouped = _with_breaks(docs, id, text, buffer_size, pct, dim, keep)
+    return pack_units(grouped, [id, *keep, "chunk_no"], "_units", chunk_size, overlap)
 
 
 def chunk_fingerprint(df: DataFrame, settings: dict | None = None, text: str = "text") -> DataFrame:
@@ -278,18 +288,22 @@ def new_chunks(df: DataFrame, seen: DataFrame, id: str = "chunk_id", on: tuple =
     """Rows whose fingerprint is not in ``seen``; copies within ``df`` all stay.
 
     ``on`` are the columns of the fingerprint. With the document's id among them,
-    equal texts of two documents are both stored, in whatever runs they come.
+    equal texts of two documents are both stored, in whatever runs they come. A null equals a null.
 
     Only fingerprints that are both incoming and known matter. They are found on
     pre-aggregated hashes, where a text with many copies counts once. If there are
     too many to broadcast, the rows are spread over salts, so the copies of one
     text do not meet in one task.
     """
-    on = list(on)
-    incoming = df.select(*on).distinct()
-    known = incoming.join(seen.select(*on).distinct(), on, "left_semi")
+    on, mark = list(on), "_fingerprint"
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(mark, F.struct(*on))  # as one value, in which nulls are equal
+
+    incoming = marked(df.select(*on)).select(mark).distinct()
+    known = incoming.join(marked(seen.select(*on)).select(mark).distinct(), mark, "left_semi")
     if within(known):
-        return df.join(F.broadcast(known), on, "left_anti")
+        return marked(df).join(F.broadcast(known), mark, "left_anti").drop(mark)
     salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(_SALTS)).cast("int"))
-    return spread.join(salted, [*on, "_salt"], "left_anti").drop("_salt")
+    spread = marked(df).withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(_SALTS)).cast("int"))
+    return spread.join(salted, [mark, "_salt"], "left_anti").drop("_salt", mark)

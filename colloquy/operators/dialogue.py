@@ -94,7 +94,7 @@ def replay_states(
 
     A long conversation is replayed run by run: a run is a function from state to
     state, the functions are chained per key, then every run is replayed from its
-    known start.
+    known start. Rows without a time are left out.
     """
     named = F.col(event)
     if mapping is not None:
@@ -105,7 +105,7 @@ def replay_states(
         *[F.when(F.col("_event") == e, F.lit(i)) for i, e in enumerate(EVENTS)], F.lit(len(EVENTS))
     )
     kept = [c for c in events.columns if c not in (key, event)]
-    coded = events.withColumn("_at", micros(events, ts)).withColumn("_event", named).withColumn("_code", code)
+    coded = events.withColumn("_at", micros(events, ts)).where("_at IS NOT NULL").withColumn("_event", named).withColumn("_code", code)
     rows = arrange(coded, key, ["_at", *tie], run_rows)
     item = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(rows.order)], "_code")
     whole = F.struct(*kept, F.col("_event").alias("event"))
@@ -133,10 +133,10 @@ def stage_durations(
     run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Add the seconds until the next row of a key and whether they exceed the
-    state's limit; the last row has no duration."""
+    state's limit; the last row has no duration. Rows without a time are left out."""
     limits = STAGE_LIMITS if limits is None else limits
     tie = [tie] if isinstance(tie, str) else list(tie)
-    rows = arrange(state_log.withColumn("_at", micros(state_log, ts)), key, ["_at", *tie], run_rows)
+    rows = arrange(state_log.withColumn("_at", micros(state_log, ts)).where("_at IS NOT NULL"), key, ["_at", *tie], run_rows)
     timed = rows.lead("_at", "_next").result()
     table = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
     seconds = (F.col("_next") - F.col("_at")) / 1_000_000

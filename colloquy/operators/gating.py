@@ -163,7 +163,7 @@ def debounce(
 ) -> DataFrame:
     """Rows with ``score >= threshold`` at least ``gap`` seconds after the last emitted.
 
-    One timer runs per ``key``, whatever model the score comes from.
+    One timer runs per ``key``, whatever model the score comes from. Rows without a time are left out.
     """
     over = df.where(F.col(score) >= threshold).withColumn("_at", micros(df, ts))
     return gate(over, key, gap, tie, run_rows)
@@ -173,14 +173,14 @@ def gate_triggers(df: DataFrame, key, ts: str, busy_for, tie=(), run_rows: int =
     """Triggers accepted while nothing is running.
 
     ``busy_for`` is a number of seconds or a column with the seconds each
-    accepted trigger keeps its key busy.
+    accepted trigger keeps its key busy, for good where it is null. Rows without a time are left out.
     """
     return gate(df.withColumn("_at", micros(df, ts)), key, busy_for, tie, run_rows)
 
 
 def gate(df: DataFrame, key, seconds, tie, run_rows: int) -> DataFrame:
     length = F.col(seconds) if isinstance(seconds, str) else F.lit(float(seconds))
-    busy = df.withColumn("_until", F.col("_at") + F.round(length * 1_000_000).cast("bigint"))
+    busy = df.where("_at IS NOT NULL").withColumn("_until", F.col("_at") + F.round(length * 1_000_000).cast("bigint"))
     tie = [tie] if isinstance(tie, str) else list(tie)
     rows = arrange(busy, key, ["_at", *tie], run_rows)
     return accept(rows, "_until").result().drop("_at", "_until")

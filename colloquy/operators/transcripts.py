@@ -10,12 +10,7 @@ from pyspark.sql import types as T
 
 from colloquy.functions.text import clean_text, lstrip_set
 
-# Default wake phrases, and the score from which a phrase counts as
-# found.
-WAKE_PHRASES = [
-    "Hello Robot", "Hello Computer", "Hey Robot", "Hey Computer", "Good morning Robot", "Good morning Computer",
-    "Good afternoon Robot", "Good afternoon Computer", "Good evening Robot", "Good evening Computer",
-]
+# Fixed value: the score from which a phrase counts as found.
 SCORE_CUTOFF = 75
 
 
@@ -193,12 +188,12 @@ def partial_ratio(df: DataFrame, text: str, keyword: str) -> DataFrame:
 
 
 def best_keyword(
-    df: DataFrame, text: str = "text", keywords=None, cutoff: float = SCORE_CUTOFF, fold_keywords: bool = True
+    df: DataFrame, text: str, keywords, cutoff: float = SCORE_CUTOFF, fold_keywords: bool = True
 ) -> DataFrame:
     """Add ``keyword``, ``score`` and ``end`` of the best phrase; null if none
     reaches the cutoff. ``fold_keywords=False`` leaves the phrases' capitals, which
     then cost score against a lower-cased text."""
-    keywords = list(keywords or WAKE_PHRASES)
+    keywords = list(keywords)
     folded = [k.lower() for k in keywords] if fold_keywords else keywords
     found = df.withColumn("_m", _matcher(folded, cutoff)(F.col(text)))
     names = F.array(*[F.lit(k) for k in keywords])
@@ -211,7 +206,7 @@ def best_keyword(
 
 
 def strip_wakeword(
-    df: DataFrame, text: str = "text", keywords=None, cutoff: float = SCORE_CUTOFF, fold_keywords: bool = True
+    df: DataFrame, text: str, keywords, cutoff: float = SCORE_CUTOFF, fold_keywords: bool = True
 ) -> DataFrame:
     """Add ``matched`` and ``rest``: what follows the phrase, or the whole cleaned text."""
     cleaned = df.withColumn("_clean", clean_text(text))

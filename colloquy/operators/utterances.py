@@ -30,19 +30,23 @@ def _next_after(probes: DataFrame, marks: DataFrame, key: list, probe: str, out:
 
 def trigger_captures(
     audio: DataFrame, triggers: DataFrame, speech_ends: DataFrame, key, ts: str = "ts",
-    timeout: float = CAPTURE_TIMEOUT, run_rows: int = RUN_ROWS,
+    timeout: float = CAPTURE_TIMEOUT, run_rows: int = RUN_ROWS, timer: bool = False, until: int | None = None,
 ) -> DataFrame:
     """Captures of accepted triggers: (key, utt_no, start_us, end_us, ended_by).
 
     The end is the first chunk at which speech ends or ``timeout`` seconds have
-    passed; ``speech_ends`` holds the moments of the chunks in which speech ended. A trigger during a capture, its last chunk included, is ignored. A
-    capture whose end has not come yet is not returned.
+    passed; ``speech_ends`` holds the moments of the chunks in which speech ended. A trigger during a capture, its last
+    chunk included, is ignored. A capture whose end has not come yet is not returned. Rows without a time are left out.
+
+    With ``timer`` time runs out by itself: a capture without a chunk from its trigger to the end of its time ends at
+    that moment, without the chunk that comes later. ``until`` is the moment up to which time has passed (microseconds);
+    a capture that is still due then is not returned.
     """
     key = [key] if isinstance(key, str) else list(key)
-    probes = triggers.select(*key, micros(triggers, ts).alias("start_us"))
+    probes = triggers.select(*key, micros(triggers, ts).alias("start_us")).where("start_us IS NOT NULL")
     probes = probes.withColumn("_due", F.col("start_us") + int(timeout * 1_000_000))
-    ends = speech_ends.select(*key, micros(speech_ends, ts).alias("_mark"))
-    chunks = audio.select(*key, micros(audio, ts).alias("_mark"))
+    ends = speech_ends.select(*key, micros(speech_ends, ts).alias("_mark")).where("_mark IS NOT NULL")
+    chunks = audio.select(*key, micros(audio, ts).alias("_mark")).where("_mark IS NOT NULL")
     bound = longest_key(probes.select(*key).unionByName(ends.select(*key)).unionByName(chunks.select(*key)), key)
     timed = _next_after(probes, ends, key, "start_us", "_end", run_rows, bound)
     if timeout > 0:

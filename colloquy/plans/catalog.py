@@ -23,7 +23,8 @@ from colloquy.operators import (
 )
 from colloquy.plans import ingestion
 from colloquy.plans.answering import rag_prompts
-from colloquy.runtime import materialize, shared_dir, spread
+from colloquy.runtime import materialize, shared_dir, small_side, spread
+from colloquy.sources import versions
 from colloquy.sources.files import drop_comments, scan_documents
 from colloquy.sources.store import dump_chunks, insert_new, open_chunks, write_chunks
 from colloquy.streaming import signals as streams
@@ -39,6 +40,7 @@ LSH = {"tables": 16, "bits": 4, "seed": 7}
 SPLITS = {0: {"train": 100, "validation": 20}, 1: {"train": 150, "validation": 30}}
 MIX = {0: 10, 1: 25}
 PHRASES = {"targets": ["the", "der", "la"], "negatives": ["of", "und", "le"]}
+WAKE_PHRASES = ["Hello Robot", "Good morning Computer", "Are you there"]
 SPEECH = {"t": 0.5, "margin": 0.15, "min_silence": 1024, "pad": 512, "frame": 512}
 
 
@@ -235,6 +237,27 @@ def update_collection(spark, sf):
     return open_chunks(spark, path).select("chunk_id", "doc_id", "pos", "n_tokens", "content_hash")
 
 
+@query
+def versioned_collection(spark, sf):
+    """Two states of a source: rows of remainder 1 are rewritten, 2 removed, 3 touched with the same text, 0 new in the second."""
+    path = f"{shared_dir(spark).rstrip('/')}/colloquy/{uuid.uuid4().hex}"
+    every = table(spark, sf, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(7)).alias("kind"))
+
+    def state(second: bool) -> DataFrame:
+        text = F.when((F.col("kind") == 1) & F.lit(second), F.concat("text", F.lit(" It was revised."))).otherwise(F.col("text"))
+        seen = F.when(F.col("kind").isin(1, 3) & F.lit(second), 2).otherwise(1)
+        rows = every.where(F.col("kind") != (2 if second else 0))
+        return rows.select(F.col("doc_id").cast("string").alias("path"), F.timestamp_seconds(seen).alias("modified"), F.length(text).cast("bigint").alias("size"), text.alias("text"))
+
+    for second in (False, True):
+        rows = state(second)
+        versions.synchronize(spark, rows, lambda paths, rows=rows: rows.join(small_side(paths), "path", "left_semi").select("path", "text"), path, **SETTINGS)
+    first = versions.snapshot(spark, path, 1).groupBy("path").agg(F.count("*").alias("before"))
+    homes = versions.entries(spark, path).select("path", "version")
+    now = versions.snapshot(spark, path).join(homes, "path").join(first, "path", "left")
+    return now.select(F.col("path").cast("bigint").alias("doc_id"), F.col("pos"), "n_tokens", "content_hash", "version", "before")
+
+
 @query
 def own_embedder(spark, sf):
     @F.pandas_udf("array<float>")
@@ -363,7 +386,7 @@ def partial_ratio(spark, sf):
 @query
 def best_keyword(spark, sf):
     said = _said(spark, sf).withColumn("text", F.lower("text"))
-    best = transcripts.best_keyword(said, cutoff=55)
+    best = transcripts.best_keyword(said, "text", WAKE_PHRASES, 55)
     return best.select(
         "conv_id", "turn", "keyword", F.round("score", 6).alias("score"), F.col("end").cast("bigint").alias("end")
     )
@@ -371,7 +394,7 @@ def best_keyword(spark, sf):
 
 @query
 def strip_wakeword(spark, sf):
-    return transcripts.strip_wakeword(_greeted(spark, sf)).select("conv_id", "turn", "matched", "rest")
+    return transcripts.strip_wakeword(_greeted(spark, sf), "text", WAKE_PHRASES).select("conv_id", "turn", "matched", "rest")
 
 
 @query

@@ -12,6 +12,7 @@ from colloquy.operators.chunking import (
 )
 from colloquy.operators.documents import append_tables, scalar_metadata
 from colloquy.operators.embedding import DIM, embed
+from colloquy.runtime import materialize, small_side
 from colloquy.sources.store import CHUNKS, open_chunks
 
 
@@ -33,23 +34,48 @@ def build_chunks(
     docs: DataFrame, seen: DataFrame | None = None, embedder=None, chunk_size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP, buffer_size: int = BUFFER_SIZE, pct: float = BREAK_PERCENTILE, dim: int = DIM,
 ) -> DataFrame:
-    """Chunks of prepared documents that their document does not have in ``seen``, with embeddings."""
-    cut = chunk_documents(docs, "doc_id", "text", chunk_size, overlap, buffer_size, pct, dim)
+    """Chunks of prepared documents that their document does not have in ``seen``, with embeddings.
+
+    Rows of one id and text are one document (the smallest metadata as text is taken); rows of one id with different
+    texts each give their chunks. Documents without an id are told apart by their text.
+    """
+    docs = _single(docs)
+    cut = chunk_documents(docs, "doc_id", "text", chunk_size, overlap, buffer_size, pct, dim, ("metadata", "doc_key"))
     settings = {
         "chunk_size": chunk_size, "overlap": overlap, "buffer_size": buffer_size, "pct": pct, "dim": dim,
         "embedder": getattr(embedder, "__name__", "hashed"),
     }
     named = chunk_fingerprint(cut, settings).withColumn(
-        "chunk_id", F.concat_ws("-", "doc_id", "chunk_no", "part", F.substring("content_hash", 1, 12))
+        "chunk_id", F.concat_ws("-", "doc_key", "chunk_no", "part", F.substring("content_hash", 1, 12))
     )
     if seen is not None:
+        named = materialize(named)  # the split runs once, although known fingerprints are looked for first
         named = new_chunks(named, seen, on=("doc_id", "content_hash"))
-    meta = docs.select("doc_id", "metadata")
-    return embed(named.join(meta, "doc_id"), "text", embedder, dim).select(
+    return embed(named, "text", embedder, dim).select(
         "chunk_id", "doc_id", F.col("chunk_no").alias("pos"), "text", "n_tokens", "content_hash", "embedding", "metadata"
     )
 
 
+def _single(docs: DataFrame) -> DataFrame:
+    """Each (id, text) once, with the key that chunks are named by; texts move only if some are repeated.
+
+    The key is the id. A text without an id, or with one that other texts have as well, adds its hash.
+    """
+    told = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    repeated = told.groupBy("doc_id", "h").count().where("count > 1")
+    if not repeated.isEmpty():
+        docs = docs.groupBy("doc_id", "text").agg(
+            F.min_by("metadata", F.coalesce(F.to_json("metadata"), F.lit(""))).alias("metadata"))
+    named = F.col("doc_id").cast("string")
+    hashed = F.hex(F.xxhash64("text"))
+    shared = told.distinct().where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_shared"))
+    if shared.isEmpty():
+        return docs.withColumn("doc_key", F.coalesce(named, hashed))
+    both = docs.join(small_side(shared), "doc_id", "left")
+    key = F.when(F.col("doc_id").isNull(), hashed).when(F.col("_shared"), F.concat_ws("-", named, hashed)).otherwise(named)
+    return both.withColumn("doc_key", key).drop("_shared")
+
+
 def update_collection(spark: SparkSession, docs: DataFrame, path: str, wipe: bool = False, **settings) -> tuple[int, int]:
     """Chunk and store ``docs``; returns documents read and chunks created.
 

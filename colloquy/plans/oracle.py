@@ -12,10 +12,7 @@ from colloquy.plans import catalog
 SIZE, SHARED = catalog.SETTINGS["chunk_size"], catalog.SETTINGS["overlap"]
 MARK = "|".join(f"{k}={v}" for k, v in sorted(catalog.SETTINGS.items()))
 DAY_US = 86_400_000_000
-WAKE_PHRASES = [
-    "Hello Robot", "Hello Computer", "Hey Robot", "Hey Computer", "Good morning Robot", "Good morning Computer",
-    "Good afternoon Robot", "Good afternoon Computer", "Good evening Robot", "Good evening Computer",
-]
+WAKE_PHRASES = catalog.WAKE_PHRASES
 WORD = r"\s*\S+(?:\s+$)?"
 LETTERS = r"\p{L}+"
 BUCKET = "((('0x' || substr(md5(w), 1, 8))::BIGINT) % {dim})::INTEGER"
@@ -474,3 +471,18 @@ SELECT min(value) AS threshold, max(cum)::BIGINT AS false_positives FROM c WHERE
 }
 
 ORACLE["update_collection"] = ORACLE["build_chunks"]
+
+
+def _chunked(source: str) -> str:
+    """Chunks with their hashes, of another source than the table."""
+    made = DISTANCES + packing("numbered", "doc_id, chunk_no") + f""",
+h AS (SELECT *, sha256('{BUILT_MARK}|' || text) AS content_hash FROM spans)"""
+    return "WITH RECURSIVE " + made.replace("FROM documents)", f"FROM ({source}))")
+
+
+ORACLE["versioned_collection"] = f"""
+WITH b AS ({_chunked("SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0")} SELECT doc_id, count(*) AS before FROM h GROUP BY doc_id),
+n AS ({_chunked("SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN text || ' It was revised.' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 2")}
+  SELECT doc_id, chunk_no AS pos, n_tokens, content_hash FROM h)
+SELECT doc_id, pos, n_tokens, content_hash, CASE WHEN doc_id % 7 IN (0, 1, 3) THEN 2 ELSE 1 END::BIGINT AS version, before
+FROM n LEFT JOIN b USING (doc_id)"""

@@ -30,7 +30,7 @@ def _next_after(probes: DataFrame, marks: DataFrame, key: list, probe: str, out:
 
 def trigger_captures(
     audio: DataFrame, triggers: DataFrame, speech_ends: DataFrame, key, ts: str = "ts",
-    timeout: float = CAPTURE_TIMEOUT, run_rows: int = RUN_ROWS, timer: bool = False, until: int | None = None,
+    timeout: float = CAPTURE_TIMEOUT, run_rows: int = RUN_ROWS, timer: bool = False,
 ) -> DataFrame:
     """Captures of accepted triggers: (key, utt_no, start_us, end_us, ended_by).
 
@@ -38,9 +38,8 @@ def trigger_captures(
     passed; ``speech_ends`` holds the moments of the chunks in which speech ended. A trigger during a capture, its last
     chunk included, is ignored. A capture whose end has not come yet is not returned. Rows without a time are left out.
 
-    With ``timer`` time runs out by itself: a capture without a chunk from its trigger to the end of its time ends at
-    that moment, without the chunk that comes later. ``until`` is the moment up to which time has passed (microseconds);
-    a capture that is still due then is not returned.
+    With ``timer`` time runs out by itself: a capture in which speech has not ended by then ends at its trigger plus
+    ``timeout``, be there a later chunk or not.
     """
     key = [key] if isinstance(key, str) else list(key)
     probes = triggers.select(*key, micros(triggers, ts).alias("start_us")).where("start_us IS NOT NULL")
@@ -49,7 +48,9 @@ def trigger_captures(
     chunks = audio.select(*key, micros(audio, ts).alias("_mark")).where("_mark IS NOT NULL")
     bound = longest_key(probes.select(*key).unionByName(ends.select(*key)).unionByName(chunks.select(*key)), key)
     timed = _next_after(probes, ends, key, "start_us", "_end", run_rows, bound)
-    if timeout > 0:
+    if timer and timeout > 0:
+        timed = timed.withColumn("_late", F.col("_due"))
+    elif timeout > 0:
         timed = _next_after(timed, chunks, key, "_due", "_late", run_rows, bound)
     else:
         timed = timed.withColumn("_late", F.lit(None).cast("bigint"))
@@ -77,7 +78,7 @@ def speech_captures(segments: DataFrame, key, start: str, end: str, run_rows: in
 def capture_chunks(audio: DataFrame, captures: DataFrame, key, ts: str = "ts", run_rows: int = RUN_ROWS) -> DataFrame:
     """Each chunk with the capture it belongs to, the chunk in front included.
 
-    A chunk that ends one capture can also be the one in front of the next.
+    A chunk that ends one capture can also be the one in front of the next, or of several if no chunk lies between.
     """
     key = [key] if isinstance(key, str) else list(key)
     heads = captures.select(
@@ -85,14 +86,14 @@ def capture_chunks(audio: DataFrame, captures: DataFrame, key, ts: str = "ts", r
         F.struct("utt_no", "start_us", "end_us", "ended_by").alias("_head"),
     )
     chunks = audio.select(*key, micros(audio, ts).alias("_at"), F.lit(1).alias("_kind"), F.struct(*audio.columns).alias("_row"))
-    # every capture holds a chunk of its own, so chunks bound the captures
-    bound = 2 * longest_key(audio, key)
+    bound = longest_key(audio.select(*key).unionByName(captures.select(*key)), key)
     rows = arrange(heads.unionByName(chunks, allowMissingColumns=True), key, ["_at", "_kind"], run_rows, bound)
-    rows = rows.last_value("_head", "_inside").lead("_head", "_front")
-    running = F.when(F.col("_at") <= F.col("_inside.end_us"), F.col("_inside"))
-    member = F.filter(F.array(running, F.col("_front")), lambda c: c.isNotNull())
-    kept = rows.result().where("_kind = 1").select("_at", "_row", F.explode(member).alias("_c"))
-    return kept.select("_row.*", "_c.*", "_at")
+    chunk = F.when(F.col("_kind") == 1, F.struct("_at", "_row"))
+    rows = rows.last_value("_head", "_inside").last_value(chunk, "_before").result()
+    inside = F.when(F.col("_at") <= F.col("_inside.end_us"), F.struct(F.col("_inside").alias("c"), chunk.alias("b")))
+    front = F.when(F.col("_before").isNotNull(), F.struct(F.col("_head").alias("c"), F.col("_before").alias("b")))
+    kept = rows.select(F.when(F.col("_kind") == 1, inside).otherwise(front).alias("_m")).where("_m IS NOT NULL")
+    return kept.select("_m.b._row.*", "_m.c.*", "_m.b._at")
 
 
 def assemble_utterances(

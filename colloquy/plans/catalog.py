@@ -34,6 +34,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
 
 DAY = 86400.0
+DAY_MS = 86_400_000
+QUIET = 30_000.0  # seconds
 SETTINGS = {"chunk_size": chunking.DEPLOYED_CHUNK_SIZE, "overlap": chunking.DEPLOYED_CHUNK_OVERLAP}
 EVENT_ROLES = {"click": "trigger", "view": "transcript", "purchase": "answer", "signup": "done", "error": "failure"}
 LSH = {"tables": 16, "bits": 4, "seed": 7}
@@ -544,6 +546,15 @@ def assemble_utterances(spark, sf):
     return out.select("user_id", "utt_no", "ended_by", flat("samples", 100).alias("samples"))
 
 
+@query
+def assemble_on_timer(spark, sf):
+    """Captures that end by themselves after their time, shorter than most pauses between chunks."""
+    audio, triggers, ends = _capture_inputs(table(spark, sf, "events"))
+    captures = utterances.trigger_captures(audio, triggers, ends, "user_id", timeout=QUIET, timer=True)
+    out = utterances.assemble_utterances(audio, captures, "user_id", rate=4, chunk=2)
+    return out.select("user_id", "utt_no", "ended_by", flat("samples", 100).alias("samples"))
+
+
 @query
 def while_enabled(spark, sf):
     ev = table(spark, sf, "events")
@@ -601,13 +612,12 @@ def _run(spark, stream: DataFrame) -> DataFrame:
 
 
 def _stream_of(spark, df: DataFrame, ts: str) -> DataFrame:
-    """The whole table as a stream of files in the order of time, an end marker last, one file to a micro-batch."""
+    """The whole table as a stream: all its files in one micro-batch, an end marker in the next."""
     path = f"{shared_dir(spark).rstrip('/')}/colloquy/{uuid.uuid4().hex}"
-    middle = F.timestamp_micros(df.select(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), 0.5).alias("m")).first()["m"] * F.lit(1))
-    early = F.coalesce(F.col(ts).cast("timestamp") <= middle, F.lit(True))
-    for part in (df.where(early), df.where(~early), end_marker(spark, df.schema, ts)):
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    spread(df).write.parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    end_marker(spark, df.schema, ts).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files)).parquet(path)
 
 
 def _event_stream(spark, sf):
@@ -617,7 +627,7 @@ def _event_stream(spark, sf):
 @query
 def debounce_stream(spark, sf):
     scores = _event_stream(spark, sf).select("user_id", "event_id", "ts", "value")
-    out = streams.debounce_stream(scores, "user_id", "ts", "value", 20.0, DAY, "0 seconds", ["event_id"])
+    out = streams.debounce_stream(scores, "user_id", "ts", "value", 20.0, DAY, "0 seconds", ["event_id"], DAY_MS)
     kept = _run(spark, out)
     return kept.select("user_id", "event_id", micros(kept, "ts").alias("ts_us"))
 
@@ -626,7 +636,7 @@ def debounce_stream(spark, sf):
 def replay_stream(spark, sf):
     out = streams.replay_stream(
         _event_stream(spark, sf).drop("value"), "user_id", "ts", "event_type", EVENT_ROLES,
-        delay="0 seconds", tie=["event_id"],
+        delay="0 seconds", tie=["event_id"], bucket_ms=DAY_MS,
     )
     return _run(spark, out).select("user_id", "event_id", "event", "state")
 
@@ -638,7 +648,7 @@ def gate_stream(spark, sf):
     clicks = timed.where(F.when(F.col("ts").isNotNull(), F.col("event_type")) == "click").select(
         "user_id", "event_id", "ts", "busy"
     )
-    kept = _run(spark, streams.gate_stream(clicks, "user_id", "ts", "busy", None, ["event_id"]))
+    kept = _run(spark, streams.gate_stream(clicks, "user_id", "ts", "busy", None, ["event_id"], DAY_MS))
     return kept.select("user_id", "event_id", micros(kept, "ts").alias("ts_us"))
 
 
@@ -647,7 +657,7 @@ def hysteresis_stream(spark, sf):
     frames = _event_stream(spark, sf).select(
         "user_id", "event_id", "ts", F.least(F.lit(1.0), F.col("value") / 100).alias("prob")
     )
-    out = streams.hysteresis_stream(frames, "user_id", "ts", "prob", delay="0 seconds", tie=["event_id"], **SPEECH)
+    out = streams.hysteresis_stream(frames, "user_id", "ts", "prob", delay="0 seconds", tie=["event_id"], bucket_ms=DAY_MS, **SPEECH)
     return _run(spark, out)
 
 
@@ -655,7 +665,7 @@ def hysteresis_stream(spark, sf):
 def reframe_stream(spark, sf):
     vectors = table(spark, sf, "embeddings").select("label", F.timestamp_seconds(F.col("vec_id") + 1).alias("ts"), "embedding")
     timed = _stream_of(spark, vectors, "ts")
-    frames = _run(spark, streams.reframe_stream(timed, "label", "ts", "embedding", 24, "0 seconds"))
+    frames = _run(spark, streams.reframe_stream(timed, "label", "ts", "embedding", 24, "0 seconds", bucket_ms=60_000))
     return frames.select("label", "frame_no", flat("embedding").alias("samples"))
 
 
@@ -666,7 +676,7 @@ def while_enabled_stream(spark, sf):
         "user_id", "ts", (F.col("event_type") == "signup").alias("enabled")
     )
     rows = ev.where("event_type IS NULL OR event_type NOT IN ('signup', 'error')").select("user_id", "event_id", "ts")
-    return _run(spark, streams.while_enabled_stream(rows, turns, "user_id", "ts", delay="0 seconds")).select(
+    return _run(spark, streams.while_enabled_stream(rows, turns, "user_id", "ts", delay="0 seconds", bucket_ms=DAY_MS)).select(
         "user_id", "event_id"
     )
 
@@ -675,11 +685,42 @@ def while_enabled_stream(spark, sf):
 def utterance_stream(spark, sf):
     audio, triggers, ends = _capture_inputs(_event_stream(spark, sf))
     out = streams.utterance_stream(
-        audio, triggers, ends, "user_id", timeout=2 * DAY, rate=4, chunk=2, delay="0 seconds"
+        audio, triggers, ends, "user_id", timeout=2 * DAY, rate=4, chunk=2, delay="0 seconds", bucket_ms=DAY_MS
+    )
+    return _run(spark, out).select("user_id", "utt_no", "ended_by", flat("samples", 100).alias("samples"))
+
+
+@query
+def utterance_timer_stream(spark, sf):
+    """Time runs out by itself: no chunk is needed to end a capture."""
+    audio, triggers, ends = _capture_inputs(_event_stream(spark, sf))
+    out = streams.utterance_stream(
+        audio, triggers, ends, "user_id", timeout=QUIET, rate=4, chunk=2, delay="0 seconds", timer=True, bucket_ms=DAY_MS
     )
     return _run(spark, out).select("user_id", "utt_no", "ended_by", flat("samples", 100).alias("samples"))
 
 
+@query
+def speech_utterance_stream(spark, sf):
+    """Every event is a chunk of its value and a frame of the detector."""
+    ev = _event_stream(spark, sf).select(
+        "user_id", "event_id", "ts", F.least(F.lit(1.0), F.col("value") / 100).alias("prob"), F.array(F.col("value").cast("float")).alias("samples")
+    )
+    out = streams.speech_utterance_stream(
+        ev, "user_id", "ts", "prob", rate=4, chunk=2, delay="0 seconds", tie=["event_id"], bucket_ms=DAY_MS, **SPEECH
+    )
+    return _run(spark, out).select("user_id", "utt_no", flat("samples", 100).alias("samples"))
+
+
+@query
+def stage_stream(spark, sf):
+    ev = _event_stream(spark, sf).select("user_id", "event_id", "ts", F.upper("event_type").alias("state"))
+    out = streams.stage_stream(
+        ev, "user_id", "ts", "state", {"CLICK": 3600.0, "VIEW": 30000.0}, "0 seconds", ["event_id"], DAY_MS
+    )
+    return _run(spark, out).select("user_id", "event_id", "state", F.round("seconds", 6).alias("seconds"), "timed_out", "open")
+
+
 # ---- labelled rows
 
 @query

@@ -198,13 +198,16 @@ r AS (
 SELECT user_id, seg::BIGINT AS segment, max(start)::BIGINT AS start_pos, max(done)::BIGINT AS end_pos FROM r WHERE seg > 0 GROUP BY user_id, seg {closed}"""
 
 
-def captured(where: str = "") -> str:
+def captured(where: str = "", timer_us: int | None = None) -> str:
+    late = f"(SELECT min(a.t) FROM aud a WHERE a.user_id = trg.user_id AND a.t >= trg.t + {2 * DAY_US})"
+    if timer_us is not None:
+        late = f"t + {timer_us}"
     return f"""
 WITH RECURSIVE trg AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click' {where}),
 aud AS (SELECT user_id, epoch_us(ts) AS t, round(value::FLOAT::DOUBLE * 100)::BIGINT AS x, event_type = 'purchase' AS stops
   FROM events WHERE event_type IN ('view', 'purchase') {where}),
 bnd AS (SELECT user_id, t, (SELECT min(a.t) FROM aud a WHERE a.user_id = trg.user_id AND a.t >= trg.t AND a.stops) AS se,
-  (SELECT min(a.t) FROM aud a WHERE a.user_id = trg.user_id AND a.t >= trg.t + {2 * DAY_US}) AS late FROM trg),
+  {late} AS late FROM trg),
 cap AS (SELECT user_id, t, CASE WHEN se IS NULL THEN late WHEN late IS NULL THEN se ELSE least(se, late) END AS stop,
   CASE WHEN se IS NOT NULL AND (late IS NULL OR se <= late) THEN 'speech_end' ELSE 'timeout' END AS ended_by FROM bnd),
 r AS (SELECT user_id, min(t) AS t, 1 AS no FROM cap GROUP BY user_id
@@ -473,6 +476,24 @@ SELECT min(value) AS threshold, max(cum)::BIGINT AS false_positives FROM c WHERE
 ORACLE["update_collection"] = ORACLE["build_chunks"]
 
 
+ORACLE["assemble_on_timer"] = ORACLE["utterance_timer_stream"] = captured(timer_us=round(catalog.QUIET * 1_000_000))
+# chunk i of a user ends at position i * frame; a capture has the chunks between its bounds and the one in front
+ORACLE["speech_utterance_stream"] = f"""
+WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * {catalog.SPEECH['frame']} AS p,
+  round(value::FLOAT::DOUBLE * 100)::BIGINT AS x FROM events),
+s AS (SELECT user_id, start_pos, end_pos, row_number() OVER (PARTITION BY user_id ORDER BY start_pos) AS utt_no
+  FROM ({segments()}) WHERE end_pos IS NOT NULL),
+m AS (SELECT s.user_id, utt_no, p, x FROM s JOIN c ON c.user_id = s.user_id AND p <= end_pos
+  AND p >= coalesce((SELECT max(f.p) FROM c f WHERE f.user_id = s.user_id AND f.p < start_pos), start_pos)),
+u AS (SELECT user_id, utt_no, count(*) AS n, string_agg(x::VARCHAR, ',' ORDER BY p) AS v FROM m GROUP BY ALL)
+SELECT user_id, utt_no, CASE WHEN n < 4 THEN v || repeat(',0', (6 - n)::INTEGER) ELSE v END AS samples FROM u"""
+ORACLE["stage_stream"] = f"""
+WITH e AS ({ORACLE["stage_durations"]})
+SELECT *, false AS open FROM e
+UNION ALL SELECT user_id, event_id, state, CASE state WHEN 'CLICK' THEN 3600.0 ELSE 30000.0 END::DOUBLE, true, true FROM e
+WHERE timed_out OR (seconds IS NULL AND state IN ('CLICK', 'VIEW'))"""
+
+
 def _chunked(source: str) -> str:
     """Chunks with their hashes, of another source than the table."""
     made = DISTANCES + packing("numbered", "doc_id, chunk_no") + f""",

@@ -1,18 +1,21 @@
 """Keyed state over event time, for operators whose rows depend on earlier ones.
 
-Rows of a key may reach a task in any order, also within a micro-batch. They wait
-in list state until the watermark has passed them and are then taken in order, so
-the stream gives what the batch form gives. Rows behind the watermark are dropped
-and counted by Spark (``numRowsDroppedByWatermark``).
-
-An operator is a ``step(state, rows)`` function: a tuple of state values (or None at
-first) and the ordered rows of one key as dictionaries; it returns the new state
-and the rows to emit. In rows, event time is a whole number of microseconds under
-``AT``, so neither the session's zone nor a clock change can move it.
+Rows of a key may reach a task in any order, also within a micro-batch. They wait in buckets of event time: a map state
+holds each bucket's rows in pieces, and one timer for each bucket takes them out once the watermark has passed its end,
+in order. A row is written once and read once however long it waits and however many rows its key has. So the stream
+gives what the batch form gives. Rows behind the watermark are dropped and counted by Spark
+(``numRowsDroppedByWatermark``).
+
+An operator is a ``step(state, rows)`` function: a tuple of state values (or None at first) and the ordered rows of one
+key as dictionaries; it returns the new state and the rows to emit. In rows, event time is a whole number of
+microseconds under ``AT``, so neither the session's zone nor a clock change can move it. An operator may also have a
+moment at which something happens by itself: ``due(state)`` names it, ``expire(state, moment)`` is called when all rows
+up to it have been taken, be there later rows or not.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row
@@ -33,58 +36,89 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+BUCKET_MS = 10_000  # event time that is taken out at once
+PIECE_ROWS = 1_000  # rows in one value of the state
+
+
 class OrderedSteps(StatefulProcessor):
-    def __init__(self, rows: T.StructType, key: list, state: T.StructType, out: T.StructType, step: Callable, tie: list, close: Callable | None):
+    def __init__(self, rows: T.StructType, key: list, state: T.StructType, out: T.StructType, step: Callable, tie: list,
+                 close: Callable | None, due: Callable | None, expire: Callable | None, bucket_ms: int):
         self.rows, self.key, self.state_type, self.out = rows, key, state, out
-        self.step, self.tie, self.close_step = step, tie, close
+        self.step, self.tie, self.close_step, self.due, self.expire, self.bucket_ms = step, tie, close, due, expire, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
+        # the rows of a piece travel as one value
+        self.pieces = handle.getMapState("pieces", "bucket bigint, piece int", "rows binary")
+        self.counts = handle.getMapState("counts", "bucket bigint", "pieces int")
         self.state = handle.getValueState("state", self.state_type)
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh = [tuple(r[n] for n in self.rows.names) for r in rows]
-        # Spark has dropped what is behind the watermark, so none of these is due yet
-        self.waiting.appendList(fresh)
-        at = self.rows.names.index(AT)
-        self.handle.registerTimer(min(r[at] // 1000 for r in fresh) + 1)
-        if self.close_step:
+        at, waiting = self.rows.names.index(AT), {}
+        for r in rows:
+            row = tuple(r[n] for n in self.rows.names)
+            waiting.setdefault(row[at] // 1000 // self.bucket_ms, []).append(row)
+        # Spark has dropped what is behind the watermark, so none of these buckets has been taken yet
+        for bucket, fresh in waiting.items():
+            known = self.counts.getValue((bucket,)) if self.counts.containsKey((bucket,)) else None
+            n = known[0] if known else 0
+            for i in range(0, len(fresh), PIECE_ROWS):
+                self.pieces.updateValue((bucket, n), (pickle.dumps(fresh[i:i + PIECE_ROWS]),))
+                n += 1
+            self.counts.updateValue((bucket,), (n,))
+            if not known:
+                self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+        if self.close_step or self.due:
             self.handle.registerTimer(END_MS)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        watermark = timerValues.getCurrentWatermarkInMs()
-        emitted = self._drain(watermark)
-        if self.close_step and expiredTimerInfo.getExpiryTimeInMs() >= END_MS:
-            state = self.state.get()
-            emitted = emitted + (self.close_step(tuple(state)) if state is not None else [])
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        before = self.state.get()
+        state = tuple(before) if before is not None else None
+        state, emitted = self._advance(state, self._taken(until // self.bucket_ms - 1) if until < END_MS else [], until * 1000)
+        if state is not None:
+            self.state.update(state)
+        if self.close_step and until >= END_MS and state is not None:
+            emitted = emitted + list(self.close_step(state))
         held = dict(zip(self.key, key))
         row = Row(*self.out.names)
         return iter([row(*[held[c] if c in held else r[c] for c in self.out.names]) for r in emitted])
 
-    def _drain(self, watermark) -> list:
-        at = self.rows.names.index(AT)
-        held = [tuple(r) for r in self.waiting.get()]
-        ready = [r for r in held if r[at] // 1000 < watermark]
-        early = [r for r in held if r[at] // 1000 >= watermark]
-        if early:  # wake up as soon as the watermark has passed the first of them
-            self.handle.registerTimer(min(r[at] // 1000 for r in early) + 1)
-        if not ready:
-            return []
-        if early:
-            self.waiting.put(early)
-        else:
-            self.waiting.clear()
-        order = [at] + [self.rows.names.index(t) for t in self.tie]
-        ready.sort(key=lambda r: tuple(r[i] for i in order))
-        before = self.state.get()
-        state, emitted = self.step(
-            tuple(before) if before is not None else None, [dict(zip(self.rows.names, r)) for r in ready]
-        )
-        if state is not None:
-            self.state.update(state)
-        return list(emitted)
+    def _taken(self, bucket: int) -> list:
+        """The rows of a bucket in order, taken out of the state."""
+        if not self.counts.containsKey((bucket,)):
+            return []  # the timer of a deadline
+        found = []
+        for piece in range(self.counts.getValue((bucket,))[0]):
+            found.extend(pickle.loads(self.pieces.getValue((bucket, piece))[0]))
+            self.pieces.removeKey((bucket, piece))
+        self.counts.removeKey((bucket,))
+        order = [self.rows.names.index(n) for n in (AT, *self.tie)]
+        found.sort(key=lambda r: tuple(r[i] for i in order))
+        return [dict(zip(self.rows.names, r)) for r in found]
+
+    def _advance(self, state, rows: list, until: int) -> tuple:
+        """State and rows to emit once all ``rows`` are taken and time has come to ``until``."""
+        if self.due is None:
+            return self.step(state, rows) if rows else (state, [])
+        emitted = []
+
+        def time_passes(state, moment):
+            while state is not None and (deadline := self.due(state)) is not None and deadline < moment:
+                state, out = self.expire(state, deadline)
+                emitted.extend(out)
+            return state
+
+        for row in rows:  # rows at the moment of a deadline come before it
+            state, out = self.step(time_passes(state, row[AT]), [row])
+            emitted.extend(out)
+        state = time_passes(state, until)
+        deadline = self.due(state) if state is not None else None
+        if deadline is not None and until < END_MS * 1000:
+            # at the end of a bucket, so that its rows come first
+            self.handle.registerTimer((deadline // 1000 // self.bucket_ms + 1) * self.bucket_ms)
+        return state, emitted
 
 
 def end_marker(spark, schema: T.StructType, ts: str) -> DataFrame:
@@ -106,7 +140,7 @@ def event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
 
 def in_order(
     stream: DataFrame, key, ts: str, state: str, out: list, step: Callable, delay: str | None = "10 seconds", tie=(),
-    close: Callable | None = None,
+    close: Callable | None = None, due: Callable | None = None, expire: Callable | None = None, bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
     """Run ``step`` over each key's rows in event-time order.
 
@@ -114,7 +148,9 @@ def in_order(
     drops. ``state`` is the DDL of the state; ``out`` the output columns as
     ``(name, DDL type)``, in front of which the key is put. ``ts`` among them is
     made from ``AT`` of the emitted row. ``close(state)`` gives the rows that a key
-    still owes once an end marker has come.
+    still owes once an end marker has come. ``bucket_ms`` is the event time that is
+    taken out at once: rows come out at most that much later than the watermark
+    allows, and each bucket with rows costs a timer.
     """
     key = [key] if isinstance(key, str) else list(key)
     spark = stream.sparkSession
@@ -127,6 +163,6 @@ def in_order(
     for name, kind in out:
         fields.append(T.StructField(AT, T.LongType()) if name == ts else T.StructField(name, T._parse_datatype_string(kind)))
     shape = T.StructType(fields)
-    processor = OrderedSteps(rows, key, T._parse_datatype_string(state), shape, step, list(tie), close)
+    processor = OrderedSteps(rows, key, T._parse_datatype_string(state), shape, step, list(tie), close, due, expire, bucket_ms)
     done = stream.groupBy(*key).transformWithState(processor, shape, "Append", "EventTime")
     return done.select(*[F.timestamp_micros(AT).alias(ts) if f.name == AT else F.col(f.name) for f in fields])

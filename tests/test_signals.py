@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import dialogue, labelled, quantiles, signals, utterances
+from colloquy.operators import dialogue, gating, labelled, quantiles, signals, utterances
 from colloquy.operators.documents import assign_batches, ingest_report
 from colloquy.operators.prompts import request_stats
 
@@ -240,3 +240,23 @@ def test_labelled_rows(frames, run_rows):
 def test_phrases(spark):
     df = spark.createDataFrame([(" Hey Robot ",), ("ROBOTER",), ("tea",)], "t string")
     assert [r.label for r in labelled.label_phrases(df, "t").collect()] == ["positive", "adversarial", "background"]
+
+
+def test_rows_without_a_time_take_no_part(spark):
+    """They hold up no key, in one run and in runs of two."""
+    shape = "key int, sec int, score double, kind string"
+    data = [(1, 10 * i, 0.9, "trigger") for i in range(5)] + [(1, None, 0.9, "trigger"), (1, None, 0.9, "failure")]
+    df = spark.createDataFrame(data, shape).withColumn("ts", F.timestamp_seconds("sec"))
+    for run_rows in (2, 100):
+        kept = gating.debounce(df, "key", "ts", "score", 0.5, 5.0, run_rows=run_rows)
+        assert sorted(r.sec for r in kept.collect()) == [0, 10, 20, 30, 40]
+        kept = gating.gate_triggers(df, "key", "ts", 15.0, run_rows=run_rows)
+        assert sorted(r.sec for r in kept.collect()) == [0, 20, 40]
+        log = dialogue.replay_states(df.drop("score"), "key", "ts", "kind", run_rows=run_rows)
+        assert {r.state for r in log.collect()} == {"LISTENING"} and log.count() == 5
+        timed = dialogue.stage_durations(df, "key", "ts", "kind", {"trigger": 5.0}, run_rows=run_rows)
+        assert sorted((r.sec, r.timed_out) for r in timed.collect()) == [(i, i < 40) for i in range(0, 50, 10)]
+        audio = df.select("key", "ts", F.array(F.col("score").cast("float")).alias("samples"))
+        none = audio.where("false").select("key", "ts")
+        captures = utterances.trigger_captures(audio, df.select("key", "ts"), none, "key", timeout=10.0, run_rows=run_rows)
+        assert sorted(r.start_us // 1_000_000 for r in captures.collect()) == [0, 20]

@@ -1,14 +1,17 @@
 """Each stream gives the rows of its batch form, with input cut into several files."""
 
+import pickle
 import random
 import uuid
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.operators import dialogue, gating, signals, utterances
 from colloquy.streaming import signals as streams
-from colloquy.streaming.stateful import end_marker
+from colloquy.streaming.stateful import AT, OrderedSteps, end_marker
 
 
 @pytest.fixture(scope="module")
@@ -163,3 +166,143 @@ def test_resets(spark, source, tmp_path):
     want = signals.reframe(frames, ["key", "epoch"], ["ts", "id"], "samples", 5)
     got = finish(streams.reframe_stream(kept(stream(spark, source)), "key", "ts", "samples", 5, tie=["id"], reset="again"), tmp_path)
     assert rows(got, "key", "epoch", "frame_no", "samples") == rows(want, "key", "epoch", "frame_no", "samples")
+
+
+def test_timer_ends_a_capture(spark, source, tmp_path):
+    """Captures end by the clock: batch and stream alike, and many of them have no later chunk in time."""
+    def sides(df):
+        return (df.where("kind IS NULL OR kind NOT IN ('trigger', 'on')").select("key", "ts", "samples"),
+                df.where("kind = 'trigger'").select("key", "ts"), df.where("kind = 'end'").select("key", "ts"))
+
+    audio, triggers, ends = sides(batch(spark, source))
+    for timeout in (0.4, 6.0):
+        captures = utterances.trigger_captures(audio, triggers, ends, "key", timeout=timeout, timer=True)
+        want = utterances.assemble_utterances(audio, captures, "key", rate=9, chunk=4)
+        got = finish(streams.utterance_stream(*sides(stream(spark, source)), "key", timeout=timeout, rate=9, chunk=4, timer=True, bucket_ms=700), tmp_path)
+        cols = ("key", "utt_no", "samples", "ended_by")
+        assert rows(got, *cols) == rows(want, *cols) and got.where("ended_by = 'timeout'").count() > 0
+
+
+def test_capture_without_further_audio_is_flushed_by_the_watermark(spark, tmp_path):
+    """No chunk of the key comes after the trigger and no marker ends the stream; another key moves the time."""
+    folder = str(tmp_path / "in")
+    shape = "key int, at int, kind string, samples array<float>"
+    for i, part in enumerate([[(1, 1, "audio", [1.0, 2.0]), (1, 2, "trigger", None), (2, 3, "audio", [9.0])], [(2, 40, "audio", [9.0])], [(2, 80, "audio", [9.0])]]):
+        spark.createDataFrame(part, shape).withColumn("ts", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(folder)
+
+    def sides(df):
+        return tuple(df.where(f"kind = '{k}'").select("key", "ts", *c) for k, c in (("audio", ["samples"]), ("trigger", []), ("end", [])))
+
+    for timer, want in ((True, [(1, 1, [1.0, 2.0], "timeout")]), (False, [])):
+        got = finish(streams.utterance_stream(*sides(stream(spark, folder)), "key", timeout=6.0, rate=0, delay="0 seconds", timer=timer, bucket_ms=1000), tmp_path)
+        assert rows(got, "key", "utt_no", "samples", "ended_by") == want
+
+
+def test_speech_starts_in_a_stream(spark, source, tmp_path):
+    args = {"t": 0.6, "margin": 0.2, "min_silence": 20, "pad": 13, "frame": 10}
+    frames = batch(spark, source)
+    found = signals.hysteresis_segments(frames, "key", ["ts", "id"], "p", **args)
+    timed = found.withColumns({c: F.timestamp_micros(c) for c in ("start_pos", "end_pos")})
+    captures = utterances.speech_captures(timed, "key", "start_pos", "end_pos")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("ts", "id")) * 10
+    audio = frames.select("key", F.timestamp_micros(place.cast("bigint")).alias("ts"), "samples")
+    want = utterances.assemble_utterances(audio, captures, "key", rate=9, chunk=4)
+    got = finish(streams.speech_utterance_stream(stream(spark, source), "key", "ts", "p", rate=9, chunk=4, tie=["id"], bucket_ms=500, **args), tmp_path)
+    cols = ("key", "utt_no", "samples", "ended_by")
+    assert rows(got, *cols) == rows(want, *cols) and got.count() > 3
+    with pytest.raises(ValueError):
+        streams.speech_utterance_stream(frames, "key", "ts", "p", pad=100, frame=10, min_silence=50)
+
+
+def test_stages_are_reported_at_their_deadline(spark, source, tmp_path):
+    limits = {"trigger": 1.0, "chunk": 2.0, "end": 0.5}
+    keep = ["key", "id", "ts", "kind"]
+    want = dialogue.stage_durations(batch(spark, source).select(*keep), "key", "ts", "kind", limits, "id")
+    got = finish(streams.stage_stream(stream(spark, source).select(*keep), "key", "ts", "kind", limits, tie=["id"], bucket_ms=300), tmp_path)
+    cols = ("key", "id", "kind", "seconds", "timed_out")
+    assert rows(got.where("not open"), *cols) == rows(want, *cols)
+    late = {(r.key, r.id) for r in want.collect() if r.timed_out or (r.seconds is None and r.kind in limits)}
+    reports = got.where("open").collect()
+    assert {(r.key, r.id) for r in reports} == late and len(reports) == len(late) > 3
+    assert all(r.timed_out and r.seconds == limits[r.kind] for r in reports)
+
+
+def test_an_open_stage_is_reported_before_its_next_state(spark, tmp_path):
+    """The report comes with the watermark; the stage itself has not ended yet."""
+    folder = str(tmp_path / "in")
+    for part in ([(1, 1, "THINKING")], [(2, 33, "WAITING")], [(2, 60, "WAITING")]):
+        spark.createDataFrame(part, "key int, at int, state string").withColumn("ts", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(folder)
+    log = stream(spark, folder).select("key", "ts", "state")
+    got = finish(streams.stage_stream(log, "key", "ts", delay="0 seconds", bucket_ms=1000), tmp_path)
+    assert rows(got, "key", "state", "seconds", "timed_out", "open") == [(1, "THINKING", 30.0, True, True)]
+
+
+class Memory:
+    """The state of one key in memory, with the rows that were moved counted."""
+
+    def __init__(self):
+        self.timers, self.moved = set(), 0
+
+    def getMapState(self, name, *_):
+        outer, kept = self, {}
+
+        class Map:
+            def containsKey(self, key):
+                return key in kept
+
+            def getValue(self, key):
+                outer.moved += name == "pieces" and len(pickle.loads(kept[key][0]))
+                return kept[key]
+
+            def updateValue(self, key, value):
+                outer.moved += name == "pieces" and len(pickle.loads(value[0]))
+                kept[key] = value
+
+            def removeKey(self, key):
+                del kept[key]
+
+        return Map()
+
+    def getValueState(self, *_):
+        class Value:
+            now = None
+
+            def get(self):
+                return self.now
+
+            def update(self, value):
+                self.now = value
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_a_hot_key_costs_work_in_proportion_to_its_rows():
+    """A million rows of one key in a hundred micro-batches: each is written and read once."""
+    shape = T.StructType([T.StructField("v", T.LongType()), T.StructField(AT, T.LongType())])
+
+    class Expired:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    def step(state, rows):
+        return ((state[0] if state else 0) + sum(r["v"] for r in rows),), []
+
+    steps, memory, n = OrderedSteps(shape, ["key"], None, T.StructType([]), step, [], None, None, None, 10_000), Memory(), 1_000_000
+    steps.init(memory)
+    calls = 0
+    for batch_no in range(100):
+        fresh = range(batch_no * n // 100, (batch_no + 1) * n // 100)
+        list(steps.handleInputRows((1,), ({"v": i, AT: 1000 * i - (i % 7) * 1000} for i in fresh), None))
+        for at in sorted(t for t in memory.timers if t <= fresh[-1] - 10_000):
+            memory.timers.remove(at)
+            calls += 1
+            list(steps.handleExpiredTimer((1,), None, Expired(at)))
+    for at in sorted(memory.timers):
+        list(steps.handleExpiredTimer((1,), None, Expired(at)))
+    assert memory.moved == 2 * n and steps.state.get() == (n * (n - 1) // 2,) and calls <= n // 10_000 + 2

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -32,7 +31,6 @@ from colloquy.runtime import materialize, small_side
 
 WORDS = 3
 PERCENT = 90
-FEW = 16              # members of a list that are paired one by one
 BLOCK = 1024          # members of a list that are compared at a time
 DRAWS = 2             # rounds with drawn leaders before members of different components are compared
 CLOSEST = 4           # candidates of a member in another component given out at first
@@ -256,36 +254,35 @@ def allocate(posted: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, d
     return plan.where(F.col("list_band").isin(list(raised))), raised
 
 
-def _few_pairs(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """a, b, more (false): pairs of different components in lists of ``FEW`` members, equal lists once."""
-    equal = lists.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "component", "strong", "n"))).alias("m")).select("m").distinct()
-
-    def partners(x, i):
-        close = F.filter(F.slice("m", i + 2, FEW), lambda y: (y["component"] != x["component"]) & (y["strong"] | x["strong"])
-                         & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])))
-        return F.transform(close, lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), (x["n"] + y["n"]).alias("n")))
-
-    pairs = equal.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.*").distinct()
-    both = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y, n in zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), strict=True):
-                x, y = folded([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])
-                keep.append(int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (100 - percent) * n)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y", "n").mapInArrow(near, "a long, b long").withColumn("more", F.lit(False))
-
-
-def folded(bitmaps: list[np.ndarray]) -> list[np.ndarray]:
-    """Parity bitmaps at the smallest width among them: the halves of one add up to the next smaller one."""
-    width, out = min(map(len, bitmaps)), []
-    for x in bitmaps:
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Parity bitmaps as rows at the smallest width among them: the halves of one add up to the next smaller one."""
+    width, out = min(map(len, bitmaps)) // 8, []
+    for raw in bitmaps:
+        x = np.frombuffer(raw, np.uint64)
         while len(x) > width:
             x = x[:len(x) // 2] ^ x[len(x) // 2:]
         out.append(x)
+    return np.stack(out)
+
+
+def near_members(node, group, strong, n, bits, left, right, same: bool, percent: int, closest: int) -> list[tuple[int, int, bool]]:
+    """(a, b, more) for members of different components, of ``left`` and ``right``, that sizes and bitmaps leave open."""
+    maps, out = folded(bits), []
+    for i in left:
+        others = right[node[right] > node[i]] if same else right
+        others = others[(group[others] != group[i]) & (strong[others] | strong[i])]
+        others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+        if not len(others):
+            continue
+        apart = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        near = apart * (100 + percent) <= (100 - percent) * (n[others] + n[i])
+        if not near.any():
+            continue
+        others, apart = others[near], apart[near]
+        others = others[np.lexsort((apart, group[others]))]
+        new = np.flatnonzero(np.concatenate([[True], group[others][1:] != group[others][:-1]])).tolist()
+        for a, b in zip(new, [*new[1:], len(others)], strict=True):
+            out.extend((int(min(node[i], node[j])), int(max(node[i], node[j])), b - a > closest) for j in others[a:min(b, a + closest)])
     return out
 
 
@@ -293,44 +290,44 @@ def _cross_pairs(lists: DataFrame, bits: DataFrame, percent: int, block: int, cl
     """a, b, more: pairs of members of different components of a list that sizes and bitmaps leave open.
 
     Of a member's candidates in one other component, the ``closest`` are given; ``more`` tells that others are left.
-    Lists (key, node, component, strong, n) of more than ``FEW`` members are cut into blocks of about ``block``; each
-    pair of blocks is a group. ``bits`` has the bitmap of each node.
+    Lists (key, node, component, strong, n) of the same members count once. They are cut into blocks of about ``block``
+    members; each pair of blocks is a group, and groups stream through the tasks, so no pair is a row before it has
+    been compared. ``bits`` has the bitmap of each node.
     """
-    sizes = materialize(lists.groupBy("key").count().select("key", "count", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    few = _few_pairs(lists.join(sizes.where(F.col("count") <= FEW).select("key"), "key", "left_semi"), bits, percent)
-    sizes = sizes.where(F.col("count") > FEW).drop("count")
-    if sizes.isEmpty():
-        return few
-    cut = lists.join(sizes, "key").join(bits, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", "node", "component", "strong", "n", "bits", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        maps = np.stack(folded([np.frombuffer(raw, np.uint64) for raw in rows["bits"]]))
-        node, group, strong, n, mine = (rows[c].to_numpy() for c in ("node", "component", "strong", "n", "mine"))
-        p, q = rows["p"].iloc[0], rows["q"].iloc[0]
-        left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-        out = []
-        for i in left:
-            others = right[(node[right] > node[i]) | (p != q)]
-            others = others[(group[others] != group[i]) & (strong[others] | strong[i])]
-            others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
-            if not len(others):
-                continue
-            apart = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            near = apart * (100 + percent) <= (100 - percent) * (n[others] + n[i])
-            if not near.any():
+    members = [F.bit_xor(F.xxhash64("node", "strong")), F.bit_xor(F.xxhash64("strong", "node")), F.min("node"), F.max("node"), F.count("*")]
+    told = lists.groupBy("key").agg(*[m.alias(f"m{i}") for i, m in enumerate(members)])
+    single = told.groupBy("m0", "m1", "m2", "m3", "m4").agg(F.min("key").alias("key"))
+    single = single.select("key", F.ceil(F.col("m4") / block).cast("int").alias("blocks"))
+    cut = lists.join(single, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(bits, "node")
+    place = ["key", "p", "q"]
+    cut = cut.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "component", "strong", "n", "bits")
+
+    def compared(rows: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        column = {c: rows.column(c).to_numpy() for c in ("p", "q", "mine", "node", "component", "strong", "n")}
+        maps, out = rows.column("bits").to_pylist(), []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = {c: v[a:b] for c, v in column.items()}
+            p, q = own["p"][0], own["q"][0]
+            out += near_members(own["node"], own["component"], own["strong"], own["n"], maps[a:b], np.flatnonzero(own["mine"] == p),
+                                np.flatnonzero(own["mine"] == q), p == q, percent, closest)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the last group, which may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            if not rows.num_rows:
                 continue
-            others, apart = others[near], apart[near]
-            order = np.lexsort((apart, group[others]))
-            others = others[order]
-            new = np.flatnonzero(np.concatenate([[True], group[others][1:] != group[others][:-1]])).tolist()
-            for a, b in zip(new, [*new[1:], len(others)], strict=True):
-                for j in others[a:min(b, a + closest)]:
-                    out.append((min(node[i], node[j]), max(node[i], node[j]), bool(b - a > closest)))
-        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
-
-    return few.unionByName(cut.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long, more boolean"))
+            marks = np.stack([rows.column(c).to_numpy() for c in place])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist()]
+            yield compared(rows, cuts)
+            rest = rows.slice(cuts[-1])
+        if rest is not None:
+            yield compared(rest, [0, rest.num_rows])
+
+    return cut.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long, more boolean")
 
 
 def join_links(

@@ -25,6 +25,7 @@ from colloquy.operators.ordered import RUN, Ordered, arrange
 from colloquy.runtime import materialize
 
 CHUNK_ROWS = 20_000
+OUT_ROWS = 50_000  # rows of edits given out at a time, or those of one chunk
 ROLES = {"s": "system", "u": "user", "a": "assistant"}
 
 # Prices of the edits and of a truncated row that stays; adjacent role initials that are legal.
@@ -238,20 +239,26 @@ def edits(chunks: DataFrame) -> DataFrame:
     kind = chunks.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(whole.num_rows):  # a chunk's rows at a time
-                batch = whole.slice(at, 1)
-                codes, rows, behind, entry, last = (batch.column(c)[0].as_py() for c in ("codes", "rows", "behind", "entry", "last"))
-                found, q = trace(bytes(codes), tuple(behind), entry)
-                after = closing(q) if last else ""
-                letters = [x[0] for x in found]
-                letters[-1] += "I" * len(after)
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rows, pa.int64()), batch.column("k").take(pa.array([0] * n)), batch.column("run").take(pa.array([0] * n)),
-                    pa.array(range(n), pa.int32()), pa.array(letters), pa.array([x[1] for x in found]), pa.array([x[2] for x in found]),
-                    pa.array([""] * (n - 1) + [after]),
-                ], ["row", "k", "run", "i", "letters", "before", "fate", "after"])
+        for batch in batches:
+            column = {c: batch.column(c).to_pylist() for c in ("codes", "rows", "behind", "entry", "last")}
+            at, row, place, found, after = [], [], [], [], []
+            for i in range(batch.num_rows):
+                each, q = trace(bytes(column["codes"][i]), tuple(column["behind"][i]), column["entry"][i])
+                added, n = closing(q) if column["last"][i] else "", len(each)
+                letters, inserted, fate = each[-1]
+                each[-1] = letters + "I" * len(added), inserted, fate
+                at += [i] * n
+                row += column["rows"][i]
+                place += range(n)
+                found += each
+                after += [""] * (n - 1) + [added]
+                if len(at) >= OUT_ROWS or i == batch.num_rows - 1:
+                    taken = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(row, pa.int64()), batch.column("k").take(taken), batch.column("run").take(taken), pa.array(place, pa.int32()),
+                        *(pa.array([x[j] for x in found], pa.string()) for j in range(3)), pa.array(after, pa.string()),
+                    ], ["row", "k", "run", "i", "letters", "before", "fate", "after"])
+                    at, row, place, found, after = [], [], [], [], []
 
     source = chunks.select("k", "run", "codes", "rows", "behind", "entry", "last")
     return source.mapInArrow(run, f"row long, k {kind}, run long, i int, letters string, before string, fate string, after string")

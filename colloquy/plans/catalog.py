@@ -24,7 +24,7 @@ from colloquy.operators import (
 from colloquy.plans import ingestion
 from colloquy.plans.answering import rag_prompts
 from colloquy.runtime import materialize, shared_dir, small_side, spread
-from colloquy.sources import versions
+from colloquy.sources import plugin, versions
 from colloquy.sources.files import drop_comments, scan_documents
 from colloquy.sources.store import dump_chunks, insert_new, open_chunks, write_chunks
 from colloquy.streaming import signals as streams
@@ -260,6 +260,22 @@ def versioned_collection(spark, sf):
     return now.select(F.col("path").cast("bigint").alias("doc_id"), F.col("pos"), "n_tokens", "content_hash", "version", "before")
 
 
+@query
+def plugged_store(spark, sf):
+    """Turns written through the pluggable source in two commits and read back."""
+    plugin.register(spark)
+    path = f"{shared_dir(spark).rstrip('/')}/colloquy/{uuid.uuid4().hex}"
+    turns = spread(table(spark, sf, "conversations")).select(
+        F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("pos"), "text",
+        F.size(F.split("text", " ")).alias("n_tokens"), F.md5("text").alias("content_hash"), F.array(F.lit(0.5).cast("float")).alias("embedding"),
+        F.create_map(F.lit("role"), "role").alias("metadata"),
+    )
+    for part in (turns.where("metadata['role'] = 'user'"), turns.where("metadata['role'] <> 'user'")):
+        part.write.format(plugin.FORMAT).mode("append").option("path", path).save()
+    read = spark.read.format(plugin.FORMAT).option("path", path).load()
+    return read.select("chunk_id", "doc_id", "pos", "text", "content_hash", F.col("metadata")["role"].alias("role"))
+
+
 @query
 def own_embedder(spark, sf):
     @F.pandas_udf("array<float>")

@@ -494,6 +494,11 @@ UNION ALL SELECT user_id, event_id, state, CASE state WHEN 'CLICK' THEN 3600.0 E
 WHERE timed_out OR (seconds IS NULL AND state IN ('CLICK', 'VIEW'))"""
 
 
+ORACLE["plugged_store"] = """
+SELECT concat_ws('-', conv_id, turn) AS chunk_id, conv_id AS doc_id, turn::INTEGER AS pos, text, md5(text) AS content_hash, role
+FROM conversations"""
+
+
 def _chunked(source: str) -> str:
     """Chunks with their hashes, of another source than the table."""
     made = DISTANCES + packing("numbered", "doc_id, chunk_no") + f""",

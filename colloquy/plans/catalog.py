@@ -24,7 +24,7 @@ from colloquy.operators import (
 from colloquy.plans import ingestion
 from colloquy.plans.answering import rag_prompts
 from colloquy.runtime import materialize, shared_dir, small_side, spread
-from colloquy.sources import plugin, versions
+from colloquy.sources import index, plugin, versions
 from colloquy.sources.files import drop_comments, scan_documents
 from colloquy.sources.store import dump_chunks, insert_new, open_chunks, write_chunks
 from colloquy.streaming import signals as streams
@@ -39,6 +39,7 @@ QUIET = 30_000.0  # seconds
 SETTINGS = {"chunk_size": chunking.DEPLOYED_CHUNK_SIZE, "overlap": chunking.DEPLOYED_CHUNK_OVERLAP}
 EVENT_ROLES = {"click": "trigger", "view": "transcript", "purchase": "answer", "signup": "done", "error": "failure"}
 LSH = {"tables": 16, "bits": 4, "seed": 7}
+PROBES = 6
 SPLITS = {0: {"train": 100, "validation": 20}, 1: {"train": 150, "validation": 30}}
 MIX = {0: 10, 1: 25}
 PHRASES = {"targets": ["the", "der", "la"], "negatives": ["of", "und", "le"]}
@@ -328,6 +329,25 @@ def lsh_topk(spark, sf):
     return retrieval.lsh_topk(*_vectors(spark, sf), **LSH)
 
 
+def _indexed(spark, sf) -> str:
+    """An index of the rows not divisible by 5, brought to the state of those whose remainder by 7 is not 3."""
+    root = f"{shared_dir(spark).rstrip('/')}/colloquy/{uuid.uuid4().hex}"
+    vectors = _vectors(spark, sf)[0]
+    for state in ("chunk_id % 5 <> 0", "chunk_id % 7 <> 3"):
+        index.update_index(spark, vectors.where(state), root)
+    return root
+
+
+@query
+def index_topk(spark, sf):
+    return index.index_topk(spark, _indexed(spark, sf), _vectors(spark, sf)[1], probes=PROBES)
+
+
+@query
+def index_exact(spark, sf):
+    return index.index_topk(spark, _indexed(spark, sf), _vectors(spark, sf)[1], exact=True)
+
+
 def _nearest(spark, sf):
     """Hits of every question: as many documents as its turn has turns before it."""
     said = table(spark, sf, "conversations").where("role = 'user' AND turn > 0")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from colloquy.operators.prompts import INSTRUCTIONS, PERSONALITY
 from colloquy.plans import catalog
+from colloquy.sources import index
 
 SIZE, SHARED = catalog.SETTINGS["chunk_size"], catalog.SETTINGS["overlap"]
 MARK = "|".join(f"{k}={v}" for k, v in sorted(catalog.SETTINGS.items()))
@@ -512,3 +513,19 @@ n AS ({_chunked("SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN text || ' It was rev
   SELECT doc_id, chunk_no AS pos, n_tokens, content_hash FROM h)
 SELECT doc_id, pos, n_tokens, content_hash, CASE WHEN doc_id % 7 IN (0, 1, 3) THEN 2 ELSE 1 END::BIGINT AS version, before
 FROM n LEFT JOIN b USING (doc_id)"""
+
+
+ORACLE["index_exact"] = "WITH" + nearest(3, "embeddings q JOIN embeddings c ON c.vec_id % 7 <> 3") + " SELECT * FROM hits"
+
+ORACLE["index_topk"] = f"""
+WITH held AS (SELECT embedding::DOUBLE[] AS v, md5(vec_id::VARCHAR) AS h, row_number() OVER (ORDER BY md5(vec_id::VARCHAR)) AS n
+  FROM embeddings WHERE vec_id % 5 <> 0),
+many AS (SELECT floor(sqrt(count(*))) AS w FROM held),
+drawn AS (SELECT v, row_number() OVER (ORDER BY min(h)) - 1 AS cell FROM held, many WHERE n <= {index.DRAWN} * w GROUP BY v),
+near AS (SELECT vec_id, cell, round(1 - list_dot_product(embedding::DOUBLE[], v)
+    / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v, v))), 9) AS d
+  FROM embeddings, drawn, many WHERE cell < w),
+places AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY d, cell) AS place FROM near),
+cand AS (SELECT a.vec_id AS qid, b.vec_id AS cid FROM places a JOIN places b ON a.cell = b.cell
+  WHERE a.place <= {catalog.PROBES} AND b.place = 1 AND b.vec_id % 7 <> 3),""" + nearest(
+    3, "cand JOIN embeddings q ON q.vec_id = qid JOIN embeddings c ON c.vec_id = cid") + " SELECT * FROM hits"

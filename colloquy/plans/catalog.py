@@ -18,7 +18,7 @@ from colloquy.functions import (
     min_length, pad_short, pcm_to_float, regex_trim, smooth_labels, too_short,
 )
 from colloquy.operators import (
-    chunking, dialogue, documents, embedding, gating, labelled, prompts, quantiles, retrieval, signals, transcripts,
+    chunking, dialogue, documents, embedding, gating, keyword_tables, labelled, prompts, quantiles, retrieval, signals, transcripts,
     utterances,
 )
 from colloquy.plans import ingestion
@@ -430,6 +430,16 @@ def best_keyword(spark, sf):
     )
 
 
+@query
+def keyword_table(spark, sf):
+    """Every nation's name is a phrase; texts start with one that has lost a letter."""
+    nation = table(spark, sf, "nation")
+    said = _said(spark, sf).join(small_side(nation), F.col("n_nationkey") == (F.col("conv_id") + F.col("turn")) % 25)
+    named = F.concat(F.lit("From "), F.expr("replace(n_name, 'I', '')"), F.lit(". "), F.col("text"))
+    found = keyword_tables.best_of_table(said.select("conv_id", "turn", F.lower(named).alias("text")), "text", nation, "n_name", "n_nationkey", 80)
+    return found.select("conv_id", "turn", "keyword", F.round("score", 6).alias("score"), F.col("end").cast("bigint").alias("end"))
+
+
 @query
 def strip_wakeword(spark, sf):
     return transcripts.strip_wakeword(_greeted(spark, sf), "text", WAKE_PHRASES).select("conv_id", "turn", "matched", "rest")

@@ -94,11 +94,11 @@ PROMPT = "CASE WHEN length({c}) > 0 THEN {c} || '\n\n" + PERSONALITY + " " + INS
 QUESTIONS = "questions AS (SELECT conv_id * 100000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user')"
 
 
-def ratio(source: str, keywords: list, cutoff: float) -> str:
-    """Best window of each keyword in ``source(conv_id, turn, text)``: ``best``."""
-    listed = ", ".join(f"({i}, '{k}')" for i, k in enumerate(keywords))
+def ratio(source: str, keywords: list | str, cutoff: float) -> str:
+    """Best window of each keyword in ``source(conv_id, turn, text)``: ``best``. Keywords are a list or SQL for (no, k)."""
+    listed = keywords if isinstance(keywords, str) else "VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate(keywords))
     return f""",
-kw(no, k) AS (VALUES {listed}),
+kw(no, k) AS ({listed}),
 sides AS (SELECT conv_id, turn, no, length(text) AS n,
     CASE WHEN length(text) < length(k) THEN text ELSE k END AS a,
     CASE WHEN length(text) < length(k) THEN k ELSE text END AS b,
@@ -373,6 +373,11 @@ FROM src LEFT JOIN best USING (conv_id, turn)""",
     + ratio("src", lower_phrases(), 55) + f"""
 SELECT conv_id, turn, {WAKE_PHRASES!r}[no + 1] AS keyword, round(score, 6) AS score, stop::BIGINT AS "end"
 FROM src LEFT JOIN best USING (conv_id, turn)""",
+    "keyword_table": """WITH src AS (SELECT conv_id, turn, lower('From ' || replace(n_name, 'I', '') || '. ' || text) AS text
+  FROM conversations JOIN nation ON n_nationkey = (conv_id + turn) % 25)"""
+    + ratio("src", "SELECT n_nationkey, lower(n_name) FROM nation", 80) + """
+SELECT conv_id, turn, n_name AS keyword, round(score, 6) AS score, stop::BIGINT AS "end"
+FROM src LEFT JOIN best USING (conv_id, turn) LEFT JOIN nation ON n_nationkey = no""",
     "strip_wakeword": r"""WITH src AS (SELECT conv_id, turn, regexp_replace(lower(CASE role WHEN 'user' THEN 'Hello  Robot, '
   WHEN 'assistant' THEN 'God morning computer! ' ELSE '' END || text), '^\s+|\s+$', '', 'g') AS text FROM conversations)"""
     + ratio("src", lower_phrases(), 75) + """

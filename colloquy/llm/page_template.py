@@ -1,13 +1,17 @@
 """Main text of web pages by equivalence classes of tokens over the pages of a host.
 
 A page is a sequence of tokens: tags with the path they stand in, and text nodes. The occurrence vector of a token
-says how often each page of its host has it; tokens of one vector form an equivalence class. Vectors are compared by
-their sums of hashed (page, count) pairs, so a class is an aggregate over any number of pages. A class that occurs
-the same number of times wherever it occurs, in most pages of the host, is valid and belongs to the template; classes
-nest by the paths of their tags. What a valid class repeats word for word is template; what stands between its
-tokens are slots. The slots of the article are its text: those inside an article or main element of the template
-(or of the page, where a host has too few pages for classes), or else those outside navigation, headers, footers,
-sidebars, notices, adverts, forms and comments.
+says how often each page of its host has it; pages of equal content count once. Tokens of one vector form an
+equivalence class. Vectors are compared by their sums of hashed (page, count) pairs, so a class is an aggregate over any
+number of pages. A class is valid if it has two members or more, stands equally often wherever it occurs, does so in
+most pages of the host, and nests: its tags all lie in the same class around them. Valid classes are the host's
+template, the texts between their tokens its slots.
+
+The article's slots are those inside the template's article or main element, or else inside the deepest single element
+that holds most of the text that varies between pages. There nothing is taken for template because it repeats. Outside, what
+valid classes repeat word for word goes, other slots stay. Which slots are menus, notices, adverts and the like cannot be seen from structure
+alone: names of elements and roles tell it, and names of classes and ids outside the article. Inside it such a name counts
+only for elements that the template repeats, but for adverts, comments and subscriptions.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.url_rules import host_of
@@ -38,19 +42,36 @@ LEFT_OUT = frozenset("nav header footer aside form dialog menu head button label
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|nav|navbar|menu|"
     r"breadcrumbs?|header|footer|comments?|comment-list|respond|share|social|related|widget)(?:$|[\s_-])", re.I)
+# names of class and id that also count inside an article on pages without a template
+FOREIGN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|cookies?|consent|popup|modal|newsletter|subscribe|sidebar|navbar|breadcrumbs?|"
+    r"comments?|comment-list|respond)(?:$|[\s_-])", re.I)
+HOLDERS = frozenset("body center div section td".split())  # elements that may hold an article
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 
-def parse(page: str) -> list[tuple[str, bool, str | None]]:
+CONTENT = re.compile(r"/(?:article|main)(?:\.[^/]*)?(?=/|$)")
+
+Out = bool | str  # left out or not, or the path of an element that goes if the template repeats it
+Token = tuple[str, Out, str | None]
+
+
+def _foreign(name: str, marks: dict, inside: bool) -> bool:
+    """True if the element itself says that it is no article text; an article may have a header."""
+    shown = name not in LEFT_OUT or inside and name == "header"
+    return not shown or marks.get("role", "") in ROLES or "hidden" in marks or marks.get("aria-hidden") == "true"
+
+
+def parse(page: str) -> list[Token]:
     """Tokens in order: (path, left out, text) for text nodes and (path, left out, None) for opened tags.
 
     Raw elements and comments have no text. A path is the open elements with class and id, inline ones left out.
     """
-    out: list[tuple[str, bool, str | None]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # name, path, left out
+    out: list[Token] = []
+    stack: list[tuple[str, str, Out]] = [("", "", False)]  # name, path, left out
     at, end = 0, len(page)
 
     def text(piece: str) -> None:
@@ -99,8 +120,13 @@ def parse(page: str) -> list[tuple[str, bool, str | None]]:
         named = " ".join(filter(None, (marks.get("class"), marks.get("id"))))
         path, hidden = stack[-1][1], stack[-1][2]
         if name in BLOCKS:
-            path = f"{path}/{name}" + (f".{named}" if named else "")
-            hidden = hidden or name in LEFT_OUT and not ("/article" in stack[-1][1] and name == "header") or bool(named and name not in ("html", "body", "article", "main") and HINTS.search(named)) or marks.get("role", "") in ROLES or "hidden" in marks or marks.get("aria-hidden") == "true"
+            inside = bool(CONTENT.search(path))
+            path = f"{path}/{name}" + (f".{named.replace('/', '_')}" if named else "")
+            hidden = hidden is True or _foreign(name, marks, inside) or hidden
+            if not hidden and named and name not in ("html", "body", "article", "main") and HINTS.search(named):
+                hidden = path if inside and not FOREIGN.search(named) else True
+            elif isinstance(hidden, str) and named and FOREIGN.search(named):
+                hidden = True
             out.append((path, hidden, None))
         elif name in LEFT_OUT:
             hidden = True
@@ -116,7 +142,7 @@ def clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def blocks_of(tokens: list[tuple[str, bool, str | None]]) -> list[tuple[str, bool, str]]:
+def blocks_of(tokens: list[Token]) -> list[tuple[str, Out, str]]:
     """(path, left out, text) of every block with text: what stands between two block tags."""
     out, open_parts = [], []
 
@@ -145,37 +171,36 @@ def hashed(value: str) -> int:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, vector, pages, least, most: the occurrence vector of each token, as sums over pages.
+    """host, kind, token, path, size, vector, pages, least, most: the occurrence vector of each token, as sums over pages.
 
-    Each task sums what it has read of a host before it gives it out; Spark adds the sums up.
+    ``kind`` is tag, text, left (a text that names leave out) or page; ``path`` and ``size`` (characters) are those of a text. Each task sums what it has read of a host before it gives it out; Spark adds the sums up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str, str], list[int]] = {}
+        sums: dict[tuple, list[int]] = {}
 
         def given() -> pa.RecordBatch:
-            rows = [(h, k, t, *v) for (h, k, t), v in sums.items()]
+            columns = list(zip(*((*k, *v) for k, v in sums.items()), strict=True))
             sums.clear()
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["host", "kind", "token", "vector", "pages", "least", "most"])
+            kinds = [pa.string()] * 4 + [pa.int64()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], fields)
 
         for batch in batches:
             for host, page, key in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "page")), strict=True):
-                counts: dict[tuple[str, str], int] = defaultdict(int)
+                counts: dict[tuple[str, str, str, int], int] = defaultdict(int)
                 tokens = parse(page)
                 for path, _, text in tokens:
                     if text is None:
-                        counts["tag", path] += 1
-                for path, _, text in blocks_of(tokens):
-                    counts["text", f"{path}\n{text}" if len(text) < 200 else f"{path}\n#{hashed(text)}"] += 1
-                counts["page", ""] = 1
-                for (kind, token), n in counts.items():
+                        counts["tag", path, "", 0] += 1
+                for path, left, text in blocks_of(tokens):
+                    counts["left" if left else "text", text_token(path, text), path, len(text)] += 1
+                counts["page", "", "", 0] = 1
+                for token, n in counts.items():
                     # 40 bits, so that sums over any number of pages stay within a long
                     own = hashed(f"{key} {n}") & 0xFFFFFFFFFF
-                    s = sums.get((host, kind, token))
+                    s = sums.get((host, *token))
                     if s is None:
-                        sums[host, kind, token] = [own, 1, n, n]
+                        sums[(host, *token)] = [own, 1, n, n]
                     else:
                         s[0], s[1], s[2], s[3] = s[0] + own, s[1] + 1, min(s[2], n), max(s[3], n)
                 if len(sums) > 200_000:
@@ -183,23 +208,58 @@ def occurrences(pages: DataFrame) -> DataFrame:
         if sums:
             yield given()
 
-    parts = pages.mapInArrow(run, "host string, kind string, token string, vector long, pages long, least long, most long")
-    return parts.groupBy("host", "kind", "token").agg(*[f(c).alias(c) for f, c in ((F.sum, "vector"), (F.sum, "pages"), (F.min, "least"), (F.max, "most"))])
+    keys, sums_of = ["host", "kind", "token", "path", "size"], {"vector": F.sum, "pages": F.sum, "least": F.min, "most": F.max}
+    fields = [*keys[:4], "size", *sums_of]
+    once = pages.dropDuplicates(["host", "page"])
+    parts = once.mapInArrow(run, "host string, kind string, token string, path string, size long, vector long, pages long, least long, most long")
+    return parts.groupBy(*keys).agg(*[f(c).alias(c) for c, f in sums_of.items()])
+
+
+def text_token(path: str, text: str) -> str:
+    return f"{path}\n{text}" if len(text) < 200 else f"{path}\n#{hashed(text)}"
+
+
+def _around(token: Column) -> Column:
+    """The paths around a path and the path itself."""
+    steps = F.split(token, "/")
+    return F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(steps))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
 
 
 def templates(occurring: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, kind, token, members: the tokens of valid classes.
+    """host, vector, kind, token, path, parent, most: the tokens of valid classes.
 
-    A class is the tokens of one vector. It is valid if its tokens occur equally often in each page that has them,
-    in at least ``support`` of the host's pages and in ``min_pages``, and if it has two members or more, since a single
-    token shows no structure. Repeated text has no such companion in general: it is template by its support alone.
+    A class is the tokens of one vector. It is valid if its tokens occur equally often in each page that has them, in at
+    least ``support`` of the host's different pages and in ``min_pages``, if it has two members or more, since a single token shows
+    no structure, and if it nests: the nearest tag of another class around its tags is of one class, ``parent`` (null: none).
     """
     sizes = occurring.where("kind = 'page'").select("host", F.col("pages").alias("all_pages"))
-    often = occurring.where(F.col("kind") != "page").where(F.col("pages") >= min_pages)
+    often = occurring.where("kind <> 'page' and least = most").where(F.col("pages") >= min_pages)
     often = often.join(sizes, "host").where(F.col("pages") >= support * F.col("all_pages"))
-    classes = often.groupBy("host", "vector").agg(F.count("*").alias("members"))
-    valid = often.join(classes, ["host", "vector"]).where("kind = 'text' or (least = most and members > 1)")
-    return valid.select("host", "kind", "token", "members")
+    # a class without tags has no place in the template; its texts alone show nothing
+    classes = often.groupBy("host", "vector").agg(F.count("*").alias("members"), F.count_if(F.col("kind") == "tag").alias("tags"))
+    often = materialize(often.join(classes.where("members > 1 and tags > 0"), ["host", "vector"]))
+    tags = often.where("kind = 'tag'").select("host", "vector", "token")
+    outer = tags.select("host", F.col("vector").alias("parent"), F.col("token").alias("around"))
+    inner = tags.select("host", "vector", "token", F.explode(_around(F.col("token"))).alias("around"))
+    near = inner.join(outer, ["host", "around"]).where("parent <> vector")
+    near = near.groupBy("host", "vector", "token").agg(F.max_by("parent", F.length("around")).alias("parent"))
+    placed = tags.join(near, ["host", "vector", "token"], "left")
+    nested = placed.groupBy("host", "vector").agg(F.max("parent").alias("parent"), F.countDistinct("parent").alias("_some"), F.count_if(F.col("parent").isNull()).alias("_none"))
+    nested = nested.where("_some + least(_none, 1) = 1").select("host", "vector", "parent")
+    return often.join(nested, ["host", "vector"]).select("host", "vector", "kind", "token", "path", "parent", "most")
+
+
+def holders(occurring: DataFrame, template: DataFrame) -> DataFrame:
+    """host, holder: the deepest template element, once to a page, that holds at least half of the characters that vary."""
+    repeated = template.where("kind = 'text'").select("host", "token")
+    varying = occurring.where("kind = 'text'").join(repeated, ["host", "token"], "left_anti")
+    weights = varying.groupBy("host", "path").agg(F.sum(F.col("size") * F.col("pages")).alias("weight"))
+    total = weights.groupBy("host").agg(F.sum("weight").alias("total"))
+    around = weights.select("host", "weight", F.explode(_around(F.col("path"))).alias("token")).groupBy("host", "token").agg(F.sum("weight").alias("weight"))
+    name = F.regexp_extract("token", r"([^/.]*)(?:\.[^/]*)?$", 1)
+    single = template.where("kind = 'tag' and most = 1").where(name.isin(*HOLDERS)).select("host", "token")
+    most = around.join(total, "host").where("2 * weight >= total").join(single, ["host", "token"])
+    return most.groupBy("host").agg(F.max_by("token", F.struct(F.size(F.split("token", "/")), "weight", "token")).alias("holder"))
 
 
 def extract_text(
@@ -215,17 +275,19 @@ def extract_text(
     Templates have some tokens to a host. They come to the pages as one array per host, joined on the host.
     """
     source = pages.drop("text", "slots")
-    read = source.select(host_of(F.col(url)).alias("host"), F.coalesce(html, F.lit("")).alias("html"), F.xxhash64(url, html).alias("page"))
-    found = templates(occurrences(read), support, min_pages)
-    per_host = materialize(found.groupBy("host").agg(
-        F.collect_set(F.when(F.col("kind") == "tag", F.col("token"))).alias("tags"), F.collect_set(F.when(F.col("kind") == "text", F.col("token"))).alias("texts")))
-    joined = source.withColumn("__host", host_of(F.col(url))).join(per_host.toDF("__host", "__tags", "__texts"), "__host", "left")
+    read = source.select(host_of(F.col(url)).alias("host"), F.coalesce(html, F.lit("")).alias("html"), F.xxhash64(html).alias("page"))
+    occurring = materialize(occurrences(read))
+    found = materialize(templates(occurring, support, min_pages))
+    per_host = found.groupBy("host").agg(
+        F.collect_set(F.when(F.col("kind") == "tag", F.col("token"))).alias("tags"), F.collect_set(F.when(F.col("kind") == "text", F.col("token"))).alias("texts"))
+    per_host = materialize(per_host.join(holders(occurring, found), "host", "left").select("host", "tags", "texts", "holder"))
+    joined = source.withColumn("__host", host_of(F.col(url))).join(per_host.toDF("__host", "__tags", "__texts", "__holder"), "__host", "left")
     schema = f"{source._jdf.schema().toDDL()}, text string, slots array<struct<path: string, text: string>>"
     kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[frozenset, frozenset]] = {}
+        known: dict[str, tuple[frozenset, frozenset, str | None]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -234,21 +296,18 @@ def extract_text(
                     if host not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[host] = tuple(frozenset(part.column(c)[i].as_py() or ()) for c in ("__tags", "__texts"))
+                        known[host] = *(frozenset(part.column(c)[i].as_py() or ()) for c in ("__tags", "__texts")), part.column("__holder")[i].as_py()
                     own = article(page or "", *known[host])
                     texts.append("\n".join(t for _, t in own))
                     slots.append([{"path": p, "text": t} for p, t in own])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string()), pa.array(slots, kind)], [*names, "text", "slots"])
 
-    return joined.select(*names, "__host", "__tags", "__texts").mapInArrow(run, schema)
-
-
-CONTENT = re.compile(r"/(?:article|main)(?:\.[^/]*)?(?=/|$)")
+    return joined.select(*names, "__host", "__tags", "__texts", "__holder").mapInArrow(run, schema)
 
 
-def article(page: str, tags: frozenset[str], texts: frozenset[str]) -> list[tuple[str, str]]:
-    """(path, text) of the slots that hold the article."""
-    blocks = [(p, t) for p, hidden, t in blocks_of(parse(page)) if not hidden]
+def article(page: str, tags: frozenset[str], texts: frozenset[str], holder: str | None = None) -> list[tuple[str, str]]:
+    """(path, text) of the slots that hold the article, given the template's tags and texts and its ``holder``."""
+    blocks = [(p, t) for p, left, t in blocks_of(parse(page)) if left is False or isinstance(left, str) and left not in tags]
 
     def content(path: str) -> bool:
         m = CONTENT.search(path)
@@ -258,5 +317,6 @@ def article(page: str, tags: frozenset[str], texts: frozenset[str]) -> list[tupl
     inside = [(p, t) for p, t in blocks if content(p)]
     if inside:
         return inside
-    # no article element: what the template does not repeat
-    return [(p, t) for p, t in blocks if (f"{p}\n{t}" if len(t) < 200 else f"{p}\n#{hashed(t)}") not in texts]
+    # no article element: all that stands in the holder, elsewhere what the template does not repeat
+    held = lambda path: holder is not None and (path == holder or path.startswith(holder + "/"))
+    return [(p, t) for p, t in blocks if held(p) or text_token(p, t) not in texts]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.url_rules import host_of
-from colloquy.runtime import materialize
+from colloquy.runtime import materialize, small_side
 
 SUPPORT = 0.5     # share of a host's pages that a template token occurs in
 MIN_PAGES = 3     # pages from which classes say something
@@ -210,13 +210,21 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
     keys, sums_of = ["host", "kind", "token", "path", "size"], {"vector": F.sum, "pages": F.sum, "least": F.min, "most": F.max}
     fields = [*keys[:4], "size", *sums_of]
-    once = pages.dropDuplicates(["host", "page"])
-    parts = once.mapInArrow(run, "host string, kind string, token string, path string, size long, vector long, pages long, least long, most long")
+    parts = _once(pages).mapInArrow(run, "host string, kind string, token string, path string, size long, vector long, pages long, least long, most long")
     return parts.groupBy(*keys).agg(*[f(c).alias(c) for c, f in sums_of.items()])
 
 
+def _once(pages: DataFrame) -> DataFrame:
+    """Each content of a host once. Only pages that have copies are moved, the others stay where they are read."""
+    copied = materialize(pages.groupBy("host", "page").count().where("count > 1").select("host", "page"))
+    if copied.isEmpty():
+        return pages
+    keys = small_side(copied)
+    return pages.join(keys, ["host", "page"], "left_anti").unionByName(pages.join(keys, ["host", "page"], "left_semi").dropDuplicates(["host", "page"]))
+
+
 def text_token(path: str, text: str) -> str:
-    return f"{path}\n{text}" if len(text) < 200 else f"{path}\n#{hashed(text)}"
+    return f"{hashed(path + chr(10) + text):016x}"
 
 
 def _around(token: Column) -> Column:

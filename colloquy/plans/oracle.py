@@ -370,8 +370,8 @@ FROM conversations""",
 SELECT conv_id, turn, round(coalesce(score, 0), 6) AS score, coalesce(stop, 0)::BIGINT AS "end"
 FROM src LEFT JOIN best USING (conv_id, turn)""",
     "best_keyword": "WITH src AS (SELECT conv_id, turn, lower(text) AS text FROM conversations)"
-    + ratio("src", lower_phrases(), 55) + f"""
-SELECT conv_id, turn, {WAKE_PHRASES!r}[no + 1] AS keyword, round(score, 6) AS score, stop::BIGINT AS "end"
+    + ratio("src", [k.lower() for k in catalog.KEYWORDS], 55) + f"""
+SELECT conv_id, turn, {catalog.KEYWORDS!r}[no + 1] AS keyword, round(score, 6) AS score, stop::BIGINT AS "end"
 FROM src LEFT JOIN best USING (conv_id, turn)""",
     "keyword_table": """WITH src AS (SELECT conv_id, turn, lower('From ' || replace(n_name, 'I', '') || '. ' || text) AS text
   FROM conversations JOIN nation ON n_nationkey = (conv_id + turn) % 25)"""

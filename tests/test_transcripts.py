@@ -76,3 +76,10 @@ def test_transcript_without_tokens(spark):
     tokens = spark.createDataFrame([(1, 0.5), (1, 1.0), (1, 0.0)], "id int, prob double")
     got = {r.id: (r.text, r.prob) for r in transcripts.assemble_transcript(segments, tokens, "id", "no").collect()}
     assert got == {1: ("ab", 0.5), 2: ("c", 0.0)}
+
+
+def test_query_looks_for_every_greeting_with_every_name():
+    from colloquy.plans import catalog
+
+    names = {f"{g} {n}" for g in ("Hello", "Hey", "Good morning", "Good afternoon", "Good evening") for n in ("Robot", "Computer")}
+    assert names | set(catalog.WAKE_PHRASES) == set(catalog.KEYWORDS) and len(catalog.KEYWORDS) == 11

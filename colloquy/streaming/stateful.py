@@ -1,10 +1,11 @@
 """Keyed state over event time, for operators whose rows depend on earlier ones.
 
-Rows of a key may reach a task in any order, also within a micro-batch. They wait in buckets of event time: a map state
-holds each bucket's rows in pieces, and one timer for each bucket takes them out once the watermark has passed its end,
-in order. A row is written once and read once however long it waits and however many rows its key has. So the stream
-gives what the batch form gives. Rows behind the watermark are dropped and counted by Spark
-(``numRowsDroppedByWatermark``).
+Rows of a key may reach a task in any order, also within a micro-batch. They wait in buckets of event time and are taken
+out once the watermark has passed their bucket's end, in order. Up to ``PIECE_ROWS`` rows of a key wait in one value with
+one timer, that of their first bucket, and leave together however many buckets have passed. More rows wait in a map
+state that holds each bucket's rows in pieces, with a timer for each bucket: there a row is written once and read once
+however long it waits and however many rows its key has. So the stream gives what the batch form gives. Rows behind the
+watermark are dropped and counted by Spark (``numRowsDroppedByWatermark``).
 
 An operator is a ``step(state, rows)`` function: a tuple of state values (or None at first) and the ordered rows of one
 key as dictionaries; it returns the new state and the rows to emit. In rows, event time is a whole number of
@@ -39,6 +40,9 @@ def use_rocksdb(spark) -> None:
 BUCKET_MS = 10_000  # event time that is taken out at once
 PIECE_ROWS = 1_000  # rows in one value of the state
 
+# rows that wait together, their first timer, buckets that wait in pieces, whether the end of the input has been handled
+WAITING = "rows binary, timer bigint, paged int, closed boolean"
+
 
 class OrderedSteps(StatefulProcessor):
     def __init__(self, rows: T.StructType, key: list, state: T.StructType, out: T.StructType, step: Callable, tie: list,
@@ -51,12 +55,42 @@ class OrderedSteps(StatefulProcessor):
         # the rows of a piece travel as one value
         self.pieces = handle.getMapState("pieces", "bucket bigint, piece int", "rows binary")
         self.counts = handle.getMapState("counts", "bucket bigint", "pieces int")
+        self.waiting = handle.getValueState("waiting", WAITING)
         self.state = handle.getValueState("state", self.state_type)
 
+    def _held(self) -> tuple:
+        """The key's waiting rows, as WAITING names them; rows wait together or in pieces, never both."""
+        packed, timer, paged, closed = self.waiting.get() or (None, None, 0, False)
+        return pickle.loads(packed) if packed else [], timer, paged, closed
+
+    def _hold(self, rows: list, timer, paged: int, closed: bool) -> None:
+        self.waiting.update((pickle.dumps(rows) if rows else None, timer, paged, closed))
+
     def handleInputRows(self, key, rows, timerValues):
-        at, waiting = self.rows.names.index(AT), {}
-        for r in rows:
-            row = tuple(r[n] for n in self.rows.names)
+        at = self.rows.names.index(AT)
+        fresh = [tuple(r[n] for n in self.rows.names) for r in rows]
+        held, timer, paged, closed = self._held()
+        if paged or len(held) + len(fresh) > PIECE_ROWS:
+            self._hold([], None, paged + self._page(held + fresh, at), closed)
+            if self.close_step or self.due:
+                self.handle.registerTimer(END_MS)
+            return iter([])
+        timer = self._timed(min(r[at] for r in fresh) // 1000 // self.bucket_ms, timer)
+        self._hold(held + fresh, timer, 0, closed)
+        return iter([])
+
+    def _timed(self, bucket: int, timer: int | None) -> int | None:
+        """A timer at the bucket's end, unless an earlier one is there; an end marker needs none."""
+        end = (bucket + 1) * self.bucket_ms
+        if end >= END_MS or (timer is not None and timer <= end):
+            return timer
+        self.handle.registerTimer(end)
+        return end
+
+    def _page(self, rows: list, at: int) -> int:
+        """Put rows into pieces of their buckets; returns the number of buckets that are new."""
+        waiting, new = {}, 0
+        for row in rows:
             waiting.setdefault(row[at] // 1000 // self.bucket_ms, []).append(row)
         # Spark has dropped what is behind the watermark, so none of these buckets has been taken yet
         for bucket, fresh in waiting.items():
@@ -67,23 +101,41 @@ class OrderedSteps(StatefulProcessor):
                 n += 1
             self.counts.updateValue((bucket,), (n,))
             if not known:
+                new += 1
                 self.handle.registerTimer((bucket + 1) * self.bucket_ms)
-        if self.close_step or self.due:
-            self.handle.registerTimer(END_MS)
-        return iter([])
+        return new
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         until = expiredTimerInfo.getExpiryTimeInMs()
+        held, timer, paged, closed = self._held()
+        if closed:
+            return iter([])
+        if paged:  # bucket by bucket, each at its own timer
+            rows = self._taken(until // self.bucket_ms - 1) if until < END_MS else []
+            paged -= bool(rows)
+        else:  # all buckets that the watermark has passed
+            if timerValues is not None:
+                until = max(until, timerValues.getCurrentWatermarkInMs())
+            until = until // self.bucket_ms * self.bucket_ms if until < END_MS else END_MS
+            at = self.rows.names.index(AT)
+            gone = [(r[at] // 1000 // self.bucket_ms + 1) * self.bucket_ms <= until for r in held]
+            rows = self._ordered([r for r, out in zip(held, gone) if out])
+            held = [r for r, out in zip(held, gone) if not out]
+            timer = self._timed(min(r[at] for r in held) // 1000 // self.bucket_ms, None) if held else None
+            if until < END_MS and (self.close_step or self.due):
+                self.handle.registerTimer(END_MS)
+        if rows or until >= END_MS:
+            self._hold(held, timer, paged, until >= END_MS)
         before = self.state.get()
         state = tuple(before) if before is not None else None
-        state, emitted = self._advance(state, self._taken(until // self.bucket_ms - 1) if until < END_MS else [], until * 1000)
+        state, emitted = self._advance(state, rows, until * 1000)
         if state is not None:
             self.state.update(state)
         if self.close_step and until >= END_MS and state is not None:
             emitted = emitted + list(self.close_step(state))
-        held = dict(zip(self.key, key))
+        fixed = dict(zip(self.key, key))
         row = Row(*self.out.names)
-        return iter([row(*[held[c] if c in held else r[c] for c in self.out.names]) for r in emitted])
+        return iter([row(*[fixed[c] if c in fixed else r[c] for c in self.out.names]) for r in emitted])
 
     def _taken(self, bucket: int) -> list:
         """The rows of a bucket in order, taken out of the state."""
@@ -94,9 +146,11 @@ class OrderedSteps(StatefulProcessor):
             found.extend(pickle.loads(self.pieces.getValue((bucket, piece))[0]))
             self.pieces.removeKey((bucket, piece))
         self.counts.removeKey((bucket,))
+        return self._ordered(found)
+
+    def _ordered(self, rows: list) -> list:
         order = [self.rows.names.index(n) for n in (AT, *self.tie)]
-        found.sort(key=lambda r: tuple(r[i] for i in order))
-        return [dict(zip(self.rows.names, r)) for r in found]
+        return [dict(zip(self.rows.names, r)) for r in sorted(rows, key=lambda r: tuple(r[i] for i in order))]
 
     def _advance(self, state, rows: list, until: int) -> tuple:
         """State and rows to emit once all ``rows`` are taken and time has come to ``until``."""

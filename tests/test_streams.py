@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from colloquy.operators import dialogue, gating, signals, utterances
 from colloquy.streaming import signals as streams
-from colloquy.streaming.stateful import AT, OrderedSteps, end_marker
+from colloquy.streaming.stateful import AT, END_MS, OrderedSteps, end_marker
 
 
 @pytest.fixture(scope="module")
@@ -306,3 +306,35 @@ def test_a_hot_key_costs_work_in_proportion_to_its_rows():
     for at in sorted(memory.timers):
         list(steps.handleExpiredTimer((1,), None, Expired(at)))
     assert memory.moved == 2 * n and steps.state.get() == (n * (n - 1) // 2,) and calls <= n // 10_000 + 2
+
+
+def test_rows_of_many_buckets_cost_one_value_and_one_timer():
+    """A key with few rows in a bucket each: they wait in one value and leave together, in order, closed at the end."""
+    shape = T.StructType([T.StructField("v", T.LongType()), T.StructField(AT, T.LongType())])
+    out = T.StructType([T.StructField("v", T.LongType())])
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs
+
+    def step(state, rows):
+        return (len(rows) + (state[0] if state else 0),), rows
+
+    steps, memory = OrderedSteps(shape, ["key"], None, out, step, [], lambda state: [{"v": -state[0]}], None, None, 10_000), Memory()
+    steps.init(memory)
+    moments = [(i * 37 % 60) * 10_000 for i in range(60)]
+    list(steps.handleInputRows((1,), ({"v": at, AT: at * 1000} for at in moments), None))
+    assert memory.timers == {10_000}
+    found = []
+    for now in (205_000, 400_000, END_MS + 5):
+        for at in sorted(t for t in memory.timers if t <= now):
+            memory.timers.remove(at)
+            found += [r.v for r in steps.handleExpiredTimer((1,), Now(now), Now(at))]
+        if now == 205_000:
+            assert found == list(range(0, 200_000, 10_000))
+    assert found == [*range(0, 600_000, 10_000), -60] and memory.moved == 0

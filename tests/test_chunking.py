@@ -150,3 +150,37 @@ def test_distances_of_joined_sentences(spark, buffer_size):
             norm = math.sqrt(sum(x * x for x in a.values())) * math.sqrt(sum(x * x for x in b.values()))
             want[(i, p)] = round(1 - (sum(a[k] * b[k] for k in a) / norm if norm else 0.0), 9)
     assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("buffer_size", [0, 1, 2])
+def test_both_forms_of_the_distances_agree(spark, monkeypatch, buffer_size):
+    """Inside the row, in stretches shorter than a document, as in long form; breaks as from the threshold."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(chunking, "_TILE", 16 * 4)
+    rows = texts(25, seed=3) + [(90, "123. 456. abc."), (91, "one."), (92, "..!"), (93, "Ab cd. ab cd! ab CD? x. ab")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    long = chunking.adjacent_distance(chunking.sentence_counts(df, dim=16), buffer_size=buffer_size)
+    want = {}
+    for r in long.orderBy("doc_id", "pos").collect():
+        want.setdefault(r.doc_id, []).append(r.distance)
+    limits = {r.doc_id: r.threshold for r in chunking.breakpoint_threshold(long, pct=70).collect()}
+    far = chunking.neighbour_distances(chunking.sentences_of("text"), buffer_size, 16)
+    got = df.withColumn("far", far).withColumn("breaks", chunking.semantic_breaks(F.col("far"), 70)).collect()
+    assert {r.doc_id: r.far for r in got if r.far} == want
+    assert {r.doc_id: r.breaks for r in got if r.far} == {
+        i: [p for p, d in enumerate(ds, 1) if d > limits[i]] for i, ds in want.items()}
+
+
+def test_tasks_of_the_split_do_not_grow_with_the_input(spark, monkeypatch):
+    """Partitions follow the characters, and no sort, window or aggregate of words is left in the split."""
+    from colloquy import runtime
+    from colloquy.operators import embedding
+
+    df = spark.createDataFrame([(i, "Some words here. Others there! " * 40) for i in range(300)], "doc_id int, text string")
+    assert runtime.text_tasks(df, "text", 10_000) == -(-300 * 31 * 40 // 10_000)
+    for module in (chunking, embedding):
+        monkeypatch.setattr(module, "text_tasks", lambda *_: 37)
+    plan = chunking.chunk_documents(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "37" in plan
+    assert "37" in embedding.hash_embed(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()

@@ -7,7 +7,9 @@ subsets of its own band's segments and, as the larger one of a pair, of those of
 A popular subset costs as many candidates as sets have it. A set may give such a segment up if it raises another one
 that no other set shares to *one deletion*: then both sets' subsets without one shingle are indexed as well, which finds
 every set that differs by one shingle there. The sum of (allowance + 1) over segments stays above the largest
-difference, so the pigeonhole holds. Bands in which that saves more candidates than it makes index rows do it.
+difference, so the pigeonhole holds. Bands in which that saves more than it makes index rows do it. Subsets of no or one
+shingle are popular by chance, more so the more sets there are. Larger ones are a passage that was copied: their sets
+stay in as many lists under the deletions of what they share, so giving them up saves comparisons, but no rows.
 
 Lists of sets under one subset are not expanded into pairs: members meet a leader, later another one, and only where a
 list still holds several components, members of different components are compared in blocks, by parity bitmaps whose
@@ -34,6 +36,7 @@ PERCENT = 90
 BLOCK = 1024          # members of a list that are compared at a time
 DRAWS = 2             # rounds with drawn leaders before members of different components are compared
 CLOSEST = 4           # candidates of a member in another component given out at first
+COPIED = 32           # candidates that share a passage and cost as much as an index row
 SLICE_BYTES = 1_500_000
 LARGEST = 1 << 31     # of a set
 SIZE_BITS = 3         # of a key: the subset's size, cut at 7
@@ -218,15 +221,15 @@ def _shared(rows: DataFrame) -> DataFrame:
 def allocate(posted: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, dict[int, list[int]]]:
     """(node, side, dropped segments, raised segments) where that pays, and all raised segments by band.
 
-    The price of a raise is its look-ups: the segment's subset, and one for each of its shingles. Free segments, shared by
-    no other set, are raised from the lowest number up, so that the sets of a band raise few different ones.
+    The price of a raise is its look-ups: the segment's subset, and one for each of its shingles. A candidate counts as
+    much as one of them, and where the subset is a passage, one in ``COPIED``. Free segments, shared by no other set, are raised from the lowest number up, so that the sets of a band raise few different ones.
     """
     average = F.col("n") / F.col("m")
     popular = posted.where(F.col("count") > 2 + 2 * average).select("node", "side").distinct()
     if popular.isEmpty():
         return None, {}
     per_set = posted.join(popular, ["node", "side"], "left_semi").groupBy("node", "side").agg(
-        F.sort_array(F.collect_list(F.struct("count", "segment")), asc=False).alias("s"), F.first("n").alias("n"), F.first("m").alias("m"))
+        F.sort_array(F.collect_list(F.struct("count", "segment", "key")), asc=False).alias("s"), F.first("n").alias("n"), F.first("m").alias("m"))
     # a doc_id with several texts keeps all its rows strong
     several = classes.groupBy("node").count().where("count > 1").select("node")
     per_set = per_set.join(small_side(several), "node", "left_anti")
@@ -240,7 +243,8 @@ def allocate(posted: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, d
     plan = both.withColumn("free", free).withColumn("dear", dear).withColumn("t", t).where("t > 0").select(
         "node", "side", "list_band", F.slice("dear", F.lit(1), F.col("t")).alias("d"), F.slice("free", F.lit(1), F.col("t")).alias("raised"),
         (F.col("n") / F.col("m")).alias("per"))
-    plan = materialize(plan.select("*", F.col("d.segment").alias("dropped"), F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x["count"]).alias("saved")).drop("d"))
+    worth = lambda x: F.when(F.pmod(x["key"], F.lit(1 << SIZE_BITS)) < 2, x["count"]).otherwise(x["count"] / COPIED)
+    plan = materialize(plan.select("*", F.col("d.segment").alias("dropped"), F.aggregate("d", F.lit(0.0), lambda a, x: a + worth(x)).alias("saved")).drop("d"))
     # tables with a row for each band
     saved = plan.groupBy("list_band").agg(F.sum("saved").alias("saved"), F.array_distinct(F.flatten(F.collect_set("raised"))).alias("raised"), F.max("per").alias("per"))
     sets = {}

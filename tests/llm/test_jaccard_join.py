@@ -98,3 +98,25 @@ def test_odd_rows(spark):
     out = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in join_links(docs).collect())
     assert out == [(-1, 1, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 29998, 6), (7, 29999, 6), (8, 1, 6), (8, 1, 6), (8, 29998, 6)]
     assert join_links(docs.where("false")).collect() == []
+
+
+def test_members_of_a_large_family_stay_in_few_lists(spark, monkeypatch):
+    """Copies with many edits: a member stands in its segments' lists, not under each deletion of what all share."""
+    draw = random.Random(4)
+    base, texts = [f"w{k}" for k in range(150)], {}
+    for i in range(400):
+        copy = list(base)
+        for _ in range(draw.randrange(12)):
+            copy[draw.randrange(len(copy))] = f"n{draw.randrange(10**6)}"
+        texts[i] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    rows, plain = [], jaccard_join.linked
+
+    def watched(lists, *args):
+        rows.append(lists.count())
+        return plain(lists, *args)
+
+    monkeypatch.setattr(jaccard_join, "linked", watched)
+    assert got(join_links(docs)) == expected(texts)
+    bands = Bands(90)
+    assert rows[0] <= len(texts) * (bands.segments[bands.of(np.array([148]))[0]] + bands.segments[bands.of(np.array([148]))[0] - 1])

@@ -2,7 +2,9 @@
 
 A phrase and a window of a text whose ratio reaches the cutoff share a least number of their q-grams. Pairs that
 share fewer are left out by an equi-join on grams and a count; every other pair is scored in full, so no match is
-lost. Strings too short for the count to say anything meet in blocks.
+lost. Strings too short for the count to say anything meet in blocks. So do the phrases of a table that is one block
+where the bound is weak: most texts share the one or two grams it asks for, and the grams of a text cost more than the
+block.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.operators.transcripts import SCORE_CUTOFF, partial_ratio_batch
-from colloquy.runtime import BROADCAST_ROWS, materialize, small_side
+from colloquy.runtime import BROADCAST_ROWS, materialize, small_side, within
 
 GRAMS = (4, 3, 2)    # lengths of grams, the most selective first
 POWER = 0.4          # shared grams per character from which a longer gram is worth its weaker bound
@@ -190,7 +192,7 @@ def _found(texts: DataFrame, phrases: DataFrame, cutoff: float) -> DataFrame:
     if not 0 < cutoff <= 100:
         raise ValueError("the cutoff lies above 0 and up to 100")
     q = gram_length(cutoff)
-    if q is None:
+    if q is None or shared_share(q, cutoff) < POWER and within(phrases, BLOCK):
         return _by_blocks(texts, phrases, cutoff)
     least = shortest_filtered(q, cutoff)
     short = _by_blocks(texts, phrases.where(F.col("m") < least), cutoff)

@@ -75,6 +75,18 @@ def test_best_equals_the_list_form(spark):
     assert got == want
 
 
+def test_a_small_table_under_a_weak_bound_is_scored_without_grams(spark, monkeypatch):
+    said, listed = tables_of(spark, 11, 40, 25)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "id int, text string")
+    keys = spark.createDataFrame(list(enumerate(dict.fromkeys(listed))), "no int, words string")
+    asked, plain = [], tables._by_grams
+    monkeypatch.setattr(tables, "_by_grams", lambda *args: asked.append(1) or plain(*args))
+    want = {tuple(r) for r in transcripts.best_keyword(df, "text", list(dict.fromkeys(listed)), 80).collect()}
+    assert {tuple(r) for r in tables.best_of_table(df, "text", keys, "words", "no", 80).collect()} == want and not asked
+    monkeypatch.setattr(tables, "BLOCK", 8)  # a table of several blocks
+    assert {tuple(r) for r in tables.best_of_table(df, "text", keys, "words", "no", 80).collect()} == want and asked
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame(
         [(1, "hello robot", 0.5), (1, "hello robot", 0.5), (2, None, 0.0), (3, "", 0.0), (4, "quite another thing", 1.0), (5, "Hello robot " * 4000, 0.0)],

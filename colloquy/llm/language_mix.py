@@ -57,7 +57,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Langua
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at, texts in slices(batch.column("text"), 4_000_000):
+            for at, texts in slices(batch.column("text"), 500_000):
                 langs = np.array(batch.column("lang").slice(at, len(texts)).to_pylist(), object)
                 values = texts.to_pylist()
                 for name in set(langs.tolist()):
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(text), 2_000_000):
+            for at, texts in slices(batch.column(text), 500_000):
                 shares = mixtures(model, texts.to_pylist())
                 found = []
                 for row in shares:

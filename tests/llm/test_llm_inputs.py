@@ -314,3 +314,38 @@ def test_pipeline_stages_take_odd_rows(spark, odd, sf):
             assert out.columns == odd.columns, name
             assert out.count() <= docs.count() and out.where("score <> 'own'").count() == 0
     assert corpus_pipeline.packed(spark, odd, sf).where("piece = 0").count() == 10
+
+
+def test_pipeline_texts_reach_python_once_in_small_batches(spark, odd, sf):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    key, rows, length = "spark.sql.execution.arrow.maxBytesPerBatch", 1000, 20_000
+    wide = spark.range(0, rows, 1, 1).select(F.col("id").alias("doc_id"), F.expr(f"repeat('a', {length})").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    spark.conf.unset(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES:  # each on its own, as stages may be called
+            spark.conf.unset(key)
+            stage(spark, odd, sf)
+            found = [r["n"] for r in corpus_pipeline._rows(wide).mapInArrow(sizes, "n long").collect()]
+            assert max(found) < 6_000_000 and rows * length <= sum(found) < 1.2 * rows * length
+        spark.conf.set(key, "16m")  # a size that the session has set holds
+        corpus_pipeline.language(spark, odd, sf)
+        assert spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_pipeline_keeps_columns_of_any_names_and_order(spark, sf):
+    import corpus_pipeline
+
+    row = {"score": "own", "text": "the same words are here to read", "lang_pred": 1, "doc_id": 7, "lang": "en", "__text": None, "clauses": "c"}
+    docs = spark.createDataFrame([tuple(row.values())], "score string, text string, lang_pred int, doc_id long, lang string, __text string, clauses string")
+    for stage in (corpus_pipeline.language, corpus_pipeline.clean_language):
+        assert [r.asDict() for r in stage(spark, docs, sf).collect()] == [row] and stage(spark, docs, sf).columns == docs.columns
+    bare = docs.select("doc_id", "text")
+    assert corpus_pipeline.clean_language(spark, bare, sf).collect() == [(7, row["text"])]
